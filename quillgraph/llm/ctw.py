@@ -180,7 +180,7 @@ def dealt(n: int, bucket: np.ndarray, *columns: np.ndarray) -> dict:
     return {k: tuple(c[order[a:b]] for c in columns) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b}
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, modulus: int = 10) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, modulus: int = 10) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score,
     n_bytes, bits_per_byte) for each row of docs.
 

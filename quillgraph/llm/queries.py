@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, contamination, ctw, line_dedup, simhash, substring, topk, url_filter
+from quillgraph.llm import bpe, contamination, ctw, line_dedup, pii, simhash, substring, topk, toxicity, url_filter
+from quillgraph.llm.common import crc_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: Of the registered query only; a real run takes its key from a secret store.
+PUBLIC_KEY = b"a key that everyone may know"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PUBLIC_KEY)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -57,6 +66,13 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score_documents(docs, model)
+    return out.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     from quillgraph.llm.oracles import ORACLES
 
