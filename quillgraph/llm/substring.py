@@ -12,6 +12,8 @@ take it at the same offset, so a repeated window always has a repeated seed.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -23,6 +25,8 @@ from quillgraph.llm.common import partitions
 
 MULTIPLIERS = (0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB5B)
 VOCABULARY = 1 << 19
+#: Bytes of text whose words are hashed in one array.
+CHUNK = 1 << 19
 NOWHERE = np.iinfo(np.int64).max
 
 
@@ -59,23 +63,19 @@ def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     return values
 
 
-def anchors(seeds: np.ndarray, reach: int) -> np.ndarray:
-    """Starts whose seed is the least of some run of reach + 1 consecutive seeds."""
-    if len(seeds) <= reach:
-        return np.empty(0, np.int64)
-    low = sliding(seeds, reach + 1, True)
-    pad = np.zeros(reach, np.uint64)
-    return np.flatnonzero(sliding(np.concatenate([pad, low, pad]), reach + 1, False) == seeds)
-
+class Chunk:
+    """Some documents' words in one array, and the window hashes of each level.
+    Hashes at windows that would run over a document's end mean nothing: fits() tells."""
 
-class Levels:
-    """The window hashes of one text at each level."""
-
-    def __init__(self, text: bytes | None, seed: int, window: int, vocabulary: Vocabulary):
-        self.words = (text or b"").split()
+    def __init__(self, rows: list[tuple[int | None, bytes]], seed: int, window: int, vocabulary: Vocabulary):
         self.seed, self.window = seed, window
-        n = len(self.words)
-        self.hashes = np.fromiter(map(vocabulary.__getitem__, self.words), np.uint64, n) if n >= window else np.empty(0, np.uint64)
+        words = [t.split() for _, t in rows]
+        self.lengths = np.array([len(w) for w in words], np.int64)
+        n = int(self.lengths.sum())
+        self.hashes = np.fromiter(map(vocabulary.__getitem__, itertools.chain.from_iterable(words)), np.uint64, n)
+        ends = np.cumsum(self.lengths)
+        self.end, self.begin = np.repeat(ends, self.lengths), np.repeat(ends - self.lengths, self.lengths)
+        self.doc = np.repeat(np.array([NOWHERE if i is None else i for i, _ in rows], np.int64), self.lengths)
 
     def at(self, width: int, which: int = 0) -> np.ndarray:
         words = self.hashes if not which else (self.hashes ^ (self.hashes >> np.uint64(29))) * np.uint64(MULTIPLIERS[1])
@@ -84,33 +84,61 @@ class Levels:
             h, have = doubled(h, have, MULTIPLIERS[which]), 2 * have
         return h
 
+    def fits(self, starts: np.ndarray, width: int) -> np.ndarray:
+        return starts + width <= self.end[starts]
+
+    def whole(self) -> np.ndarray:
+        """Starts of full windows."""
+        return np.flatnonzero(np.arange(len(self.end)) + self.window <= self.end)
+
+    def named(self, starts: np.ndarray) -> np.ndarray:
+        """Without those in rows of a null id."""
+        return starts[self.doc[starts] != NOWHERE]
+
     def starts(self) -> np.ndarray:
-        return anchors(self.at(self.seed), self.window - self.seed)
+        """Starts whose seed is the least of the seeds of some full window."""
+        reach = self.window - self.seed
+        seeds = self.at(self.seed)
+        if len(seeds) <= reach:
+            return np.empty(0, np.int64)
+        low = sliding(seeds, reach + 1, True)
+        low[~self.fits(np.arange(len(low)), self.window)] = 0
+        pad = np.zeros(reach, np.uint64)
+        return self.named(np.flatnonzero(sliding(np.concatenate([pad, low, pad]), reach + 1, False) == seeds))
 
     def extended(self, starts: np.ndarray, width: int) -> np.ndarray:
         """Starts of windows of twice the width that stand for those at starts: each
         to its right and to its left. A full window around the narrower one holds
         one of the two at least."""
-        n = len(self.words)
-        both = np.concatenate([starts, starts - width])
-        return np.unique(both[(both >= 0) & (both + 2 * width <= n)])
+        left = starts[starts - width >= self.begin[starts]] - width
+        return np.unique(np.concatenate([starts[self.fits(starts, 2 * width)], left]))
 
     def covering(self, starts: np.ndarray, width: int) -> np.ndarray:
         """Starts of full windows that hold a window of this width at starts."""
-        n = len(self.words) - self.window + 1
-        mark = np.zeros(n + 1, np.int64)
-        np.add.at(mark, np.maximum(starts - (self.window - width), 0), 1)
-        np.add.at(mark, np.minimum(starts + 1, n), -1)
+        first = np.maximum(starts - (self.window - width), self.begin[starts])
+        last = np.minimum(starts, self.end[starts] - self.window)
+        some = first <= last
+        mark = np.bincount(first[some], minlength=len(self.end) + 1) - np.bincount(last[some] + 1, minlength=len(self.end) + 1)
         return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
 
 
-def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which values are in the sorted array known."""
-    if not len(known):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(known, values)
-    at[at == len(known)] = 0
-    return known[at] == values
+class Known:
+    """A sorted array to look hashes up in; a table of their high bits turns most others away."""
+
+    BITS = 22
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.table = np.zeros(1 << self.BITS, bool)
+        self.table[values >> np.uint64(64 - self.BITS)] = True
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(indexes of asked that are here, the first place of each)."""
+        at = np.flatnonzero(self.table[asked >> np.uint64(64 - self.BITS)]) if len(self.values) else np.empty(0, np.int64)
+        place = np.searchsorted(self.values, asked[at])
+        place[place == len(self.values)] = 0
+        same = self.values[place] == asked[at] if len(at) else np.empty(0, bool)
+        return at[same], place[same]
 
 
 def bucketed(n: int, key: np.ndarray, *columns: np.ndarray) -> dict:
@@ -130,7 +158,8 @@ def repeated(frame: pd.DataFrame) -> list:
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     twice = (np.diff(np.append(first, len(keys))) > 1) | np.logical_or.reduceat(many, first)
     known = keys[first][twice]
-    return [own if len(own := a[0][among(a[0], known)]) else None for a in asked]
+    known = Known(known)
+    return [a[0][own] if len(own := known.find(a[0])[0]) else None for a in asked]
 
 
 def counted(parts: list[np.ndarray], n: int) -> dict:
@@ -172,10 +201,6 @@ def earlier(frame: pd.DataFrame) -> list:
     return out
 
 
-def rest(words: list[bytes], removed: np.ndarray) -> bytes:
-    return b" ".join([w for w, gone in zip(words, removed.tolist(), strict=True) if not gone]) if len(removed) else b" ".join(words)
-
-
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, levels: int = 2) -> DataFrame:
     """(id_col, n_words, n_removed, text_col): each text rid of the words under
     windows that occur earlier.
@@ -199,49 +224,44 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     n, seed = partitions(spark), window >> levels
     packed = blocks.pack(docs, id_col, text_col, n)
 
-    def texts(frame: pd.DataFrame):
-        vocabulary = Vocabulary()
+    def chunks(frame: pd.DataFrame):
+        """(rows, Chunk) of about CHUNK bytes."""
+        vocabulary, rows, size = Vocabulary(), [], 0
         for i, t in blocks.documents(frame):
-            yield i, Levels(t, seed, window, vocabulary)
+            rows.append((i, t or b""))
+            size += len(t or b"")
+            if size >= CHUNK:
+                yield rows, Chunk(rows, seed, window, vocabulary)
+                rows, size = [], 0
+        if rows:
+            yield rows, Chunk(rows, seed, window, vocabulary)
 
     def first(frame: pd.DataFrame) -> dict:
-        parts = []
-        for i, one in texts(frame):
-            if i is not None and len(one.words) >= window:
-                parts.append(one.at(seed)[one.starts()])
-        return counted(parts, n)
-
-    def surviving(one: Levels, known: np.ndarray, width: int) -> np.ndarray:
-        """Starts of windows of this width whose hash repeats, when known holds the repeated ones of this level."""
-        h = one.at(width)
+        return counted([c.at(seed)[c.starts()] for _, c in chunks(frame)], n)
+
+    def surviving(c: Chunk, known: Known, width: int) -> np.ndarray:
+        """Starts of windows of this width whose hash known has."""
+        h = c.at(width)
         if width == seed:
-            starts = one.starts()
-            return starts[among(h[starts], known)]
-        return np.flatnonzero(among(h, known))
+            starts = c.starts()
+            return starts[known.find(h[starts])[0]]
+        starts = known.find(h)[0]
+        return c.named(starts[c.fits(starts, width)])
 
     def between(width: int):
         def build(frame: pd.DataFrame, answers: pd.DataFrame) -> dict:
-            known, parts = told(answers), []
-            for i, one in texts(frame):
-                if i is not None and len(one.words) >= window and len(known):
-                    parts.append(one.at(2 * width)[one.extended(surviving(one, known, width), width)])
-            return counted(parts, n)
+            known = Known(told(answers))
+            return counted([c.at(2 * width)[c.extended(surviving(c, known, width), width)] for _, c in chunks(frame)], n)
 
         return build
 
     def full(width: int):
         def build(frame: pd.DataFrame, answers: pd.DataFrame) -> dict:
-            known, parts = told(answers), []
-            for i, one in texts(frame):
-                if i is not None and len(one.words) >= window and len(known):
-                    starts = one.covering(surviving(one, known, width), width)
-                    h = one.at(window)[starts]
-                    g = (one.at(window, 1)[starts] >> np.uint64(32)).astype(np.uint32)
-                    h, at = np.unique(h, return_index=True)
-                    parts.append((h, g[at], np.full(len(h), i, np.int64)))
-            if not parts:
-                return {}
-            return bucketed(n, *firsts(*(np.concatenate(c) for c in zip(*parts, strict=True))))
+            known, parts = Known(told(answers)), []
+            for _, c in chunks(frame):
+                starts = c.covering(surviving(c, known, width), width)
+                parts.append(firsts(c.at(window)[starts], (c.at(window, 1)[starts] >> np.uint64(32)).astype(np.uint32), c.doc[starts]))
+            return bucketed(n, *firsts(*(np.concatenate(x) for x in zip(*parts, strict=True))))
 
         return build
 
@@ -253,57 +273,54 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     answers = blocks.reply(blocks.ask(packed, answers, full(width)), n, earlier)
 
     def build(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        rows, spans, vocabulary = [], {}, Vocabulary()
-        for i, t in blocks.documents(frame):  # split words take ten times the text's memory, so they are not kept
-            one = Levels(t, seed, window, vocabulary)
-            if len(one.words) >= window:
-                spans[len(rows)] = one.at(window)
-            rows.append((i, t or b""))
-        parts = [blocks.load(p) for p in answers["payload"]]
-        late = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint64)
-        check = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.uint32)
-        order = np.argsort(late, kind="stable")
+        rows, parts, at = [], [], 0
+        for some, c in chunks(frame):  # split words take ten times the text's memory, so they are not kept
+            starts = c.whole()
+            row = np.repeat(np.arange(len(rows), len(rows) + len(some)), c.lengths)[starts]
+            parts.append((c.at(window)[starts], (c.at(window, 1)[starts] >> np.uint64(32)).astype(np.uint32), starts + at, c.doc[starts], row))
+            rows += zip(some, c.lengths.tolist(), strict=True)
+            at += len(c.end)
+        h, g, start, doc, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        late_parts = [blocks.load(p) for p in answers["payload"]] or [(np.empty(0, np.uint64), np.empty(0, np.uint32))]
+        late, check = (np.concatenate(x) for x in zip(*late_parts, strict=True))
+        order = np.argsort(late)
         late, check = late[order], check[order]
-        ids = np.array([NOWHERE if i is None else i for i, _ in rows], np.int64)
-        # a key's smallest document in this block; null ids are compared with themselves only
-        h = np.concatenate([*spans.values(), np.empty(0, np.uint64)])
-        row = np.repeat(np.array(list(spans), np.int64), [len(v) for v in spans.values()])
-        order = np.lexsort((ids[row], h)) if len(h) else np.empty(0, np.int64)
-        start = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.empty(0, bool)
-        least = np.empty(len(h), np.int64)
-        least[order] = ids[row[order]][np.flatnonzero(start)][np.cumsum(start) - 1] if len(h) else least
-        gone = (ids[row] > least) & (ids[row] != NOWHERE)
+
+        dead = np.zeros(len(h), bool)
+        # windows that a smaller document of another block holds
+        hit, place = Known(late).find(h)
+        while len(hit):
+            same = check[place] == g[hit]
+            dead[hit[same]] = True
+            hit, place = hit[~same], place[~same] + 1
+            more = place < len(late)
+            hit, place = hit[more], place[more]
+            more = late[place] == h[hit]
+            hit, place = hit[more], place[more]
+        dead &= doc != NOWHERE
+        # windows that are in this block more than once
+        order = np.argsort(h)
+        again = h[order][1:] == h[order][:-1]
+        several = np.sort(order[np.concatenate([again, [False]]) | np.concatenate([[False], again])]) if len(h) else order
+        order = several[np.lexsort((start[several], row[several], doc[several], h[several]))]
+        new = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(order) else np.empty(0, bool)
+        least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else doc[:0]
+        own = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])]) if len(order) else new
+        dead[order[own | (doc[order] > least) & (doc[order] != NOWHERE)]] = True
+
+        gone = np.bincount(start[dead], minlength=at + window + 1) - np.bincount(start[dead] + window, minlength=at + window + 1)
+        gone = np.cumsum(gone)[:at] > 0
         out, at = {"id": [], "n_words": [], "n_removed": [], "text": []}, 0
-        for k, (i, t) in enumerate(rows):
-            words = t.split()
-            removed = np.zeros(len(words), bool)
-            if k in spans:
-                own = spans[k]
-                dead = gone[at : at + len(own)].copy()
-                at += len(own)
-                again = np.ones(len(own), bool)
-                again[np.unique(own, return_index=True)[1]] = False
-                dead |= again
-                if i is not None and len(late):
-                    where = np.searchsorted(late, own)
-                    where[where == len(late)] = 0
-                    if (hit := (late[where] == own) & ~dead).any():
-                        g = (Levels(t, seed, window, vocabulary).at(window, 1) >> np.uint64(32)).astype(np.uint32)
-                        for p in np.flatnonzero(hit):
-                            a = where[p]
-                            while a < len(late) and late[a] == own[p]:
-                                if check[a] == g[p]:
-                                    dead[p] = True
-                                    break
-                                a += 1
-                edge = np.zeros(len(words) + 1, np.int64)
-                edge[: len(own)] += dead
-                edge[window : window + len(own)] -= dead
-                removed = np.cumsum(edge[:-1]) > 0
+        for (i, t), size in rows:
+            own = gone[at : at + size]
+            at += size
+            count = int(own.sum())
+            words = t.split() if count < size else []
             out["id"].append(i)
-            out["n_words"].append(len(words))
-            out["n_removed"].append(int(removed.sum()))
-            out["text"].append(rest(words, removed).decode())
+            out["n_words"].append(size)
+            out["n_removed"].append(count)
+            out["text"].append(b" ".join(itertools.compress(words, (~own).tolist()) if count else words).decode())
         return pd.DataFrame(out | {"id": blocks.ids_column(out["id"])})
 
     found = blocks.finish(packed, answers, build, "id long, n_words long, n_removed long, text string")
