@@ -13,6 +13,8 @@ from quillgraph.llm.common import quoted
 SHARD, BLOCK = 16_384, 2_048
 #: Quantised components beyond this are out of range (sums must fit a long).
 RANGE = 1 << 24
+#: Depth of the first look into the lists; it doubles from there.
+FIRST = 16
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -24,41 +26,55 @@ def usable(vector: Column, scale: int) -> Column:
     return vector.isNotNull() & F.coalesce(fine, F.lit(False))
 
 
-def threshold_top(matrix: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int, down: np.ndarray) -> list[tuple[int, int]]:
-    """The k best (score, id) of matrix rows (id own excepted), ties to smaller ids.
-
-    down[:, j]: rows by falling component j. A list is read from its top where the
-    query's component is positive and from its end where it is negative. Rows seen
-    are scored in full; no unseen row can score above the sum of the query's
-    components times the values at the current depth, so the search ends once the
-    k-th score is above that bound (a row equal to it could still win by its id).
-    """
-    n = len(ids)
-    used = np.flatnonzero(query)
-    seen = np.zeros(n, bool)
-    scores = np.empty(0, np.int64)
-    rows = np.empty(0, np.int64)
-    depth, step = 0, max(32, k)
-    while depth < n:
-        upto = min(n, depth + step)
-        if len(used):
-            lists = [down[depth:upto, j] if query[j] > 0 else down[n - upto : n - depth, j] for j in used]
-            fresh = np.unique(np.concatenate(lists))
-            fresh = fresh[~seen[fresh]]
-            bound = sum(int(query[j]) * int(matrix[down[upto - 1, j] if query[j] > 0 else down[n - upto, j], j]) for j in used)
-        else:  # every score is zero
-            fresh, bound, upto = np.arange(n), 0, n
-        seen[fresh] = True
-        fresh = fresh[ids[fresh] != own]
-        rows, scores = np.concatenate([rows, fresh]), np.concatenate([scores, (matrix[fresh] @ query.astype(matrix.dtype)).astype(np.int64)])
-        if len(rows) > k:
-            keep = np.lexsort((ids[rows], -scores))[:k]
-            rows, scores = rows[keep], scores[keep]
-        if len(rows) >= k and scores.min() > bound:
-            break
-        depth, step = upto, step * 2
-    order = np.lexsort((ids[rows], -scores))[:k]
-    return [(int(scores[x]), int(ids[rows[x]])) for x in order]
+class Lists:
+    """A shard's rows and its sorted lists: for each dimension the rows by falling component."""
+
+    def __init__(self, matrix: np.ndarray, ids: np.ndarray, largest: int):
+        n = len(ids)
+        self.ids = ids
+        # sums below 2^24 and 2^53 are exact in these types, whose products are fast
+        top = float(np.abs(matrix).max(initial=0)) * largest * max(matrix.shape[1], 1)
+        self.work = matrix.astype(np.float32 if top < 2**24 else np.float64 if top < 2**53 else np.int64)
+        self.down = np.asfortranarray(np.argsort(-matrix, axis=0, kind="stable"))
+        self.depths = [min(n, FIRST << k) for k in range(max(1, (n // FIRST).bit_length() + 1))]
+        columns = np.arange(matrix.shape[1])
+        self.tops = np.array([matrix[self.down[d - 1], columns] for d in self.depths])
+        self.ends = np.array([matrix[self.down[n - d], columns] for d in self.depths])
+
+    def best(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        """The k best (score, id) of the rows (id own excepted), ties to smaller ids.
+
+        A list is read from its top where the query's component is positive and from
+        its end where it is negative. Rows seen are scored in full; no unseen row can
+        score above the sum of the query's components times the values at the depth
+        read, so the search ends once the k-th score is above that bound (a row equal
+        to it could still win by its id). The k-th score only rises: the first depth
+        whose bound it beats is read next.
+        """
+        n = len(self.ids)
+        bounds = self.tops @ np.maximum(query, 0) + self.ends @ np.minimum(query, 0)
+        used = np.flatnonzero(query)
+        scores = self.work @ query.astype(self.work.dtype)  # random access: looked up for seen rows only
+        seen = np.zeros(n, bool)
+        at = 0 if len(used) else len(self.depths) - 1
+        while True:
+            depth = self.depths[at]
+            if depth == n:
+                seen[:] = True
+            else:
+                for j in used.tolist():
+                    seen[self.down[:depth, j] if query[j] > 0 else self.down[n - depth :, j]] = True
+            rows = np.flatnonzero(seen & (self.ids != own))
+            got = scores[rows]
+            if len(rows) > k:
+                rows = rows[got >= np.partition(got, len(rows) - k)[len(rows) - k]]
+            order = np.lexsort((self.ids[rows], -scores[rows]))[:k]
+            rows = rows[order]
+            last = scores[rows[-1]] if len(rows) == k else None
+            if depth == n or last is not None and last > bounds[at]:
+                return [(int(scores[x]), int(self.ids[x])) for x in rows]
+            beaten = np.flatnonzero(bounds < last) if last is not None else np.empty(0, int)
+            at = max(at + 1, int(beaten[0]) if len(beaten) else len(self.depths) - 1 if last is not None else at + 1)
 
 
 def top_inner(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, every: int = 20, k: int = 20, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -95,13 +111,9 @@ def top_inner(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
                 matrix = np.array(own["v"].tolist(), np.int64).reshape(len(own), size)
                 asking = queries[ql == size]
                 mq = np.array(asking["v"].tolist(), np.int64).reshape(len(asking), size)
-                # sums below 2^53 are exact in float64, whose products are fast
-                top = float(np.abs(matrix).max(initial=0)) * float(np.abs(mq).max(initial=0)) * max(size, 1)
-                work = matrix.astype(np.float64) if top < 2**53 else matrix
-                down = np.argsort(-matrix, axis=0, kind="stable")
-                ids = own["id"].to_numpy()
+                lists = Lists(matrix, own["id"].to_numpy(), int(np.abs(mq).max(initial=0)))
                 for i, vec in zip(asking["id"].to_numpy(), mq, strict=True):
-                    out += [(int(i), j, s) for s, j in threshold_top(work, ids, vec, int(i), k, down)]
+                    out += [(int(i), j, s) for s, j in lists.best(vec, int(i), k)]
         return pd.DataFrame(out, columns=["query_id", "cand", "score"]).astype("int64")
 
     found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInPandas(search, "query_id long, cand long, score long")
