@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import bounded_batches, crc_fold, others, quoted
+from quillgraph.llm.common import bounded_batches, crc_fold, durable, others, quoted
 
 #: Words read since the last reset that a task remembers, and automaton states that it keeps.
 WORDS_KEPT, STATES_KEPT = 1 << 18, 1 << 14
@@ -125,27 +125,31 @@ class Model:
     weights: tuple[float, ...]
 
 
-class Scorer:
+class Hits(dict):
+    """Word -> its hit or None, worked out when first asked for; of bounded size."""
+
     def __init__(self, model: Model):
         self.model, self.automaton = model, Automaton(model.terms)
-        self.known: dict[str, tuple[str, str] | None] = {}
 
-    def hit(self, word: str) -> tuple[str, str] | None:
-        if word in self.known:
-            return self.known[word]
-        if len(self.known) >= WORDS_KEPT:
-            self.known.clear()
+    def __missing__(self, word: str) -> tuple[str, str] | None:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
         found = None if word in self.model.exceptions else self.automaton.match(word)
         if found is None and (plain := word.translate(LEET)) != word and any(c.isalpha() for c in word):
             found = self.automaton.match(plain)
-        self.known[word] = found
+        self[word] = found
         return found
 
+
+class Scorer:
+    def __init__(self, model: Model):
+        self.model, self.hits = model, Hits(model)
+
     def features(self, text: str | None) -> tuple[np.ndarray, set[str]]:
         """FEATURES of the text, and its words that are hits by an edit."""
         tokens = TOKEN.findall((text or "").lower())
-        hits = [(k, w, self.hit(w)) for k, w in enumerate(tokens)]
-        hits = [x for x in hits if x[2]]
+        found = list(map(self.hits.__getitem__, tokens))
+        hits = [(k, tokens[k], x) for k, x in enumerate(found) if x] if any(found) else []
         out = np.zeros(len(FEATURES))
         out[0] = 1
         if not hits:
@@ -177,23 +181,41 @@ def family(tokens: set[str]) -> int:
     return min((xxhash.xxh3_64_intdigest(w) for w in tokens), default=0) >> 1
 
 
-def witnesses(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """(term, toxic, form, n): families of texts that hold each word ("x") or stem ("x*")."""
+def paired(sample: DataFrame, schema: str, pairs) -> DataFrame:
+    """Distinct (term, number) rows: pairs(words of a text) gives each text's, and a
+    batch's own repeats are dropped before anything is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ([], [], [], [])
-            for text, toxic in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                words = set(TOKEN.findall((text or "").lower()))
-                own = family(words)
-                for w in words:
-                    for term in (w, *(w[:k] + "*" for k in STEMS if len(w) >= k)):
-                        if wanted is None or term in wanted:
-                            for column, x in zip(out, (term, toxic, own, xxhash.xxh3_64_intdigest(w) >> 1), strict=True):
-                                column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["term", "toxic", "family", "form"])
+            seen = set()
+            for text in batch[0].to_pylist():
+                seen.update(pairs(set(TOKEN.findall((text or "").lower()))))
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.int64())], ["term", "number"])
+
+    rows = sample.select("text").mapInArrow(run, schema)
+    return rows.groupBy("term", "number").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def witnesses(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
+    """(term, n): how many families of texts hold each word ("x") or stem ("x*")."""
+    def pairs(words: set[str]) -> Iterator[tuple[str, int]]:
+        own = family(words)
+        for w in words:
+            for term in (w, *(w[:k] + "*" for k in STEMS if len(w) >= k)):
+                if wanted is None or term in wanted:
+                    yield term, own
+
+    return paired(sample, "term string, number long", pairs)
+
+
+def endings(sample: DataFrame, wanted: frozenset[str]) -> DataFrame:
+    """(term, n): how many words begin with each stem."""
+    def pairs(words: set[str]) -> Iterator[tuple[str, int]]:
+        for w in words:
+            for k in STEMS:
+                if (term := w[:k] + "*") in wanted:
+                    yield term, xxhash.xxh3_64_intdigest(w) >> 1
 
-    rows = sample.select("text", "toxic").mapInArrow(run, "term string, toxic int, family long, form long")
-    return rows.groupBy("term", "toxic").agg(F.countDistinct("family").alias("n"), F.countDistinct("form").alias("forms"))
+    return paired(sample, "term string, number long", pairs)
 
 
 #: Where the fit starts and what the ridge pulls to: few samples hold misspelled or quoted terms.
@@ -230,16 +252,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = [known.filter(F.col("toxic") == t).orderBy(order).limit(fit_rows // 2) for t in (0, 1)]
     picked = chosen[0].union(chosen[1])
     bounded_batches(docs.sparkSession)
-    sample = docs.select(key.cast("long").alias("id"), quoted(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")  # fit_rows ids at most
+    # fit_rows ids at most are broadcast, and their texts kept: every pass below reads the sample alone
+    sample = durable(docs.select(key.cast("long").alias("id"), quoted(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id"))
 
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
         return Model({}, frozenset(), (math.log((bad + 0.5) / (good + 0.5)) if bad or good else math.log(0.01), *[0.0] * (len(FEATURES) - 1)))
-    toxic = {r["term"]: (r["n"], r["forms"]) for r in witnesses(sample.filter("toxic = 1"), None).filter(F.col("n") >= min_families).collect()}
+    bad_texts = sample.filter("toxic = 1")
+    toxic = {r["term"]: r["n"] for r in witnesses(bad_texts, None).filter(F.col("n") >= min_families).collect()}
     clean = {r["term"]: r["n"] for r in witnesses(sample.filter("toxic = 0"), frozenset(toxic)).collect()}
-    odds = {t: math.log((k + 0.5) / (bad + 1)) - math.log((clean.get(t, 0) + 0.5) / (good + 1)) for t, (k, _) in toxic.items()}
-    stems = {t for t, (_, forms) in toxic.items() if t.endswith("*") and forms >= 3 and odds[t] >= min_odds}
+    odds = {t: math.log((k + 0.5) / (bad + 1)) - math.log((clean.get(t, 0) + 0.5) / (good + 1)) for t, k in toxic.items()}
+    likely = frozenset(t for t in toxic if t.endswith("*") and odds[t] >= min_odds)
+    stems = {r["term"] for r in endings(bad_texts, likely).filter("n >= 3").collect()}
     stems = {t for t in stems if not any(t[:k] + "*" in stems for k in STEMS if k < len(t) - 1)}
     terms = {t: odds[t] for t in toxic if odds[t] >= min_odds and (t in stems or not t.endswith("*"))}
 
