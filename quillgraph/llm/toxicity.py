@@ -236,13 +236,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, held: int = 2, fit_rows: int = 40_000, min_families: int = 3, min_odds: float = 3.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, held: int = 2, fit_rows: int = 40_000, min_families: int = 3, min_odds: float = 3.0, chance: float = 20.0) -> Model:
     """A model from labelled rows whose crc32 of the id as text, modulo modulus, is not held.
 
     fit_rows bounds the sample: up to half of it toxic rows and the rest clean ones,
     those of least hash of the id. The lexicon takes words held by min_families
     families of toxic texts or more, with log odds of min_odds or more over clean
-    ones; stems also need three endings or more. Null labels and ids are left out;
+    ones, where about `chance` words in all would pass by chance; stems also need
+    three endings or more. Null labels and ids are left out;
     of repeated labels of an id the largest counts.
     """
     key = quoted(id_col)
@@ -263,10 +264,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     toxic = {r["term"]: r["n"] for r in witnesses(bad_texts, None).filter(F.col("n") >= min_families).collect()}
     clean = {r["term"]: r["n"] for r in witnesses(sample.filter("toxic = 0"), frozenset(toxic)).collect()}
     odds = {t: math.log((k + 0.5) / (bad + 1)) - math.log((clean.get(t, 0) + 0.5) / (good + 1)) for t, k in toxic.items()}
-    likely = frozenset(t for t in toxic if t.endswith("*") and odds[t] >= min_odds)
+    share, doubt = bad / (bad + good), math.log(max(len(toxic), 1) / chance)
+
+    def telling(t: str) -> bool:
+        """Likelier in toxic texts than chance makes any of so many terms."""
+        yes, no = toxic[t], clean.get(t, 0)
+        return odds[t] >= min_odds and yes * math.log(yes / ((yes + no) * share)) + (no * math.log(no / ((yes + no) * (1 - share))) if no else 0) >= doubt
+
+    good_terms = {t for t in toxic if telling(t)}
+    likely = frozenset(t for t in good_terms if t.endswith("*"))
     stems = {r["term"] for r in endings(bad_texts, likely).filter("n >= 3").collect()}
     stems = {t for t in stems if not any(t[:k] + "*" in stems for k in STEMS if k < len(t) - 1)}
-    terms = {t: odds[t] for t in toxic if odds[t] >= min_odds and (t in stems or not t.endswith("*"))}
+    terms = {t: odds[t] for t in good_terms if t in stems or not t.endswith("*")}
 
     rows = featured(sample, Model(terms, frozenset(), tuple([0.0] * len(FEATURES))))
     votes: dict[str, list[int]] = defaultdict(lambda: [0, 0])
