@@ -236,7 +236,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, held: int = 2, fit_rows: int = 40_000, min_families: int = 3, min_odds: float = 3.0, chance: float = 20.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, held: int = 2, fit_rows: int = 40_000, min_families: int = 3, min_odds: float = 3.0, chance: float = 1.0) -> Model:
     """A model from labelled rows whose crc32 of the id as text, modulo modulus, is not held.
 
     fit_rows bounds the sample: up to half of it toxic rows and the rest clean ones,
