@@ -91,12 +91,13 @@ def suggested_titles(probes: DataFrame, articles: DataFrame, title_col: str = "t
     """SC6: for each probe the title nearest to it that begins alike, score 950.
 
     Candidates share the first key_chars characters of the normalised title (an
-    equi-join); the least Levenshtein distance wins, ties to the smaller title."""
+    equi-join); titles that go on from the probe come before others, then the least
+    Levenshtein distance wins, ties to the smaller title."""
     key = lambda c: F.substring(title_key(c), 1, key_chars)
     named = articles.select("title", "path", key(F.col("title")).alias("_k"), title_key(F.col("title")).alias("_n"))
     asked = probes.withColumn("_k", key(F.col(title_col))).withColumn("_a", title_key(F.col(title_col))).filter(F.length("_k") == key_chars)
     near = asked.join(named, "_k").withColumn("_d", F.levenshtein("_n", "_a")).filter(F.col("_n").startswith(F.col("_a")) | (F.col("_d") <= F.length("_a") / 3))
-    first = Window.partitionBy(*probes.columns).orderBy("_d", "title", "path")
+    first = Window.partitionBy(*probes.columns).orderBy(~F.col("_n").startswith(F.col("_a")), "_d", "title", "path")
     return near.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_k", "_a", "_n", "_d", "_r").withColumn("score", F.lit(SUGGESTED))
 
 

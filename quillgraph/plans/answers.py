@@ -65,10 +65,11 @@ def gathered(questions: DataFrame, articles: DataFrame, profile: Profile, *, lim
     Lanes: list probes, the link walk, full text; of equal paths the first lane's row
     stays. The longest keyword is searched as well, where it is not the whole query,
     and its new paths follow: that is also the second try of a question without hits.
-    Then the title boost, exclusion and, with vectors, rank fusion."""
-    asked = analysed(questions, profile)
+    Then the title boost, exclusion and, with vectors, rank fusion. Lanes and result are
+    checkpointed: each is a table of a few rows for a question that several later steps read."""
+    asked = durable(analysed(questions, profile))
     lanes = [_shaped(list_probes(asked, articles, profile)), _shaped(walker_probes(asked, articles, profile), True), searched(asked, articles, "query", limit)]
-    hits = candidates.union_first(lanes)
+    hits = durable(candidates.union_first([durable(lane) for lane in lanes]))
     alone = asked.withColumn("longest", text.longest(F.col("terms"))).filter("longest is not null and longest <> query")
     hits = candidates.append_missing(hits, searched(alone, articles, "longest", limit))
     hits = candidates.title_boosted(hits.join(asked.select("q_id", "terms", "is_list", F.col("text").alias("question"), "anchors"), "q_id"))
@@ -76,7 +77,7 @@ def gathered(questions: DataFrame, articles: DataFrame, profile: Profile, *, lim
         hits = candidates.without_titles(hits, excluded)
     if query_vectors is not None and passage_vectors is not None:
         hits = candidates.reranked(hits, query_vectors, passage_vectors)
-    return hits
+    return durable(hits)
 
 
 def opened(hits: DataFrame, articles: DataFrame, profile: Profile) -> DataFrame:
@@ -136,15 +137,32 @@ def predecessors(starts: DataFrame, articles: DataFrame, profile: Profile, steps
     return graph.predecessor_chain(starts, both.groupBy("name_key").agg(F.min("before").alias("before")), steps=steps)
 
 
+def office_chains(questions: DataFrame, articles: DataFrame, profile: Profile, generate: extraction.Generator, steps: int = 3) -> DataFrame:
+    """(q_id, chain, answer) of questions that want an enumeration and whose entity's card
+    names an office holder: the holder and the names before, put into words by the generator."""
+    asked = analysed(questions.filter(text.wants_enumeration(F.col("text"), profile)), profile).filter("entity is not null")
+    seeds = index.lookup_titles(asked.select("q_id", F.col("entity").alias("title_asked")), articles).join(articles.select("path", "card"), "path")
+    holder = text.office_holder(html.card_block(F.col("card"), profile), profile)
+    starts = seeds.select("q_id", holder.alias("name")).filter("name is not null")
+    names = predecessors(starts, articles, profile, steps).groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("step", "name"))).alias("l"))
+    chains = names.select("q_id", F.transform("l", lambda x: x["name"]).alias("chain")).join(questions, "q_id")
+    listed = F.array_join(F.transform("chain", lambda n: F.concat(F.lit("- "), n)), "\n")
+    rows = chains.select("q_id", "chain", F.col("text").alias("question"), F.lit("").alias("title"), listed.alias("text"), F.lit(True).alias("is_seed"))
+    return extraction.map_documents(rows, generate, profile).select("q_id", "chain", text.after_thinking(F.col("raw")).alias("answer"))
+
+
 def agentic(questions: DataFrame, articles: DataFrame, profile: Profile, generate: extraction.Generator, *, hops: int = 3) -> DataFrame:
     """AGN1: (q_id, answer, hops): each question's context grows by searches that the
-    generator asks for, hops times at most; a repeated query costs its hop.
+    generator asks for, hops times at most; a repeated query costs its hop. Questions
+    that office_chains answers go that way first.
 
     One plan for all open questions at each hop; what is settled leaves the loop."""
     say = profile.strings
+    chained = durable(office_chains(questions, articles, profile, generate).select("q_id", "answer", F.lit(0).alias("hops")))
+    questions = questions.join(chained, "q_id", "left_anti")
     first = excerpt_blocks(gathered(questions, articles, profile), articles, profile, top_k=4, budget=3500, list_budget=3500)
     state = questions.join(first, "q_id", "left").select("q_id", "text", F.coalesce("block", F.lit("")).alias("seed"), F.lit("").alias("trail"), F.coalesce("titles", F.array().cast("array<string>")).alias("seen"), F.array().cast("array<string>").alias("asked"))
-    done = None
+    done = chained
     for hop in range(hops + 1):
         final = hop == hops
         prompt = F.concat(F.lit(f"{say['question']}: "), "text", F.lit("\n\n"), excerpts.agentic_context(F.col("seed"), F.col("trail")), F.lit(f"\n\n{'final' if final else profile.directive}"))
@@ -152,7 +170,7 @@ def agentic(questions: DataFrame, articles: DataFrame, profile: Profile, generat
         told = durable(extraction.map_documents(asking, generate, profile).withColumn("text", F.col("text0")))
         told = told.withColumn("next", text.search_directive(text.after_thinking(F.col("raw")), profile))
         settled = told.filter(F.col("next").isNull() | F.lit(final)).select("q_id", text.without_directives(text.after_thinking(F.col("raw")), profile).alias("answer"), F.lit(hop).alias("hops"))
-        done = settled if done is None else done.unionByName(settled)
+        done = done.unionByName(settled)
         if final:
             break
         more = told.filter("next is not null").withColumn("repeat", F.array_contains("asked", text.normalised_query(F.col("next"))))

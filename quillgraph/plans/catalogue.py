@@ -38,10 +38,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from quillgraph.plans import catalogue_more  # adds its own
+
+    assert catalogue_more.query is query
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
