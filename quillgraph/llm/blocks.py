@@ -19,6 +19,7 @@ from row order, so recomputed tasks rebuild the same blocks.
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -36,6 +37,36 @@ FLUSH_BYTES = 12 << 20
 MESSAGE = "block int, bucket int, payload binary"
 
 
+#: Labels of the second set of buckets start here.
+SECOND = 1 << 29
+
+
+def hashed(value: int) -> int:
+    """Spark's hash of an int column: Murmur3, 32 bits, seed 42."""
+    def rotated(x: int, r: int) -> int:
+        return (x << r | x >> (32 - r)) & 0xFFFFFFFF
+
+    k = rotated(value * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+    h = (rotated(42 ^ k, 13) * 5 + 0xE6546B64 & 0xFFFFFFFF) ^ 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+@functools.lru_cache(8)
+def labels(n: int, start: int = 0) -> tuple[int, ...]:
+    """n numbers from start on of which Spark's hash partitioning puts one into each of
+    n partitions. Blocks and buckets numbered 0, 1, … would share partitions by chance:
+    the fullest would get several times the mean."""
+    out: dict[int, int] = {}
+    value = start
+    while len(out) < n:
+        out.setdefault(hashed(value) % n, value)
+        value += 1
+    return tuple(out[k] for k in range(n))
+
+
 def dump(value) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, protocol=5))
 
@@ -54,12 +85,13 @@ def pack(docs: DataFrame, id_col: str, text_col: str, n: int | None = None) -> D
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"), F.pmod(key, F.lit(n)).cast("int").alias("block"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = labels(n)
         held: dict[int, tuple[list, list]] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
             keys = sorted(held)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([dump(held[k]) for k in keys], pa.binary())], ["block", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([place[k] for k in keys], pa.int32()), pa.array([dump(held[k]) for k in keys], pa.binary())], ["block", "payload"])
 
         for batch in batches:
             for i, t, b in zip(batch[0].to_pylist(), batch[1].cast(pa.binary()).to_pylist(), batch[2].to_pylist(), strict=True):
@@ -86,21 +118,23 @@ def block_of(*frames: pd.DataFrame) -> int:
     return int(next(f["block"].iloc[0] for f in frames if len(f)))
 
 
-def messages(block: int, by_bucket: dict) -> pd.DataFrame:
+def messages(block: int, by_bucket: dict, n: int) -> pd.DataFrame:
+    """Buckets 0 to n - 1, and n to 2 n - 1 for a second set, get their labels here."""
     keys = [k for k, v in by_bucket.items() if v is not None]
-    return pd.DataFrame({"block": np.full(len(keys), block, np.int32), "bucket": np.array(keys, np.int32), "payload": [dump(by_bucket[k]) for k in keys]})
+    place = (*labels(n), *labels(n, SECOND)) if any(k >= n for k in keys) else labels(n)
+    return pd.DataFrame({"block": np.full(len(keys), block, np.int32), "bucket": np.array([place[k] for k in keys], np.int32), "payload": [dump(by_bucket[k]) for k in keys]})
 
 
-def ask(blocks: DataFrame, answers: DataFrame | None, build: Callable) -> DataFrame:
+def ask(blocks: DataFrame, answers: DataFrame | None, build: Callable, n: int) -> DataFrame:
     """build(block frame[, earlier answers]) -> {bucket: value or None}, for each block."""
     if answers is None:
         def alone(frame: pd.DataFrame) -> pd.DataFrame:
-            return messages(block_of(frame), build(frame))
+            return messages(block_of(frame), build(frame), n)
 
         return blocks.groupBy("block").applyInPandas(alone, MESSAGE)
 
     def beside(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        return messages(block_of(frame, told), build(frame, told) if len(frame) else {})
+        return messages(block_of(frame, told), build(frame, told) if len(frame) else {}, n)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(beside, MESSAGE)
 

@@ -145,6 +145,6 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
             rows["decoded"].append(decode(ids, path))
         return pd.DataFrame(rows | {"id": blocks.ids_column(rows["id"])})
 
-    answers = blocks.reply(blocks.ask(packed, None, distinct), n, encode)
+    answers = blocks.reply(blocks.ask(packed, None, distinct, n), n, encode)
     found = blocks.finish(packed, answers, assemble, "id long, n_tokens long, ids binary, decoded string")
     return found.select(F.col("id").alias(id_col), "n_tokens", "ids", "decoded")

@@ -233,8 +233,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             count.append(c)
         return out
 
-    asked = durable(blocks.ask(packed, None, ask))
-    of_words, of_events = asked.filter(F.col("bucket") < n), asked.filter(F.col("bucket") >= n)
+    asked = durable(blocks.ask(packed, None, ask, n))
+    of_words, of_events = asked.filter(F.col("bucket") < blocks.SECOND), asked.filter(F.col("bucket") >= blocks.SECOND)
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         keys, counts = zip(*(blocks.load(p) for p in frame["payload"]), strict=True)
@@ -302,7 +302,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         keys, values = [], []
         for b, p in zip(answers["bucket"], answers["payload"], strict=True):
             told = blocks.load(p)
-            if b < n:
+            if b < blocks.SECOND:
                 count.update(zip(*told, strict=True))
             else:
                 keys.append(told[0])

@@ -265,12 +265,12 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         return build
 
-    answers = blocks.reply(blocks.ask(packed, None, first), n, repeated)
+    answers = blocks.reply(blocks.ask(packed, None, first, n), n, repeated)
     width = seed
     while 2 * width < window:
-        answers = blocks.reply(blocks.ask(packed, answers, between(width)), n, repeated)
+        answers = blocks.reply(blocks.ask(packed, answers, between(width), n), n, repeated)
         width *= 2
-    answers = blocks.reply(blocks.ask(packed, answers, full(width)), n, earlier)
+    answers = blocks.reply(blocks.ask(packed, answers, full(width), n), n, earlier)
 
     def build(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows, parts, at = [], [], 0
