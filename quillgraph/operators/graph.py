@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import href_title, normalised_query
 from quillgraph.functions.vocab import Profile
+from quillgraph.operators.index import only
 from quillgraph.operators.storage import durable
 
 
@@ -19,7 +20,7 @@ def bounded_walk(seeds: DataFrame, edges: DataFrame, *, properties: DataFrame |
     in (parent, property, link) order once max_nodes are reached. properties:
     (q_col, prop, prop_ord) allowed for each question; none: all. A frontier never
     holds more than max_nodes paths for a question, so state stays small; the edges
-    are read once for each level. Levels are checkpointed: a later one does not
+    are read once for each level and, for a frontier of few paths, not shuffled. Levels are checkpointed: a later one does not
     compute the earlier ones again, and an empty one ends the walk.
     """
     links = edges.select(F.col("src_path").alias("from_path"), F.col("prop").alias("via_prop"), F.col("text").alias("via_label"), F.col("dst_path").alias("path"), F.col("ord").alias("_link"))
@@ -27,7 +28,7 @@ def bounded_walk(seeds: DataFrame, edges: DataFrame, *, properties: DataFrame |
     front = start.withColumn("_parent", F.lit(0))
     known = start.withColumn("ord", F.lit(0)).withColumn("depth", F.lit(0)).withColumn("via_prop", F.lit(None).cast("string")).withColumn("via_label", F.lit(None).cast("string")).withColumn("from_path", F.lit(None).cast("string"))
     for depth in range(1, max_depth + 1):
-        step = front.select(q_col, F.col("path").alias("from_path"), "_parent").join(links, "from_path")
+        step = front.select(q_col, F.col("path").alias("from_path"), "_parent").join(only(links, front, "from_path", "path"), "from_path")
         if properties is not None:
             step = step.join(properties.select(q_col, F.col("prop").alias("via_prop"), F.col("prop_ord").alias("_prop")), [q_col, "via_prop"])
         else:

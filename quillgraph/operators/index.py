@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import PUNCT
+from quillgraph.operators.storage import durable
 
 K1, B = 1.2, 0.75
 EXACT, SUGGESTED, PREFIXED = 1000, 950, 800
@@ -20,6 +21,16 @@ def fitted(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def only(table: DataFrame, keys: DataFrame, column: str, key: str | None = None) -> DataFrame:
+    """table's rows whose column is among the keys. Up to BROADCAST_ROWS keys are
+    broadcast, so that a large table is read and not shuffled for a few lookups; beyond
+    that table comes back whole, and the join that follows shuffles it."""
+    wanted = keys.select(F.col(key or column).alias(column)).filter(F.col(column).isNotNull()).distinct()
+    if wanted.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return table
+    return table.join(F.broadcast(wanted), column, "left_semi")
+
+
 def terms(text: Column, least: int = 3) -> Column:
     """Index terms: lower-case words of least characters or more."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), PUNCT, " "), r"\s+"), lambda t: F.length(t) >= least)
@@ -28,8 +39,8 @@ def terms(text: Column, least: int = 3) -> Column:
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, term, tf, dl): term frequencies and document lengths in terms.
 
-    A document's terms are counted in its own row before they are spread out, so
-    nothing is shuffled."""
+    A document's occurrences of a term are combined on the map side: one row for each
+    term it holds is shuffled."""
     listed = docs.select(id_col, terms(F.col(text_col)).alias("t")).filter(F.size("t") > 0)
     return listed.select(id_col, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
 
@@ -44,7 +55,8 @@ def bm25_search(docs: DataFrame, questions: DataFrame, *, id_col: str = "doc_id"
     """SC4: (q_col, rank, id_col, score): the k best documents of each question.
 
     Only the questions' terms are looked for: a document's row drops other terms
-    before anything is shuffled. Ties go to the smaller id. Questions without terms
+    before anything is shuffled, and what is left is checkpointed, since document
+    frequencies and scores both read it. Ties go to the smaller id. Questions without terms
     or matches have no rows. Question terms are broadcast when they are counted few.
     """
     asked = questions.select(q_col, F.explode(F.array_distinct(terms(F.col(query_col)))).alias("term"))
@@ -52,7 +64,7 @@ def bm25_search(docs: DataFrame, questions: DataFrame, *, id_col: str = "doc_id"
     few = vocabulary.count()
     listed = docs.select(id_col, terms(F.col(text_col)).alias("t")).filter(F.size("t") > 0)
     spread = listed.select(id_col, F.size("t").alias("dl"), F.explode("t").alias("term")).join(fitted(vocabulary, few), "term", "left_semi")
-    found = spread.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
+    found = durable(spread.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf")))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(docs, text_col).head()  # two numbers
     n, avg = F.lit(float(stats["n_docs"])), F.lit(float(stats["avg_dl"] or 1.0))
@@ -72,8 +84,8 @@ def title_key(title: Column) -> Column:
 
 def follow_redirects(hits: DataFrame, articles: DataFrame, hops: int = 3) -> DataFrame:
     """hits with path, title and is_redirect of where up to hops redirects lead."""
-    to = articles.select(F.col("path").alias("_p"), F.col("title").alias("_t"), F.col("is_redirect").alias("_r"), F.col("redirect_to").alias("_to"))
     for _ in range(hops):
+        to = only(articles, hits.filter("is_redirect"), "path", "redirect_to").select(F.col("path").alias("_p"), F.col("title").alias("_t"), F.col("is_redirect").alias("_r"), F.col("redirect_to").alias("_to"))
         step = hits.join(to, F.col("is_redirect") & (F.col("redirect_to") == F.col("_p")), "left")
         moved = F.col("_p").isNotNull()
         hits = step.select(*[c for c in hits.columns if c not in ("path", "title", "is_redirect", "redirect_to")], F.when(moved, F.col("_p")).otherwise(F.col("path")).alias("path"), F.when(moved, F.col("_t")).otherwise(F.col("title")).alias("title"), F.when(moved, F.col("_r")).otherwise(F.col("is_redirect")).alias("is_redirect"), F.when(moved, F.col("_to")).otherwise(F.col("redirect_to")).alias("redirect_to"))
@@ -82,7 +94,7 @@ def follow_redirects(hits: DataFrame, articles: DataFrame, hops: int = 3) -> Dat
 
 def exact_titles(probes: DataFrame, articles: DataFrame, title_col: str = "title_asked", hops: int = 3) -> DataFrame:
     """SC5: probes joined to the article of that title, redirects followed, score 1000."""
-    named = articles.select(F.col("title").alias(title_col), "title", "path", "is_redirect", "redirect_to")
+    named = only(articles, probes, "title", title_col).select(F.col("title").alias(title_col), "title", "path", "is_redirect", "redirect_to")
     hit = probes.join(named, title_col)
     return follow_redirects(hit, articles, hops).drop("redirect_to", "is_redirect").withColumn("score", F.lit(EXACT))
 
@@ -110,7 +122,7 @@ def lookup_titles(probes: DataFrame, articles: DataFrame, title_col: str = "titl
 
 def raw_titles(probes: DataFrame, articles: DataFrame, body_col: str = "body", title_col: str = "title_asked") -> DataFrame:
     """SC7: (…, title, path, is_redirect, body_len); a redirect is not followed and has length 0."""
-    named = articles.select(F.col("title").alias(title_col), "title", "path", "is_redirect", F.when(F.col("is_redirect"), 0).otherwise(F.length(body_col)).alias("body_len"))
+    named = only(articles, probes, "title", title_col).select(F.col("title").alias(title_col), "title", "path", "is_redirect", F.when(F.col("is_redirect"), 0).otherwise(F.length(body_col)).alias("body_len"))
     return probes.join(named, title_col)
 
 
@@ -134,4 +146,4 @@ def prefix_matches(probes: DataFrame, articles: DataFrame, limit: int, prefix_co
 
 def article_html(hits: DataFrame, articles: DataFrame) -> DataFrame:
     """SC9: hits with the page at their path, redirects followed; null where there is none."""
-    return hits.join(articles.select("path", "html"), "path", "left")
+    return hits.join(only(articles, hits, "path").select("path", "html"), "path", "left")

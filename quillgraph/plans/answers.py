@@ -55,7 +55,8 @@ def walker_probes(asked: DataFrame, articles: DataFrame, profile: Profile, max_n
 def searched(asked: DataFrame, articles: DataFrame, query_col: str, k: int) -> DataFrame:
     """The full-text lane."""
     found = index.bm25_search(articles.filter(~F.col("is_redirect")), asked, id_col="path", text_col="body", query_col=query_col, k=k)
-    named = found.join(articles.select("path", "title", F.substring("body", 1, 300).alias("snippet")), "path")
+    found = durable(found)
+    named = found.join(index.only(articles, found, "path").select("path", "title", F.substring("body", 1, 300).alias("snippet")), "path")
     return named.select("q_id", F.col("rank").alias("ord"), "title", "path", "snippet", F.least(F.round("score"), F.lit(100.0)).cast("int").alias("score"), F.lit(None).cast("string").alias("source_tag"))
 
 
@@ -82,7 +83,7 @@ def gathered(questions: DataFrame, articles: DataFrame, profile: Profile, *, lim
 
 def opened(hits: DataFrame, articles: DataFrame, profile: Profile) -> DataFrame:
     """JN1: hits with their article's card block, body and the sections the question asks for."""
-    own = articles.select("path", html.card_block(F.col("card"), profile).alias("card"), "body", "sections")
+    own = index.only(articles, hits, "path").select("path", html.card_block(F.col("card"), profile).alias("card"), "body", "sections")
     return hits.join(own, "path", "left").withColumn("section", html.sections_text(F.col("sections"), F.col("anchors"), 1 << 20)).drop("sections")
 
 
