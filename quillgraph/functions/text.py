@@ -250,6 +250,7 @@ def parse_size(text: Column) -> Column:
     return (number * factor).cast("long")
 
 
+# Fixed value: the archives' file name format.
 ARCHIVE = r"(?i)^wikipedia_([a-z]{2,3})_([a-z][a-z0-9]*)_(maxi|mini|nopic)_(\d{4}-\d{2})\.zim$"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import archive_name, in_size_range, model_owner, parse_size
 
+# Fixed value: a row of a directory listing.
 ROW = r'(?is)<a\s+href="([^"]+\.zim)"[^>]*>[^<]+</a>\s*</td>\s*<td[^>]*>\s*([^<]+?)\s*</td>\s*<td[^>]*>\s*([^<]+?)\s*</td>'
 
 

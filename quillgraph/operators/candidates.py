@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.vectors import cosine_normalised
 
+# Score lanes.
 PINNED, CONFIDENT, LIST_ARTICLE = 500, 800, 2000
 
 

@@ -11,6 +11,7 @@ from quillgraph.functions.text import PUNCT
 from quillgraph.operators.storage import durable
 
 K1, B = 1.2, 0.75
+# Score lanes.
 EXACT, SUGGESTED, PREFIXED = 1000, 950, 800
 #: A broadcast side holds this many rows at most; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The line format, the number of entries and bytes kept, the level letters and the escape.
 LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) ([A-Z])/([^:]*): (.*)$"
 KEPT, BYTES = 500, 256 * 1024
 LEVELS = {"D": "DEBUG", "I": "INFO", "W": "WARN", "E": "ERROR"}
