@@ -73,9 +73,27 @@ SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count
 FROM sd JOIN si USING (k, s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) >= ceil(any_value(n_item) * 0.8 - 1e-9)"""
 
+SUBSTRINGS = rf"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM w WHERE len(w) >= 20)),
+late AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(struct_pack(d := doc_id, q := p)) OVER (PARTITION BY k) AS f FROM win)
+  WHERE doc_id > f.d OR p > f.q),
+gone AS (SELECT DISTINCT doc_id, p + o AS p FROM late, range(20) t(o)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY words.p) FILTER (g.p IS NULL) AS t
+  FROM words LEFT JOIN gone g USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)"""
+
 ORACLES = {
     "op1_line_dedup": line_dedup(),
     "op4_benchmark_decontamination": DECONTAMINATION,
+    "op5_substring_dedup": SUBSTRINGS,
     "op7_url_filter": URLS,
     "op8_exact_topk": TOPK,
 }
