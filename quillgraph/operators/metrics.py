@@ -60,3 +60,12 @@ def kept_context(tokens: Column, n_ctx: int, reserve: int = 16) -> Column:
     """The last n_ctx - reserve tokens of a prompt."""
     room = n_ctx - reserve
     return F.when(F.size(tokens) > room, F.slice(tokens, F.size(tokens) - room + 1, F.lit(room))).otherwise(tokens)
+
+
+def with_entry(cells: Column, key: Column, value: Column) -> Column:
+    """ST-U5: a map with the key set."""
+    return F.map_concat(without_key(cells, key), F.create_map(key, value))
+
+
+def without_key(cells: Column, key: Column) -> Column:
+    return F.map_filter(cells, lambda k, _: k != key)

@@ -169,3 +169,15 @@ def test_rates(spark):
 def test_name_match(spark):
     rows = hits(spark, [("Самара", "a", 1), ("Сухих, Илья Геннадьевич", "b", 1)])
     assert paths(candidates.best_name_match(rows, F.lit("Илья Геннадьевич Сухих"))) == ["b"]
+
+
+def test_map_edits(one):
+    m = F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))
+    assert one(metrics.with_entry(m, F.lit("a"), F.lit(5))) == {"b": 2, "a": 5}
+    assert one(metrics.without_key(m, F.lit("a"))) == {"b": 2}
+
+
+def test_throttle_and_debounce(spark):
+    rows = spark.createDataFrame([("a", t) for t in (0, 150, 300, 350, 900)], "id string, ms long")
+    assert sorted(r["ms"] for r in metrics.throttled(rows, by="id", ts_ms="ms").collect()) == [0, 300, 900]
+    assert sorted(r["ms"] for r in metrics.debounced(rows, by="id", ts_ms="ms").collect()) == [350, 900]

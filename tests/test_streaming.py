@@ -56,3 +56,11 @@ def test_throttle(spark, tmp_path):
     rows = [("a", 0, False), ("a", 150, False), ("a", 300, False), ("a", 350, True)]
     got = run(spark, tmp_path, [rows[:2], rows[2:]], "id string, ms long, final boolean", lambda s: running.running_throttle(s, by="id", ts_ms="ms", last=F.col("final")), "append")
     assert sorted(r["ms"] for r in got) == [0, 300, 350]
+
+
+def test_debounce(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    at = lambda ms, v: ("a", t + datetime.timedelta(milliseconds=ms), v)
+    rows = [[at(0, "x"), at(100, "y")], [at(1000, "z")], [at(60000, "w")], [at(120000, "v")]]
+    got = run(spark, tmp_path, rows, "id string, ts timestamp, v string", lambda s: running.running_debounce(s, by="id", ts="ts", value="v"), "append")
+    assert {"y", "z"} <= {r["v"] for r in got} <= {"y", "z", "w"}
