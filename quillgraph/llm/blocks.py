@@ -30,10 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bounded_batches, partitions, quoted
+from quillgraph.llm.common import bounded_batches, give_back, partitions, quoted
 
 #: Text bytes that a map task holds back before it writes packed rows.
 FLUSH_BYTES = 12 << 20
+#: Of zstd: most of what it can save, at a few CPU seconds a GB.
+LEVEL = 5
 MESSAGE = "block int, bucket int, payload binary"
 
 
@@ -68,7 +70,7 @@ def labels(n: int, start: int = 0) -> tuple[int, ...]:
 
 
 def dump(value) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, protocol=5))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(pickle.dumps(value, protocol=5))
 
 
 def load(payload: bytes):
@@ -129,11 +131,13 @@ def ask(blocks: DataFrame, answers: DataFrame | None, build: Callable, n: int) -
     """build(block frame[, earlier answers]) -> {bucket: value or None}, for each block."""
     if answers is None:
         def alone(frame: pd.DataFrame) -> pd.DataFrame:
+            give_back()
             return messages(block_of(frame), build(frame), n)
 
         return blocks.groupBy("block").applyInPandas(alone, MESSAGE)
 
     def beside(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         return messages(block_of(frame, told), build(frame, told) if len(frame) else {}, n)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(beside, MESSAGE)
@@ -144,6 +148,7 @@ def reply(requests: DataFrame, n: int, answer: Callable) -> DataFrame:
 
     The result is dealt by block, beside the texts."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         told = answer(frame)
         kept = [i for i, x in enumerate(told) if x is not None]
         return pd.DataFrame({"block": frame["block"].to_numpy()[kept], "bucket": frame["bucket"].to_numpy()[kept], "payload": [dump(told[i]) for i in kept]})
@@ -154,6 +159,7 @@ def reply(requests: DataFrame, n: int, answer: Callable) -> DataFrame:
 def finish(blocks: DataFrame, answers: DataFrame, build: Callable, schema: str) -> DataFrame:
     """build(block frame, answers) -> result rows."""
     def run(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         return build(frame, told)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)

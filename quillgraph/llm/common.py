@@ -3,9 +3,11 @@ batch bounds, output columns, crc32 folds and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,16 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: an executor's workers stay
+    and share its memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster names a shared folder in spark.checkpoint.dir; only where it
     names none (as in tests on one machine) a temporary one is used."""
