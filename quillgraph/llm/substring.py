@@ -98,7 +98,8 @@ class Chunk:
     def starts(self) -> np.ndarray:
         """Starts whose seed is the least of the seeds of some full window."""
         reach = self.window - self.seed
-        seeds = self.at(self.seed)
+        # in another order than that of the hashes: the least of these would all go to the first buckets
+        seeds = self.at(self.seed) * np.uint64(MULTIPLIERS[1])
         if len(seeds) <= reach:
             return np.empty(0, np.int64)
         low = sliding(seeds, reach + 1, True)
