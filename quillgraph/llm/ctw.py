@@ -28,6 +28,8 @@ from quillgraph.llm.common import durable, partitions
 END = b"\n"
 #: Bytes whose contexts are sorted at once.
 CHUNK = 1 << 20
+#: Sorted contexts that a block holds before it merges them.
+MERGE = 1 << 21
 KEYS = "bucket int, payload binary"
 
 
@@ -126,8 +128,11 @@ class Level:
 
 
 def gathered(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    distinct, where = np.unique(keys, return_inverse=True)
-    return distinct, *(np.bincount(where, c, len(distinct)) for c in columns)
+    """Distinct keys, sorted, and the sums of their columns."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], *(np.add.reduceat(c[order].astype(np.float64), first) if len(keys) else np.empty(0) for c in columns)
 
 
 def decision(key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,6 +218,9 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 seen.append(a)
                 counts.append(b)
                 chunk, size = [], 0
+                if sum(map(len, seen)) > MERGE:
+                    a, b = gathered(np.concatenate(seen), np.concatenate(counts))
+                    seen[:], counts[:] = [a], [b]
 
         for i, t in blocks.documents(frame):
             words, out = tokens(t), held_out(i, modulus)
