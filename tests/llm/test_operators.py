@@ -1,4 +1,5 @@
 import hashlib
+import inspect
 import random
 import sys
 from collections import Counter
@@ -104,6 +105,20 @@ def test_near_copies_at_a_similarity_of_08(spark):
     assert out.columns == frame(spark, rows).columns
 
 
+@pytest.mark.parametrize("n", [10_000, 250_000, 2_000_000])
+def test_tables_find_pairs_at_the_limit(n):
+    rng = np.random.default_rng(9)
+    options = {k: v.default for k, v in inspect.signature(near_copies.near_copy_groups).parameters.items()}
+    k, count = near_copies.tables(n, options["miss"], options["radius"])
+    a = rng.integers(0, 2, (2000, near_copies.SEGMENTS, 2))
+    flips = rng.random(a.shape) < 0.1515  # a similarity of 0.8
+    same = a.sum(axis=2) == (a ^ flips).sum(axis=2)
+    met = np.zeros(len(a), bool)
+    for _ in range(count):
+        met |= same[:, rng.choice(near_copies.SEGMENTS, k, replace=False)].all(axis=1)
+    assert (met & (flips.sum(axis=(1, 2)) <= options["radius"])).mean() > 0.95
+
+
 def test_cells_of_any_size_keep_their_groups():
     rng = np.random.default_rng(5)
     centre = rng.integers(0, 1 << 63, (3, near_copies.WORDS), dtype=np.uint64)
