@@ -105,6 +105,21 @@ def test_near_copies_at_a_similarity_of_08(spark):
     assert out.columns == frame(spark, rows).columns
 
 
+def test_near_copies_are_verified(spark):
+    """Texts of similarity 0.65 to 0.78 stay, though many fingerprints lie within the radius; those just above 0.8 go."""
+    def similarity(x, y):
+        x, y = set(simhash.shingles(x.encode(), 5)), set(simhash.shingles(y.encode(), 5))
+        return len(x & y) / len(x | y)
+
+    rng = random.Random(2)
+    bases = {k: " ".join(f"w{rng.randrange(3000)}" for _ in range(300)) for k in range(60)}
+    far = {100 + k: edited(t, 9 if k % 2 else 12, rng) for k, t in bases.items()}
+    near = {200 + k: edited(t, 5, rng) for k, t in bases.items()}
+    assert all(0.6 < similarity(bases[k], far[100 + k]) < 0.8 < similarity(bases[k], near[200 + k]) for k in bases)
+    kept = {r["doc_id"] for r in near_copies.one_of_each(frame(spark, list((bases | far | near).items()))).collect()}
+    assert set(bases) | set(far) <= kept and len(kept & set(near)) <= 3
+
+
 @pytest.mark.parametrize("n", [10_000, 250_000, 2_000_000])
 def test_tables_find_pairs_at_the_limit(n):
     rng = np.random.default_rng(9)
