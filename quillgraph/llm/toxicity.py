@@ -222,14 +222,14 @@ def endings(sample: DataFrame, wanted: frozenset[str]) -> DataFrame:
 PRIOR = np.array([0, 1.5, 0.3, 0, 0.5, 0, 0])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression with a ridge around PRIOR, by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression of weighted rows with a ridge around PRIOR, by Newton steps."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-3
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * (w - PRIOR))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (p - y)) + penalty * (w - PRIOR))
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -240,7 +240,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """A model from labelled rows whose crc32 of the id as text, modulo modulus, is not held.
 
     fit_rows bounds the sample: up to half of it toxic rows and the rest clean ones,
-    those of least hash of the id. The lexicon takes words held by min_families
+    those of least hash of the id. In the fit and in the votes on exceptions a row
+    weighs as many labelled rows as it stands for, so the score follows the labels' own
+    mix of classes at any size. The lexicon takes words held by min_families
     families of toxic texts or more, with log odds of min_odds or more over clean
     ones, where about `chance` words in all would pass by chance; stems also need
     three endings or more. Null labels and ids are left out;
@@ -250,6 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = labels.select(key.cast("long").alias("id"), quoted(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").filter(crc_fold(F.col("id"), modulus) != held)
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("id", F.lit(11))
+    totals = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    stands = [max(1.0, totals.get(t, 0) / max(fit_rows // 2, 1)) for t in (0, 1)]  # labelled rows for each one sampled
     chosen = [known.filter(F.col("toxic") == t).orderBy(order).limit(fit_rows // 2) for t in (0, 1)]
     picked = chosen[0].union(chosen[1])
     bounded_batches(docs.sparkSession)
@@ -259,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
-        return Model({}, frozenset(), (math.log((bad + 0.5) / (good + 0.5)) if bad or good else math.log(0.01), *[0.0] * (len(FEATURES) - 1)))
+        return Model({}, frozenset(), (math.log((bad * stands[1] + 0.5) / (good * stands[0] + 0.5)) if bad or good else math.log(0.01), *[0.0] * (len(FEATURES) - 1)))
     bad_texts = sample.filter("toxic = 1")
     toxic = {r["term"]: r["n"] for r in witnesses(bad_texts, None).filter(F.col("n") >= min_families).collect()}
     clean = {r["term"]: r["n"] for r in witnesses(sample.filter("toxic = 0"), frozenset(toxic)).collect()}
@@ -267,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     share, doubt = bad / (bad + good), math.log(max(len(toxic), 1) / chance)
 
     def telling(t: str) -> bool:
-        """Likelier in toxic texts than chance makes any of so many terms."""
+        """Likelier in toxic texts than chance makes any of so many terms. Counts and share are the sample's."""
         yes, no = toxic[t], clean.get(t, 0)
         return odds[t] >= min_odds and yes * math.log(yes / ((yes + no) * share)) + (no * math.log(no / ((yes + no) * (1 - share))) if no else 0) >= doubt
 
@@ -282,10 +286,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     for r in rows:
         for w in r["near"]:
             votes[w][r["toxic"]] += 1
-    exceptions = frozenset(w for w, (no, yes) in votes.items() if no >= yes)
+    exceptions = frozenset(w for w, (no, yes) in votes.items() if no * stands[0] >= yes * stands[1])
     if exceptions:
         rows = featured(sample, Model(terms, exceptions, tuple([0.0] * len(FEATURES))))
-    w = logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
+    y = np.array([r["toxic"] for r in rows], float)
+    weight = np.where(y > 0, stands[1], stands[0])
+    w = logistic(np.array([r["x"] for r in rows]), y, weight / weight.mean())  # the ridge meets as many rows as were read
     return Model(terms, exceptions, tuple(float(v) for v in w))
 
 

@@ -287,6 +287,17 @@ def test_toxicity(spark):
     assert sum(r["predicted"] == (r["doc_id"] % 3 == 0) for r in held) / len(held) > 0.95
 
 
+def test_toxicity_keeps_the_class_mix_of_the_labels(spark):
+    """A tenth is toxic, and no word tells it: a capped sample scores as the whole does."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(WORDS) for _ in range(12))) for k in range(800)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(800)], "doc_id long, toxic int")
+    plain = docs.sparkSession.createDataFrame([(1, "the cat")], "doc_id long, text string")
+    whole, capped = (toxicity.score_documents(plain, toxicity.fit(docs, labels, fit_rows=n)).head() for n in (40_000, 100))
+    assert abs(whole["score"] - 0.1) < 0.05 and abs(capped["score"] - 0.1) < 0.05
+    assert whole["predicted"] == capped["predicted"] == 0
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame(TOXIC[:5], SCHEMA)
     m = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
