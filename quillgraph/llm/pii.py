@@ -197,6 +197,8 @@ KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("phone", r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])", phone),
 )
 HINT = re.compile(r"\d|@")
+#: Kinds whose values may stand beside other numbers or capitals that their pattern takes as well, and the runs of characters that they lie in.
+BESIDE = {"iban": re.compile(r"[A-Z0-9](?: ?[A-Z0-9])*"), "card": re.compile(r"\d(?:[ -]?\d)*")}
 
 
 @functools.lru_cache(1)
@@ -204,6 +206,36 @@ def compiled() -> tuple:
     return tuple((name, re.compile(p), change) for name, p, change in KINDS)
 
 
+def valid_spans(text: str, start: int, end: int, pattern: re.Pattern, valid: Callable[[str], bool]) -> list[tuple[int, int]]:
+    """Values in text[start:end], from left to right: at each start the longest valid
+    one that ends with its match or before a space or hyphen in it."""
+    spans, at = [], start
+    while (m := pattern.search(text, at)) and m.start() < end:
+        a = m.start()
+        ends = [m.end(), *(i for i in range(m.end() - 1, a, -1) if text[i] in " -" and text[i - 1] not in " -")]
+        b = next((b for b in ends if pattern.fullmatch(text, a, b) and valid(text[a:b])), None)
+        if b:
+            spans.append((a, b))
+        at = b or a + 1
+    return spans
+
+
+def replaced_beside(text: str, run: re.Pattern, pattern: re.Pattern, change: Callable[[str], str | None], valid: Callable[[str], bool]) -> list[tuple[int, int, str]]:
+    """(start, end, new) of the values in text. The values of a run are changed on
+    until the new ones are found at the same places, so the way back finds them too."""
+    out = []
+    for m in run.finditer(text):
+        spans = valid_spans(text, m.start(), m.end(), pattern, valid)
+        now = text
+        while spans:
+            for a, b in spans:
+                now = now[:a] + change(now[a:b]) + now[b:]
+            if valid_spans(now, m.start(), m.end(), pattern, valid) == spans:
+                break
+        out += [(a, b, now[a:b]) for a, b in spans]
+    return out
+
+
 def pseudonymised(text: str, f: Feistel, backwards: bool = False) -> tuple[str, list[str]]:
     """text with its validated values replaced, and the kinds of these values."""
     if not HINT.search(text):
@@ -217,13 +249,16 @@ def pseudonymised(text: str, f: Feistel, backwards: bool = False) -> tuple[str,
                 out.append((part, done))
                 continue
             at = 0
-            for m in pattern.finditer(part):
-                new = change(m[0], f, backwards)
+            if name in BESIDE:
+                found = replaced_beside(part, BESIDE[name], pattern, lambda v, change=change: change(v, f, backwards), lambda v, change=change: change(v, f, False) is not None) if pattern.search(part) else []
+            else:
+                found = [(m.start(), m.end(), change(m[0], f, backwards)) for m in pattern.finditer(part)]
+            for a, b, new in found:
                 if new is None:
                     continue
                 kinds.append(name)
-                out += [(part[at : m.start()], False), (new, True)]
-                at = m.end()
+                out += [(part[at:a], False), (new, True)]
+                at = b
             out.append((part[at:], False))
         parts = out
     return "".join(p for p, _ in parts), kinds
@@ -234,7 +269,8 @@ def pseudonymise(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_co
 
     Adds n_replaced and kinds (one entry for each value, in the order of KINDS);
     they and text_col replace input columns so named, any other column stays. A
-    number that fails its check (Luhn, mod 97, octets, calendar) is left as it is.
+    number that fails its check (Luhn, mod 97, octets, calendar) is left as it is; of
+    a card or IBAN beside other numbers or capitals the part that passes is replaced.
     backwards=True undoes the replacement under the same key. Null texts stay null
     with n_replaced 0; rows, ids and repeated rows are kept as they are. One pass,
     no shuffle.
