@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch sent to Python: whole texts are kept, so a batch holds few rows.
-ARROW_ROWS = 256
+#: Rows and bytes in an Arrow batch sent to Python: whole texts are kept, so a batch holds few rows.
+ARROW_ROWS, ARROW_BYTES = 256, 32 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: texts may be very long."""
+    """Keep Arrow batches small: texts may be very long. Spark reads these settings when
+    a plan runs, so they stay set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def give_back() -> None:

@@ -12,6 +12,7 @@ take it at the same offset, so a repeated window always has a repeated seed.
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -24,20 +25,41 @@ from quillgraph.llm import blocks
 from quillgraph.llm.common import partitions
 
 MULTIPLIERS = (0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB5B)
-VOCABULARY = 1 << 19
 #: Bytes of text whose words are hashed in one array.
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 NOWHERE = np.iinfo(np.int64).max
-
-
-class Vocabulary(dict):
-    """Word -> 64-bit hash, of bounded size."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= VOCABULARY:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+#: Odd numbers that stand for the 256 bytes, a set for each of the two hashes.
+BYTES = np.random.default_rng(20).integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@functools.lru_cache(2)
+def powers(which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64 from 0 to CHUNK, and of its inverse."""
+    base = MULTIPLIERS[which]
+    return tuple(np.cumprod(np.array([1] + [x] * CHUNK, np.uint64), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    """A 64-bit hash of each word data[start:end], by prefix sums over the bytes: words
+    need not be cut out. Words beyond CHUNK bytes are hashed alone."""
+    power, inverse = powers(which)
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        base = int(start[at])
+        to = int(np.searchsorted(end, base + CHUNK, "right"))
+        if to == at:
+            out[at] = xxhash.xxh3_64_intdigest(data[base : end[at]].tobytes(), which)
+            at += 1
+            continue
+        size = int(end[to - 1]) - base
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(BYTES[which][data[base : base + size]] * power[:size], out=sums[1:])
+        out[at:to] = (sums[end[at:to] - base] - sums[start[at:to] - base]) * inverse[start[at:to] - base]
+        at = to
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(factor)
+    return out ^ (out >> np.uint64(29))
 
 
 def doubled(h: np.ndarray, width: int, power: int) -> np.ndarray:
@@ -67,19 +89,23 @@ class Chunk:
     """Some documents' words in one array, and the window hashes of each level.
     Hashes at windows that would run over a document's end mean nothing: fits() tells."""
 
-    def __init__(self, rows: list[tuple[int | None, bytes]], seed: int, window: int, vocabulary: Vocabulary):
+    def __init__(self, rows: list[tuple[int | None, bytes]], seed: int, window: int):
         self.seed, self.window = seed, window
-        words = [t.split() for _, t in rows]
-        self.lengths = np.array([len(w) for w in words], np.int64)
-        n = int(self.lengths.sum())
-        self.hashes = np.fromiter(map(vocabulary.__getitem__, itertools.chain.from_iterable(words)), np.uint64, n)
-        ends = np.cumsum(self.lengths)
+        self.data = np.frombuffer(b"\n".join(t for _, t in rows) + b"\n", np.uint8)
+        space = np.concatenate([[True], SPACE[self.data]])
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        self.start, self.stop = edge[::2], edge[1::2]
+        ends = np.searchsorted(self.start, np.cumsum([len(t) + 1 for _, t in rows]))
+        self.lengths = np.diff(ends, prepend=0)
         self.end, self.begin = np.repeat(ends, self.lengths), np.repeat(ends - self.lengths, self.lengths)
         self.doc = np.repeat(np.array([NOWHERE if i is None else i for i, _ in rows], np.int64), self.lengths)
+        self.hashes: dict[int, np.ndarray] = {}
 
     def at(self, width: int, which: int = 0) -> np.ndarray:
-        words = self.hashes if not which else (self.hashes ^ (self.hashes >> np.uint64(29))) * np.uint64(MULTIPLIERS[1])
-        h, have = seeded(words, self.seed, MULTIPLIERS[which]), self.seed
+        """The first or the second hash of all windows of this width."""
+        if which not in self.hashes:
+            self.hashes[which] = word_hashes(self.data, self.start, self.stop, which)
+        h, have = seeded(self.hashes[which], self.seed, MULTIPLIERS[which]), self.seed
         while have < width:
             h, have = doubled(h, have, MULTIPLIERS[which]), 2 * have
         return h
@@ -216,8 +242,10 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     remove each other's words. A row with a null id is compared with itself only
     and removes no other's words. Shorter texts than the window lose nothing.
 
-    Levels 64 bits of hash decide are only filters; the last level compares 96.
-    See blocks for how hashes travel.
+    The levels that 64 bits of hash decide are only filters; the last one compares 96,
+    of two hashes that differ from the bytes on. A text of any length is read whole; a
+    chunk holds one such text, at some fifteen times its bytes. See blocks for how
+    hashes travel.
     """
     if window % (1 << levels):
         raise ValueError("window must be divisible by 2 ** levels")
@@ -227,15 +255,15 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def chunks(frame: pd.DataFrame):
         """(rows, Chunk) of about CHUNK bytes."""
-        vocabulary, rows, size = Vocabulary(), [], 0
+        rows, size = [], 0
         for i, t in blocks.documents(frame):
             rows.append((i, t or b""))
             size += len(t or b"")
             if size >= CHUNK:
-                yield rows, Chunk(rows, seed, window, vocabulary)
+                yield rows, Chunk(rows, seed, window)
                 rows, size = [], 0
         if rows:
-            yield rows, Chunk(rows, seed, window, vocabulary)
+            yield rows, Chunk(rows, seed, window)
 
     def first(frame: pd.DataFrame) -> dict:
         return counted([c.at(seed)[c.starts()] for _, c in chunks(frame)], n)
@@ -275,7 +303,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def build(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows, parts, at = [], [], 0
-        for some, c in chunks(frame):  # split words take ten times the text's memory, so they are not kept
+        for some, c in chunks(frame):
             starts = c.whole()
             row = np.repeat(np.arange(len(rows), len(rows) + len(some)), c.lengths)[starts]
             parts.append((c.at(window)[starts], (c.at(window, 1)[starts] >> np.uint64(32)).astype(np.uint32), starts + at, c.doc[starts], row))
@@ -304,10 +332,10 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         order = np.argsort(h)
         again = h[order][1:] == h[order][:-1]
         several = np.sort(order[np.concatenate([again, [False]]) | np.concatenate([[False], again])]) if len(h) else order
-        order = several[np.lexsort((start[several], row[several], doc[several], h[several]))]
-        new = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(order) else np.empty(0, bool)
+        order = several[np.lexsort((start[several], row[several], doc[several], g[several], h[several]))]
+        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]) if len(order) else np.empty(0, bool)
         least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else doc[:0]
-        own = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])]) if len(order) else new
+        own = ~new & np.concatenate([[False], row[order][1:] == row[order][:-1]]) if len(order) else new
         dead[order[own | (doc[order] > least) & (doc[order] != NOWHERE)]] = True
 
         gone = np.bincount(start[dead], minlength=at + window + 1) - np.bincount(start[dead] + window, minlength=at + window + 1)
