@@ -25,18 +25,25 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """Distinct (key, doc) pairs, a row's own repeats already dropped."""
+    """(key, doc, mark, at): each distinct key of a row's text and its lines' positions.
+    mark tells rows of one id and unlike texts apart."""
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = [], []
-            for i, t in zip(batch[0].to_pylist(), batch[1].cast(pa.binary()).to_pylist(), strict=True):
-                own = {line_key(x, min_chars) for x in t.split(b"\n")} - {None}
+            keys, ids, marks, places = [], [], [], []
+            for i, m, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2].cast(pa.binary()).to_pylist(), strict=True):
+                own: dict[bytes, list[int]] = {}
+                for at, line in enumerate(t.split(b"\n")):
+                    if (key := line_key(line, min_chars)) is not None:
+                        own.setdefault(key, []).append(at)
                 keys += own
+                places += own.values()
                 ids += [i] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc"])
+                marks += [m] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["key", "doc", "mark", "at"])
 
-    rows = docs.select(quoted(id_col).cast("long").alias("doc"), quoted(text_col).alias("text")).filter("doc is not null and text is not null")
-    return rows.mapInArrow(explode, "key binary, doc long").groupBy("key", "doc").agg(F.lit(1).alias("one"))
+    text = quoted(text_col).cast("string")
+    rows = docs.select(quoted(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text")).filter("doc is not null and text is not null")
+    return rows.mapInArrow(explode, "key binary, doc long, mark long, at array<int>")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -52,28 +59,30 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     sharing an id count as one document, and each is cleaned. Rows with a null id
     count towards no key and come back unchanged. An empty table gives an empty one.
 
-    Plan: (key, doc) pairs, then their number per key in two shuffles (the second
-    pre-aggregated), a join back to the pairs (AQE splits a hot key), and one row
-    of dropped keys for each document beside its text.
+    Texts of any length are read whole. Plan: (key, doc) pairs, then their number per
+    key in two shuffles (both pre-aggregated), a join of the common keys back to the
+    lines' positions (AQE splits a hot key), and the dropped positions of each document
+    beside its text.
     """
     bounded_batches(docs.sparkSession)
-    pairs = line_keys(docs, id_col, text_col, min_chars)
-    common = pairs.groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= min_docs).select("key", "last")
-    drops = pairs.select("key", "doc").join(common, "key").filter("doc < last").groupBy("doc").agg(F.collect_list("key").alias("keys"))
+    lines = line_keys(docs, id_col, text_col, min_chars)
+    held = lines.groupBy("key", "doc").agg(F.lit(1).alias("one"))
+    common = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= min_docs).select("key", "last")
+    drops = lines.join(common, "key").filter("doc < last").groupBy("doc", "mark").agg(F.flatten(F.collect_list("at")).alias("gone"))
 
     extra = others(docs, [text_col, "n_lines", "n_dropped"])
-    rows = docs.select(*[quoted(c).alias(f"c{k}") for k, c in enumerate(extra)], quoted(text_col).alias("text"), quoted(id_col).cast("long").alias("id"))
-    joined = rows.join(drops.select(F.col("doc").alias("id"), "keys").hint("shuffle_hash"), "id", "left").drop("id")
+    rows = docs.select(*[quoted(c).alias(f"c{k}") for k, c in enumerate(extra)], quoted(text_col).cast("string").alias("text"), quoted(id_col).cast("long").alias("id")).withColumn("mark", F.xxhash64("text"))
+    joined = rows.join(drops.withColumnRenamed("doc", "id").hint("shuffle_hash"), ["id", "mark"], "left").drop("id", "mark")
     schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in extra), T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, before, dropped = [], [], []
             at = batch.schema.names
-            for t, keys in zip(batch[at.index("text")].cast(pa.binary()).to_pylist(), batch[at.index("keys")].to_pylist(), strict=True):
+            for t, places in zip(batch[at.index("text")].cast(pa.binary()).to_pylist(), batch[at.index("gone")].to_pylist(), strict=True):
                 lines = (t or b"").split(b"\n")
-                gone = set(keys or ())
-                kept = [x for x in lines if line_key(x, min_chars) not in gone] if gone else lines
+                gone = set(places or ())
+                kept = [x for k, x in enumerate(lines) if k not in gone] if gone else lines
                 texts.append(b"\n".join(kept).decode())
                 before.append(len(lines))
                 dropped.append(len(lines) - len(kept))
