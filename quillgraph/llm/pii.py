@@ -22,8 +22,12 @@ from pyspark.sql import types as T
 from quillgraph.llm.common import bounded_batches, others, quoted
 
 ROUNDS = 8
-DAYS = (datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal())
-MONTHS = {m.lower(): k for names in (calendar.month_name, calendar.month_abbr) for k, m in enumerate(names) if k}
+YEARS = range(1900, 2100)
+#: Dates are permuted within a class of months and a class of days, so that any way of writing one
+#: keeps its widths, the order in which it reads, and whether its month's name is a short one.
+MONTHS = (range(5, 6), (1, 2, 3, 4, 6, 7, 8, 9), range(10, 13))
+DAYS = (range(1, 10), range(10, 13), range(13, 32))
+NAMES = [x.lower() for x in calendar.month_name], [x.lower() for x in calendar.month_abbr]
 
 
 class Feistel:
@@ -107,7 +111,7 @@ def iban(text: str, f: Feistel, back: bool) -> str | None:
 
 def phone(text: str, f: Feistel, back: bool) -> str | None:
     d = only(text)
-    code = len(re.match(r"\+?(\d{1,3}(?=[ .(-]))?", text)[1] or "") if text.startswith("+") else 0
+    code = len(re.match(r"\+?(\d{1,3}(?=[ .(-]))?", text, re.A)[1] or "") if text.startswith("+") else 0
     if not 7 <= len(d) - code or len(d) > 15:
         return None
     return refill(text, d[:code] + f.digits(d[code:], "phone" + d[:code], backwards=back))
@@ -135,37 +139,51 @@ def address(text: str, f: Feistel, back: bool) -> str | None:
     return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
 
-def _day(f: Feistel, y: int, m: int, d: int, back: bool) -> datetime.date | None:
+def moved(f: Feistel, year: int, month: int, day: int, back: bool) -> datetime.date | None:
+    """The image of a date, the same however the date is written."""
     try:
-        n = datetime.date(y, m, d).toordinal()
+        datetime.date(year, month, day)
     except ValueError:
         return None
-    if not DAYS[0] <= n <= DAYS[1]:
+    if year not in YEARS:
         return None
-    return datetime.date.fromordinal(DAYS[0] + f.run(n - DAYS[0], DAYS[1] - DAYS[0] + 1, "date", back))
+    months = next(m for m in MONTHS if month in m)
+    days = next(d for d in DAYS if day in d)
+    size = len(YEARS) * len(months) * len(days)
+    value = ((year - YEARS[0]) * len(months) + months.index(month)) * len(days) + days.index(day)
+    while True:  # past the days that their month does not have
+        value = f.run(value, size, f"date{months[0]}-{days[0]}", back)
+        rest, d = divmod(value, len(days))
+        y, m = divmod(rest, len(months))
+        if days[d] <= calendar.monthrange(YEARS[y], months[m])[1]:
+            return datetime.date(YEARS[y], months[m], days[d])
 
 
 def date(text: str, f: Feistel, back: bool) -> str | None:
     """Year first, or year last with the day before the month unless only the other order is a date."""
-    a, sep, b, _, c = re.match(r"(\d+)([-/.])(\d+)([-/.])(\d+)$", text).groups()
+    a, sep, b, _, c = re.match(r"(\d+)([-/.])(\d+)([-/.])(\d+)$", text, re.A).groups()
     if len(a) == 4:
-        new = _day(f, int(a), int(b), int(c), back)
-        return new and f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}"
-    # a month first is kept where the second number cannot be a month; its image then stays in that order only if it, too, has no other reading
+        new = moved(f, int(a), int(b), int(c), back)
+        return new and f"{new.year}{sep}{new.month:0{len(b)}d}{sep}{new.day:0{len(c)}d}"
     if int(b) <= 12:
-        new = _day(f, int(c), int(b), int(a), back)
-        return new and f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
-    new = _day(f, int(c), int(a), int(b), back)
-    while new and new.day <= 12:
-        new = _day(f, new.year, new.month, new.day, back)
-    return new and f"{new.month:02d}{sep}{new.day:02d}{sep}{new.year:04d}"
+        new = moved(f, int(c), int(b), int(a), back)
+        return new and f"{new.day:0{len(a)}d}{sep}{new.month:0{len(b)}d}{sep}{new.year}"
+    new = moved(f, int(c), int(a), int(b), back)
+    return new and f"{new.month:0{len(a)}d}{sep}{new.day:0{len(b)}d}{sep}{new.year}"
 
 
 def spelled_date(text: str, f: Feistel, back: bool) -> str | None:
-    day, name, year = re.match(r"(\d{1,2}) (\w+) (\d{4})$", text).groups()
-    month = MONTHS.get(name.lower())
-    new = month and _day(f, int(year), month, int(day), back)
-    return f"{new.day} {calendar.month_name[new.month]} {new.year:04d}" if new else None
+    """Day before month or month before day, the month by its English name or the three letters of it."""
+    name, number = re.search(r"[A-Za-z]+", text)[0], re.search(r"\d{1,2}(?!\d)", text, re.A)[0]
+    kind = next(k for k in NAMES if name.lower() in k)
+    new = moved(f, int(text[-4:]), kind.index(name.lower()), int(number), back)
+    if not new:
+        return None
+    written = kind[new.month]
+    written = written.upper() if name.isupper() else written if name.islower() else written.title()
+    day = f"{new.day:0{len(number)}d}"
+    parts = {name: written, number: day, text[-4:]: str(new.year)}
+    return re.sub(r"[A-Za-z]+|\d+", lambda m: parts[m[0]], text, flags=re.A)
 
 
 def email(text: str, f: Feistel, back: bool) -> str | None:
@@ -184,26 +202,29 @@ def secret(text: str, f: Feistel, back: bool) -> str | None:
     return new.upper() if up else new
 
 
-#: In this order: what an earlier pattern takes is not seen by a later one.
+#: The longer names first: a short one begins them.
+MONTH = "(?i:" + "|".join([*NAMES[0][1:], *NAMES[1][1:]]) + ")"
+#: In this order: what an earlier pattern takes is not seen by a later one. Digits, letters and
+#: word characters are ASCII's.
 KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     ("secret", r"(?<![A-Za-z0-9])(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])", secret),
     ("address", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", address),
-    ("date", r"(?<![\d.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d-])", date),
-    ("spelled_date", r"(?<!\w)\d{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) \d{4}(?!\w)", spelled_date),
+    ("date", r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d/-])", date),
+    ("spelled_date", rf"(?<!\w)(?:\d{{1,2}} {MONTH}|{MONTH} \d{{1,2}},?) \d{{4}}(?!\w)", spelled_date),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", ssn),
     ("card", r"(?<![\d+])(?:\d[ -]?){12,18}\d(?!\d)", card),
     ("phone", r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])", phone),
 )
-HINT = re.compile(r"\d|@")
+HINT = re.compile(r"[0-9@]")
 #: Kinds whose values may stand beside other numbers or capitals that their pattern takes as well, and the runs of characters that they lie in.
-BESIDE = {"iban": re.compile(r"[A-Z0-9](?: ?[A-Z0-9])*"), "card": re.compile(r"\d(?:[ -]?\d)*")}
+BESIDE = {"iban": re.compile(r"[A-Z0-9](?: ?[A-Z0-9])*"), "card": re.compile(r"[0-9](?:[ -]?[0-9])*")}
 
 
 @functools.lru_cache(1)
 def compiled() -> tuple:
-    return tuple((name, re.compile(p), change) for name, p, change in KINDS)
+    return tuple((name, re.compile(p, re.A), change) for name, p, change in KINDS)
 
 
 def valid_spans(text: str, start: int, end: int, pattern: re.Pattern, valid: Callable[[str], bool]) -> list[tuple[int, int]]:
@@ -269,11 +290,14 @@ def pseudonymise(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_co
 
     Adds n_replaced and kinds (one entry for each value, in the order of KINDS);
     they and text_col replace input columns so named, any other column stays. A
-    number that fails its check (Luhn, mod 97, octets, calendar) is left as it is; of
-    a card or IBAN beside other numbers or capitals the part that passes is replaced.
+    number that fails its check (Luhn, mod 97, octets, calendar) is left as it is, as is
+    one in other digits than 0-9; of a card or IBAN beside other numbers or capitals the
+    part that passes is replaced. A date has one pseudonym in all its spellings; where
+    day and month could change places, the day stands first.
     backwards=True undoes the replacement under the same key. Null texts stay null
-    with n_replaced 0; rows, ids and repeated rows are kept as they are. One pass,
-    no shuffle.
+    with n_replaced 0; rows, ids and repeated rows are kept as they are. Texts of any
+    length are read whole, a batch of them of bounded bytes at a time. One pass, no
+    shuffle.
     """
     bounded_batches(docs.sparkSession)
     extra = others(docs, [text_col, "n_replaced", "kinds"])
