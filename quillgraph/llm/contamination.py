@@ -2,13 +2,19 @@
 
 An item of n distinct shingles is contained at threshold t when a document holds
 at least ceil(t n) of them. So among any n - ceil(t n) + 1 of them at least one is
-in such a document. The item's signature is its bottom-k MinHash with that k: items
-are partitioned by their size, each size having its own k, and the search loses no
-pair. Candidates are verified by their shingles' exact text. DataFrame functions only.
+in such a document. The item's signature is its bottom-k MinHash with that k. Items
+are partitioned by size; a partition's ceiling is the largest hash in its signatures.
+A document's signature for a partition is its MinHash up to that ceiling: whatever
+its length, it meets the signature of every contained item of the partition, and the
+search loses no pair. The larger the items, the lower the ceiling. Signatures of a
+document nest, so the one up to the highest ceiling holds all of them. Candidates are
+verified by their shingles' exact text. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +51,12 @@ def of_widths(column: str, widths: list[int], join) -> Column:
     return found[0] if len(found) == 1 else F.concat(*found)
 
 
+def below(array: Column, tops: dict[int, int]) -> Column:
+    """Of structs (width, x), those whose hash is within the ceiling of their width."""
+    held = F.lit(False)
+    return F.filter(array, lambda s: functools.reduce(lambda c, k: c | ((s["width"] == k) & (s["x"] <= F.lit(tops[k]))), tops, held))
+
+
 def fitted(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -57,7 +69,8 @@ def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
     than width words is one shingle of all its words, found as that run of words;
     an item without words, a null text or a null id matches nothing. Rows sharing a
     doc id count as one document, rows sharing an item id as one item of all their
-    shingles. Items of equal shingles are searched once.
+    shingles. Items of equal shingles are searched once. Texts of any length are
+    searched whole.
     """
     mine = items.select(quoted(item_col).alias("item"), words(quoted(item_text_col)).alias("w")).filter(F.col("item").isNotNull() & (F.size("w") > 0))
     mine = mine.withColumn("width", F.least(F.size("w"), F.lit(width)))
@@ -74,11 +87,14 @@ def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
     unique = member.filter("item = same").select(F.col("same").alias("rep"), "set", F.size("set").alias("n"))
     unique = unique.withColumn("need", F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int")).withColumn("need", F.greatest("need", F.lit(1)))
     # sets are sorted by hash: the first elements are the bottom-k MinHash
-    signature = durable(unique.select("rep", F.explode(F.slice("set", F.lit(1), F.col("n") - F.col("need") + 1)).alias("s")).select("rep", "s.h", "s.width"))
+    signature = durable(unique.select("rep", F.floor(F.log2("n")).alias("part"), F.explode(F.slice("set", F.lit(1), F.col("n") - F.col("need") + 1)).alias("s")).select("rep", "part", "s.h", "s.width"))
+    # a row for each width and doubling of size
+    ceilings = signature.groupBy("width", "part").agg(F.max("h").alias("top")).collect()
+    tops = {k: max(r["top"] for r in ceilings if r["width"] == k) for k in sizes}
     rows = docs.select(quoted(id_col).alias("doc"), quoted(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
     hashes = rows.select("doc", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
-    found = hashes.select("doc", F.explode(of_widths("w", sizes, F.xxhash64)).alias("s")).select("doc", F.col("s.x").alias("h"), "s.width")
-    cands = durable(found.join(fitted(signature, signature.count()), ["h", "width"]).select("doc", "rep").distinct())
+    found = hashes.select("doc", F.explode(below(of_widths("w", sizes, F.xxhash64), tops)).alias("s")).select("doc", F.col("s.x").alias("h"), "s.width")
+    cands = durable(found.join(fitted(signature, signature.count()).drop("part"), ["h", "width"]).select("doc", "rep").distinct())
 
     named = cands.select("doc").distinct()
     texts = rows.join(fitted(named, named.count()), "doc", "left_semi").select("doc", words(F.col("text")).alias("w"))
