@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import functools
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -77,37 +77,111 @@ def load(payload: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, n: int | None = None) -> DataFrame:
-    """(block, payload) rows over n blocks, dealt by block. A payload holds ids
-    (None for null) and UTF-8 texts (None for null) of some of the block's rows."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    n = n or partitions(spark)
+def dealt_rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     key = F.when(quoted(id_col).isNull(), F.xxhash64(quoted(text_col))).otherwise(F.xxhash64(quoted(id_col)))
-    rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"), F.pmod(key, F.lit(n)).cast("int").alias("block"))
+    return docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"), F.pmod(key, F.lit(n)).cast("int").alias("block"))
+
+
+def packed(docs: DataFrame, id_col: str, text_col: str, n: int | None, new: Callable) -> DataFrame:
+    """(block, payload) rows over n blocks, dealt by block. new() makes a packer: add(block,
+    id, UTF-8 text or None), and payloads() as (block, value) of what was added since."""
+    bounded_batches(docs.sparkSession)
+    n = n or partitions(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = labels(n)
-        held: dict[int, tuple[list, list]] = {}
-        size = 0
+        place, packer, size = labels(n), new(), 0
 
         def flush() -> pa.RecordBatch:
-            keys = sorted(held)
-            return pa.RecordBatch.from_arrays([pa.array([place[k] for k in keys], pa.int32()), pa.array([dump(held[k]) for k in keys], pa.binary())], ["block", "payload"])
+            rows = [(place[k], dump(v)) for k, v in packer.payloads()]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], ["block", "payload"])
 
         for batch in batches:
             for i, t, b in zip(batch[0].to_pylist(), batch[1].cast(pa.binary()).to_pylist(), batch[2].to_pylist(), strict=True):
-                ids, texts = held.setdefault(b, ([], []))
-                ids.append(i)
-                texts.append(t)
+                packer.add(b, i, t)
                 size += len(t or b"") + 64
-            if size >= FLUSH_BYTES:
-                yield flush()
-                held, size = {}, 0
-        if held:
+                if size >= FLUSH_BYTES:
+                    yield flush()
+                    size = 0
+        if size:
             yield flush()
 
-    return rows.mapInArrow(write, "block int, payload binary").repartition(n, "block")
+    return dealt_rows(docs, id_col, text_col, n).mapInArrow(write, "block int, payload binary").repartition(n, "block")
+
+
+class Texts:
+    """Payloads hold ids (None for null) and UTF-8 texts (None for null) of some of a block's rows."""
+
+    def __init__(self):
+        self.held: dict[int, tuple[list, list]] = {}
+
+    def add(self, block: int, i: int | None, text: bytes | None) -> None:
+        ids, texts = self.held.setdefault(block, ([], []))
+        ids.append(i)
+        texts.append(text)
+
+    def payloads(self) -> Iterator[tuple[int, tuple]]:
+        held, self.held = self.held, {}
+        yield from sorted(held.items())
+
+
+class Numbers(dict):
+    """Word -> its number, in the order in which they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = len(self)
+        return found
+
+
+def planes(values: np.ndarray) -> bytes:
+    """32-bit numbers, their lowest bytes first: mostly small numbers compress well so."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+class Words:
+    """Payloads hold the texts split into words: ids, words in each text, the distinct words,
+    the commonest first, and the numbers of the texts' words among them."""
+
+    def __init__(self, split: Callable[[bytes], Iterable[str]]):
+        self.split = split
+        self.numbers, self.held = Numbers(), {}
+
+    def add(self, block: int, i: int | None, text: bytes | None) -> None:
+        ids, codes = self.held.setdefault(block, ([], []))
+        ids.append(i)
+        codes.append(np.fromiter(map(self.numbers.__getitem__, self.split(text or b"")), np.uint32))
+
+    def payloads(self) -> Iterator[tuple[int, tuple]]:
+        names = list(self.numbers)
+        for block, (ids, codes) in sorted(self.held.items()):
+            used, own, counts = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            words = [names[k] for k in used[order].tolist()]
+            yield block, (ids, [len(c) for c in codes], "".join(words).encode(), planes(np.array([len(w) for w in words], np.uint32)), planes(rank[own]))
+        self.numbers, self.held = Numbers(), {}
+
+
+def worded(frame: pd.DataFrame) -> Iterator[tuple[list, np.ndarray, list[str], np.ndarray]]:
+    """(ids, words in each text, distinct words, numbers of the words in order), a payload at a time."""
+    for payload in frame["payload"]:
+        ids, sizes, joined, lengths, codes = load(payload)
+        text, ends = joined.decode(), np.cumsum(from_planes(lengths)).tolist()
+        yield ids, np.array(sizes, np.int64), [text[a:b] for a, b in zip([0, *ends], ends, strict=False)], from_planes(codes)
+
+
+def pack(docs: DataFrame, id_col: str, text_col: str, n: int | None = None) -> DataFrame:
+    """Whole texts in blocks: see Texts."""
+    return packed(docs, id_col, text_col, n, Texts)
+
+
+def pack_words(docs: DataFrame, id_col: str, text_col: str, split: Callable[[bytes], Iterable[str]], n: int | None = None) -> DataFrame:
+    """Texts split into words, in blocks: see Words."""
+    return packed(docs, id_col, text_col, n, lambda: Words(split))
 
 
 def documents(frame: pd.DataFrame) -> Iterator[tuple[int | None, bytes | None]]:
