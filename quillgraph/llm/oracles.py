@@ -49,6 +49,8 @@ j AS (
 SELECT page_id, host, path, m.rule AS rule,
   coalesce(m.verdict, CASE WHEN regexp_matches(host || path,
     '(?i)(^|[^a-z0-9])(adult|casino|porn|sex|xxx|gambling|malware|phishing|warez|ads|tracker)([^a-z0-9]|$)')
+    OR regexp_matches(host || path, '^[0-9]+(?:\.[0-9]+){{3}}(?:[:/]|$)|(?:^|\.)xn--[a-z0-9-]+\.|/wp-login\.php$')
+    OR regexp_matches(host || path, '/cgi-bin/[^/]*\.(?:exe|pl)$|\.(?:apk|exe|msi|scr)$|/banners?/[0-9]+x[0-9]+/|[.-]doubleclick\.')
     THEN 'block' ELSE 'allow' END) AS verdict
 FROM j"""
 

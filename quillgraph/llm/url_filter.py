@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _constants, _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,17 @@ TOKEN = r"[a-z0-9]+"
 BROADCAST_RULES = 50_000
 
 
+ALNUM = frozenset(map(ord, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+#: What stands for an item of a pattern in edges(): it only fits where a token ends, or it may fit anything.
+EDGE, ANY = "edge", "any"
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A host-and-path rule ("net/de/") or, with regex, a pattern on host + path.
+    """A host-and-path rule ("net/de/") or a pattern, both by a regex on host + path.
 
     tokens: lower-case alphanumeric tokens, of which every URL that the rule fits
-    has all, each as a whole token. They are read off host-and-path rules (a
-    path's last token may go on in the URL, so it counts only before a "/")."""
+    has all, each as a whole token."""
 
     text: str
     verdict: str
@@ -31,21 +36,83 @@ class Rule:
 
 
 def host_rule(text: str, verdict: str) -> Rule:
+    """A path's last token may go on in the URL, so it counts only before a "/"."""
     host, slash, path = text.partition("/")
     whole = host.lower() + slash + path[: path.rfind("/") + 1]
     regex = r"^(?:[^/?#]*\.)?" + re.escape(host.lower()) + (re.escape(slash + path) if slash else "(?=/|$)")
     return Rule(text, verdict, regex, tuple(re.findall(TOKEN, whole.lower())))
 
 
-def pattern_rule(token: str, verdict: str = "block") -> Rule:
-    """token as a whole label or word anywhere in host or path."""
-    return Rule(f"pattern:{token}", verdict, rf"(?i)(?:^|[^a-z0-9]){re.escape(token)}(?:[^a-z0-9]|$)", (token,))
+def edges(items) -> list:
+    """For each item of a parsed pattern: the character it stands for, EDGE or ANY."""
+    out = []
+    for kind, value in items:
+        if kind is _constants.LITERAL:
+            out.append(value)
+        elif kind is _constants.AT:
+            out.append(EDGE if value in (_constants.AT_BEGINNING, _constants.AT_BEGINNING_STRING, _constants.AT_END, _constants.AT_END_STRING) else ANY)
+        elif kind is _constants.IN:
+            out.append(EDGE if never_alnum(value) else ANY)
+        elif kind is _constants.SUBPATTERN:
+            out += edges(value[3])
+        elif kind is _constants.BRANCH:
+            each = [edges(x) for x in value[1]]
+            out.append(EDGE if all(len(x) == 1 and (x[0] is EDGE or x[0] is not ANY and x[0] not in ALNUM) for x in each) else ANY)
+        elif kind is _constants.MAX_REPEAT and value[0] >= 1 and len(once := edges(value[2])) == 1 and (once[0] is EDGE or once[0] is not ANY and once[0] not in ALNUM):
+            out.append(EDGE)
+        else:
+            out.append(ANY)
+    return out
+
+
+def never_alnum(members) -> bool:
+    """Whether a character class has no alphanumeric member."""
+    negated = bool(members) and members[0][0] is _constants.NEGATE
+    held: set[int] = set()
+    for kind, value in members[negated:]:
+        if kind is _constants.LITERAL:
+            held.add(value)
+        elif kind is _constants.RANGE:
+            held.update(ALNUM.intersection(range(value[0], value[1] + 1)))
+        elif not negated:  # a category: it may hold anything
+            return False
+    return held >= ALNUM if negated else not held & ALNUM
+
+
+def pattern_tokens(regex: str) -> tuple[str, ...]:
+    """The whole tokens that any text has in which the pattern is found: runs of
+    alphanumeric characters outside any choice, between characters or positions where
+    a token ends. None is named that could be missing."""
+    tree = _parser.parse(regex)
+    found, run, fresh = [], "", False
+    for x in [*edges(tree), ANY]:
+        if x is not EDGE and x is not ANY and x in ALNUM:
+            run += chr(x).lower()
+            continue
+        ends = x is not ANY
+        if run and fresh and ends:
+            found.append(run)
+        run, fresh = "", ends
+    return tuple(dict.fromkeys(found))
+
+
+def pattern_rule(regex: str, verdict: str = "block") -> Rule:
+    """A regular expression to be found in host + path. It is read by Java; its tokens
+    are read off it here. Without case ("(?i)"), classes must name both cases to end a token."""
+    return Rule(f"pattern:{regex}", verdict, regex, pattern_tokens(regex))
+
+
+def word_rule(word: str, verdict: str = "block") -> Rule:
+    """word as a whole label or word anywhere in host or path."""
+    return pattern_rule(rf"(?:^|[^a-zA-Z0-9])(?i:{re.escape(word)})(?:[^a-zA-Z0-9]|$)", verdict)
 
 
 #: Host-and-path rules of the registered query.
 LISTED = (host_rule("com/en/", "block"), host_rule("example.com/en/7", "allow"), host_rule("net/de/", "allow"), host_rule("example.net/de/8", "block"), host_rule("org/es/", "block"))
-#: Words that mark unwanted pages where no host-and-path rule fits.
-PATTERNS = tuple(pattern_rule(x) for x in ("adult", "casino", "porn", "sex", "xxx", "gambling", "malware", "phishing", "warez", "ads", "tracker"))
+#: What marks unwanted pages where no host-and-path rule fits: words, and patterns of hosts and paths.
+WORDS = ("adult", "casino", "porn", "sex", "xxx", "gambling", "malware", "phishing", "warez", "ads", "tracker")
+FORMS = (r"^[0-9]+(?:\.[0-9]+){3}(?:[:/]|$)", r"(?:^|\.)xn--[a-z0-9-]+\.", r"/wp-login\.php$", r"/cgi-bin/[^/]*\.(?:exe|pl)$", r"\.(?:apk|exe|msi|scr)$", r"/banners?/[0-9]+x[0-9]+/", r"[.-]doubleclick\.")
+PATTERNS = (*(word_rule(x) for x in WORDS), *(pattern_rule(x) for x in FORMS))
 
 
 def url_host(url: Column) -> Column:
@@ -61,7 +128,7 @@ def url_path(url: Column) -> Column:
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
     """A row for each rule and token; tokens null: the rule is a candidate everywhere."""
     if any(x.regex is None for x in rules):
-        raise ValueError("a rule needs a regex; use host_rule or pattern_rule")
+        raise ValueError("a rule needs a regex; use host_rule, pattern_rule or word_rule")
     rows = [(k, x.text, x.verdict, x.regex, len(x.text), x.text.startswith("pattern:"), t) for k, x in enumerate(rules) for t in (dict.fromkeys(x.tokens) or [None])]
     return spark.createDataFrame(rows, "no int, rule string, verdict string, regex string, size int, pattern boolean, token string")
 
@@ -85,7 +152,8 @@ def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     put = F.broadcast if small else (lambda x: x)
     urls = pages.select(quoted(id_col).alias("id"), quoted(url_col).cast("string").alias("url")).select("id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     urls = urls.withColumn("host", F.coalesce("host", F.lit(""))).withColumn("path", F.coalesce("path", F.lit("")))
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", "path")), F.lit(f"({TOKEN})"), 1))
+    lower = F.translate(F.concat("host", "path"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = F.array_distinct(F.regexp_extract_all(lower, F.lit(f"({TOKEN})"), 1))
 
     known = rules.select("token").distinct()
     df = urls.select(F.explode(tokens).alias("token")).join(put(known), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
@@ -109,4 +177,4 @@ def first_without_token(rules: tuple[Rule, ...]) -> int:
     return next((k for k, x in enumerate(rules) if not x.tokens), -1)
 
 
-__all__ = ["LISTED", "PATTERNS", "Rule", "host_rule", "judge_urls", "pattern_rule"]
+__all__ = ["LISTED", "PATTERNS", "Rule", "host_rule", "judge_urls", "pattern_rule", "pattern_tokens", "word_rule"]
