@@ -7,7 +7,9 @@ import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,15 +82,40 @@ def crc_fold(id_col: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: So many edges (16 bytes each) are few enough for one task.
+FEW_EDGES = 1 << 20
+
+
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node that each reaches): roots hook onto smaller ones, and paths are halved."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while len(left := np.flatnonzero(root[x] != root[y])):
+        x, y = x[left], y[left]
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while ((up := root[root]) != root).any():
+            root = up
+    return nodes, nodes[root]
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of edges (a, b), both long and not null.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014), each
-    one aggregation and one join, until the edges no longer change. Returns
-    (node, component): component is the smallest node reachable; only nodes with
-    an edge to another node occur. Intermediate edges are checkpointed; nothing
-    but a count and a checksum reaches the driver.
+    one aggregation and one join, until the edges no longer change or are at most
+    `few`, which one task finishes. Returns (node, component): component is the
+    smallest node reachable; only nodes with an edge to another node occur.
+    Intermediate edges are checkpointed; nothing but a count and a checksum reaches
+    the driver.
     """
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(x[0].to_numpy(), x[1].to_numpy()) for x in batches]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in smallest_reachable(*(np.concatenate(x) for x in zip(*held, strict=True)))], ["node", "component"])
+
     def both(e: DataFrame) -> DataFrame:
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -110,11 +137,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     now = durable(tidy(edges))
     seen = state(now)
-    while seen[0]:
+    while seen[0] > few:
         now = durable(tidy(small(tidy(large(now)))))
         if (then := state(now)) == seen:
             break
         seen = then
+    if seen[0] <= few:
+        return durable(now.coalesce(1).mapInArrow(finish, "node long, component long"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     ).distinct()

@@ -80,9 +80,10 @@ def test_grid_finds_every_link(spark, radius, bits):
     assert got == {frozenset((a, b)) for k, a in enumerate(fps) for b in fps[:k] if (a ^ b).bit_count() <= radius}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, few):
     edges = [(k, k + 1) for k in range(20)] + [(30, 40), (40, 35), (50, 50)]
-    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
     assert got == {**{k: 0 for k in range(21)}, 30: 30, 35: 30, 40: 30}
 
 
