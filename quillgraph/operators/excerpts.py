@@ -44,16 +44,17 @@ def occurrences(text: Column, stem: Column) -> Column:
 
 def densest_start(docs: DataFrame, id_col: str, anchors_col: str, cap_col: str) -> DataFrame:
     """AG6: (id_col, start): the first anchor whose window of cap characters holds
-    most anchors. A range frame over each document's own anchors."""
-    spread = docs.select(id_col, F.col(cap_col).alias("_cap"), F.explode(anchors_col).alias("_at"))
-    # a range frame needs a constant width: documents of one cap share one
-    caps = [r[0] for r in spread.select("_cap").distinct().collect()]
-    out = None
-    for cap in caps:
-        frame = Window.partitionBy(id_col).orderBy("_at").rangeBetween(0, int(cap) - 1)
-        part = spread.filter(F.col("_cap") == cap).withColumn("_n", F.count("*").over(frame)).groupBy(id_col).agg(F.min_by("_at", F.struct(-F.col("_n"), F.col("_at"))).alias("start"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spread.select(id_col, F.col("_at").alias("start")).limit(0)
+    most anchors. Each anchor also marks where its window ends; running counts over a
+    document's anchors and marks give the anchors before both, so each document may
+    have a cap of its own, and one window function serves all."""
+    marks = F.transform(anchors_col, lambda at: F.struct((at + F.col(cap_col)).alias("_pos"), F.lit(0).alias("_is"), at.alias("_at")))
+    anchors = F.transform(anchors_col, lambda at: F.struct(at.alias("_pos"), F.lit(1).alias("_is"), at.alias("_at")))
+    spread = docs.select(id_col, F.inline(F.concat(anchors, marks)))
+    # a mark stands before the anchors at its place: the window does not reach them
+    so_far = Window.partitionBy(id_col).orderBy("_pos", "_is").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = spread.withColumn("_n", F.sum("_is").over(so_far)).groupBy(id_col, "_at")
+    held = counted.agg((F.max(F.when(F.col("_is") == 0, F.col("_n"))) - F.min(F.when(F.col("_is") == 1, F.col("_n")))).alias("_n"))
+    return held.groupBy(id_col).agg(F.min_by("_at", F.struct(-F.col("_n"), F.col("_at"))).alias("start"))
 
 
 def cut_window(body: Column, start: Column, cap: Column) -> Column:

@@ -34,7 +34,7 @@ def only(table: DataFrame, keys: DataFrame, column: str, key: str | None = None)
 
 def terms(text: Column, least: int = 3) -> Column:
     """Index terms: lower-case words of least characters or more."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), PUNCT, " "), r"\s+"), lambda t: F.length(t) >= least)
+    return F.filter(F.split(F.lower(text), rf"(?:\s|{PUNCT})+"), lambda t: F.length(t) >= least)
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -46,29 +46,27 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return listed.select(id_col, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: (n_docs, avg_dl)."""
-    dl = F.size(terms(F.col(text_col)))
-    return docs.agg(F.count_if(dl > 0).alias("n_docs"), F.avg(F.when(dl > 0, dl)).alias("avg_dl"))
-
-
 def bm25_search(docs: DataFrame, questions: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", q_col: str = "q_id", query_col: str = "query", k: int = 20) -> DataFrame:
     """SC4: (q_col, rank, id_col, score): the k best documents of each question.
 
-    Only the questions' terms are looked for: a document's row drops other terms
-    before anything is shuffled, and what is left is checkpointed, since document
-    frequencies and scores both read it. Ties go to the smaller id. Questions without terms
-    or matches have no rows. Question terms are broadcast when they are counted few.
+    One pass over the texts. Only the questions' terms are looked for: a document's row
+    drops other terms before anything is shuffled. An empty term, which no question has,
+    stands for the document itself, so the number of documents and their mean length
+    come from the same checkpointed table as document frequencies and scores. Ties go
+    to the smaller id. Questions without terms or matches have no rows. Question terms
+    are broadcast when they are counted few.
     """
     asked = questions.select(q_col, F.explode(F.array_distinct(terms(F.col(query_col)))).alias("term"))
     vocabulary = asked.select("term").distinct()
     few = vocabulary.count()
+    wanted = vocabulary.union(docs.sparkSession.range(1).select(F.lit("").alias("term")))
     listed = docs.select(id_col, terms(F.col(text_col)).alias("t")).filter(F.size("t") > 0)
-    spread = listed.select(id_col, F.size("t").alias("dl"), F.explode("t").alias("term")).join(fitted(vocabulary, few), "term", "left_semi")
-    found = durable(spread.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf")))
+    spread = listed.select(id_col, F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(fitted(wanted, few + 1), "term", "left_semi")
+    counted = durable(spread.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf")))
+    stats = counted.filter("term = ''").agg(F.sum("tf").alias("n"), F.avg("dl").alias("avg")).head()  # two numbers
+    found = counted.filter("term <> ''")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, text_col).head()  # two numbers
-    n, avg = F.lit(float(stats["n_docs"])), F.lit(float(stats["avg_dl"] or 1.0))
+    n, avg = F.lit(float(stats["n"] or 0)), F.lit(float(stats["avg"] or 1.0))
     weights = asked.join(fitted(df, few), "term").withColumn("idf", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     pairs = weights.count() if few <= BROADCAST_ROWS else BROADCAST_ROWS + 1
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
@@ -105,13 +103,26 @@ def suggested_titles(probes: DataFrame, articles: DataFrame, title_col: str = "t
 
     Candidates share the first key_chars characters of the normalised title (an
     equi-join); titles that go on from the probe come before others, then the least
-    Levenshtein distance wins, ties to the smaller title."""
-    key = lambda c: F.substring(title_key(c), 1, key_chars)
-    named = articles.select("title", "path", key(F.col("title")).alias("_k"), title_key(F.col("title")).alias("_n"))
-    asked = probes.withColumn("_k", key(F.col(title_col))).withColumn("_a", title_key(F.col(title_col))).filter(F.length("_k") == key_chars)
-    near = asked.join(named, "_k").withColumn("_d", F.levenshtein("_n", "_a")).filter(F.col("_n").startswith(F.col("_a")) | (F.col("_d") <= F.length("_a") / 3))
+    Levenshtein distance wins, ties to the smaller title. A shorter probe can only be
+    gone on from: of each such beginning the one best title is found beforehand. A
+    probe that is blank once normalised has no suggestion."""
+    asked = probes.withColumn("_a", title_key(F.col(title_col))).withColumn("_k", F.substring("_a", 1, key_chars))
+    named = articles.select("title", "path", title_key(F.col("title")).alias("_n"))
+    whole = F.length("_k") == key_chars
+    near = asked.filter(whole).join(named.withColumn("_k", F.substring("_n", 1, key_chars)), "_k").withColumn("_d", F.levenshtein("_n", "_a")).filter(F.col("_n").startswith(F.col("_a")) | (F.col("_d") <= F.length("_a") / 3))
     first = Window.partitionBy(*probes.columns).orderBy(~F.col("_n").startswith(F.col("_a")), "_d", "title", "path")
-    return near.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_k", "_a", "_n", "_d", "_r").withColumn("score", F.lit(SUGGESTED))
+    long = near.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(*probes.columns, "title", "path")
+    short = asked.filter(~whole & (F.length("_a") > 0))
+    begun = only(beginnings(named, 1, key_chars - 1), short, "_k")
+    least = begun.groupBy("_k").agg(F.min(F.struct(F.length("_n").alias("n"), "title", "path")).alias("_b"))
+    brief = short.distinct().join(least, "_k").select(*probes.columns, "_b.title", "_b.path")
+    return long.unionByName(brief).withColumn("score", F.lit(SUGGESTED))
+
+
+def beginnings(named: DataFrame, least: int, most: int) -> DataFrame:
+    """named with a row (_k) for each beginning of _n of least to most characters."""
+    cuts = F.transform(F.sequence(F.lit(least), F.least(F.length("_n"), F.lit(most))), lambda n: F.substring(F.col("_n"), F.lit(1), n))
+    return named.filter(F.length("_n") >= least).withColumn("_k", F.explode(cuts))
 
 
 def lookup_titles(probes: DataFrame, articles: DataFrame, title_col: str = "title_asked") -> DataFrame:
@@ -136,13 +147,20 @@ def titles_by_prefix(articles: DataFrame, prefix: str, limit: int, *, title_col:
 
 
 def prefix_matches(probes: DataFrame, articles: DataFrame, limit: int, prefix_col: str = "prefix", key_chars: int = 8) -> DataFrame:
-    """SC8 for many prefixes: an equi-join on their first key_chars characters, then the whole prefix."""
-    cut = lambda c: F.substring(F.lower(c), 1, key_chars)
-    long = probes.filter(F.length(prefix_col) >= key_chars)
-    named = articles.select("title", "path", cut(F.col("title")).alias("_k"))
-    hit = long.withColumn("_k", cut(F.col(prefix_col))).join(named, "_k").filter(F.lower("title").startswith(F.lower(prefix_col)))
+    """SC8 for many prefixes: the first limit titles of each, in title order, score 800.
+
+    An equi-join on the first key_chars characters, then the whole prefix. A shorter
+    prefix is a key of its own: of its titles only the first limit can be asked for,
+    so they are ranked before the join, and a prefix of every title joins limit rows."""
+    asked = probes.withColumn("_p", F.lower(prefix_col)).withColumn("_k", F.substring("_p", 1, key_chars))
+    named = articles.select("title", "path", F.lower("title").alias("_n"))
+    long = asked.filter(F.length("_p") >= key_chars).join(named.withColumn("_k", F.substring("_n", 1, key_chars)), "_k").filter(F.col("_n").startswith(F.col("_p")))
     order = Window.partitionBy(*probes.columns).orderBy("title", "path")
-    return hit.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit).drop("_k", "_r").withColumn("score", F.lit(PREFIXED))
+    ranked = long.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit).select(*probes.columns, "title", "path")
+    short = asked.filter(F.length("_p") < key_chars)
+    begun = only(beginnings(named, 0, key_chars - 1), short, "_k").withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("title", "path"))).filter(F.col("_r") <= limit)
+    brief = short.join(begun.select("_k", "title", "path"), "_k").select(*probes.columns, "title", "path")
+    return ranked.unionByName(brief).withColumn("score", F.lit(PREFIXED))
 
 
 def article_html(hits: DataFrame, articles: DataFrame) -> DataFrame:

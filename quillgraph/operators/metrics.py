@@ -26,9 +26,10 @@ def progress(tokens: DataFrame, most: int, *, by: str = "gen_id", ts_ms: str = "
     return g.withColumn("eta_ms", eta_ms(F.col("first_ms"), F.col("now_ms"), F.col("n"), F.lit(most)))
 
 
-def debounced(events: DataFrame, *, by: str, ts_ms: str, quiet_ms: int = 400) -> DataFrame:
-    """SS7: events that no other follows within quiet_ms; ties by the whole row are kept once."""
-    gap = F.lead(ts_ms).over(Window.partitionBy(by).orderBy(ts_ms)) - F.col(ts_ms)
+def debounced(events: DataFrame, *, by: str, ts_ms: str, quiet_ms: int = 400, order: tuple[str, ...] = ()) -> DataFrame:
+    """SS7: events that no other follows within quiet_ms; of a key's events at one time
+    the last counts, by the columns of order."""
+    gap = F.lead(ts_ms).over(Window.partitionBy(by).orderBy(ts_ms, *order)) - F.col(ts_ms)
     return events.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") >= quiet_ms)).drop("_gap")
 
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; only where it names
-    none (as in tests on one machine) a temporary one is used."""
+    """The cluster names a shared folder in spark.checkpoint.dir. Only on one machine (as in
+    tests) may it name none: a temporary one is used there, and elsewhere an error raised,
+    since executors do not see each other's disks."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgraph-"))
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -118,11 +118,10 @@ def human_sizes(spark, sf):
 
 @query("""
 SELECT doc_id, pos - 1 AS pos, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(trim(line), '^#{1,3} ') THEN 'heading'
-  WHEN regexp_matches(trim(line), '^[-*] ') THEN 'bullet' WHEN regexp_matches(trim(line), '^\\d{1,3}[.)]\\s') THEN 'numbered' ELSE 'para' END AS kind, length(trim(line)) AS chars
-FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
-WHERE NOT regexp_matches(line, '[\\t\\r\\x0b\\x0c]')""")
+  WHEN regexp_matches(trim(line), '^[-*] ') THEN 'bullet' WHEN regexp_matches(trim(line), '^[0-9]{1,3}[.)][\\x09-\\x0D ]') THEN 'numbered' ELSE 'para' END AS kind, length(trim(line)) AS chars
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)""")
 def markdown_kinds(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(~F.col("line").rlike(r"[\t\r\x0b\x0c]"))
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     one = F.get(text.markdown_lines(F.col("line")), F.lit(0))
     return rows.select("doc_id", "pos", one["kind"].alias("kind"), F.length(F.trim("line")).alias("chars"))
 
@@ -301,7 +300,7 @@ def bounded_bfs(spark, sf):
 
 @query("""
 WITH o AS (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders),
-s AS (SELECT o_orderkey AS q_id, o_orderkey AS name FROM orders WHERE o_orderkey % 25 = 0),
+s AS (SELECT o_orderkey AS q_id, o_orderkey AS name FROM orders),
 c1 AS (SELECT q_id, before AS name FROM s JOIN o ON o.o_orderkey = s.name WHERE before IS NOT NULL),
 c2 AS (SELECT q_id, before AS name FROM c1 JOIN o ON o.o_orderkey = c1.name WHERE before IS NOT NULL),
 c3 AS (SELECT q_id, before AS name FROM c2 JOIN o ON o.o_orderkey = c2.name WHERE before IS NOT NULL)
@@ -311,7 +310,7 @@ def predecessor_chain(spark, sf):
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     name = lambda c: F.concat(F.lit("order "), c.cast("string"))
     pairs = o.withColumn("b", before).filter("b is not null").select(name(F.col("o_orderkey")).alias("name_key"), F.concat(name(F.col("b")), F.lit(" (date)")).alias("before"))
-    starts = o.filter("o_orderkey % 25 = 0").select(F.col("o_orderkey").alias("q_id"), name(F.col("o_orderkey")).alias("name"))
+    starts = o.select(F.col("o_orderkey").alias("q_id"), name(F.col("o_orderkey")).alias("name"))
     return graph.predecessor_chain(starts, pairs)
 
 
@@ -471,9 +470,8 @@ def progress_eta(spark, sf):
 
 @query(f"SELECT event_id FROM (SELECT event_id, lead({_MS}) OVER (PARTITION BY user_id ORDER BY {_MS}, event_id) - {_MS} AS gap FROM events) WHERE gap IS NULL OR gap >= 3600000")
 def debounce(spark, sf):
-    rows = table(spark, sf, "events").select("event_id", "user_id", F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id").alias("at"))
-    gap = F.lead("at.ms").over(Window.partitionBy("user_id").orderBy("at")) - F.col("at.ms")
-    return rows.withColumn("gap", gap).filter("gap is null or gap >= 3600000").select("event_id")
+    rows = table(spark, sf, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return metrics.debounced(rows, by="user_id", ts_ms="ms", quiet_ms=3_600_000, order=("event_id",)).select("event_id")
 
 
 @query(f"""

@@ -120,7 +120,31 @@ def title_lookup_with_redirects(spark, sf):
     return index.lookup_titles(probes, _articles(spark)).select("title_asked", "title", "path", "score")
 
 
-@query("SELECT p.p_partkey AS asked, n.title, 800 AS score FROM (SELECT DISTINCT p_name AS title FROM part) n JOIN part p ON starts_with(lower(n.title), lower(p.p_name)) WHERE length(p.p_name) >= 4")
+@query(f"""
+WITH n AS (SELECT DISTINCT p_name AS title, trim(regexp_replace(regexp_replace(lower(p_name), '{PUNCT}', ' ', 'g'), '\\s+', ' ', 'g')) AS n FROM part),
+a AS (SELECT DISTINCT lower(substr(n, 1, k)) AS asked FROM n, range(1, 15) r(k)),
+q AS (SELECT asked, trim(regexp_replace(regexp_replace(asked, '{PUNCT}', ' ', 'g'), '\\s+', ' ', 'g')) AS a FROM a),
+c AS (SELECT asked, title, starts_with(n, a) AS on_, levenshtein(n, a) AS d, length(a) AS l FROM q JOIN n ON substr(n, 1, 3) = substr(a, 1, 3) OR length(a) < 3 AND starts_with(n, a) WHERE a <> '')
+SELECT asked, arg_min(title, struct_pack(o := NOT on_, d := d, t := title)) AS title, 950 AS score FROM c WHERE on_ OR d <= l / 3 GROUP BY asked""")
+def title_suggestions(spark, sf):
+    """SC6: beginnings of one character and more."""
+    named = table(spark, sf, "part").select(F.col("p_name").alias("title"), F.col("p_name").alias("path")).distinct()
+    asked = named.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(14)), lambda n: F.substring(index.title_key(F.col("title")), F.lit(1), n))).alias("title_asked")).distinct()
+    return index.suggested_titles(asked, named).select(F.col("title_asked").alias("asked"), "title", "score")
+
+
+@query("""
+WITH n AS (SELECT DISTINCT p_name AS title FROM part), a AS (SELECT DISTINCT p_name AS name, k, lower(substr(p_name, 1, k)) AS prefix FROM part, range(0, 12) r(k))
+SELECT name, k, title, 800 AS score FROM (SELECT a.name, a.k, n.title, row_number() OVER (PARTITION BY a.name, a.k ORDER BY n.title) AS r FROM a JOIN n ON starts_with(lower(n.title), a.prefix)) WHERE r <= 3""")
+def title_prefix_lengths(spark, sf):
+    """Prefixes of every length, the empty one included; three titles of each."""
+    named = table(spark, sf, "part").select(F.col("p_name").alias("title"), F.col("p_name").alias("path")).distinct()
+    probes = named.select(F.col("title").alias("name"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
+    probes = probes.withColumn("prefix", F.expr("upper(substring(name, 1, k))"))
+    return index.prefix_matches(probes, named, 3).select("name", F.col("k").cast("long").alias("k"), "title", "score")
+
+
+@query("SELECT p.p_partkey AS asked, n.title, 800 AS score FROM (SELECT DISTINCT p_name AS title FROM part) n JOIN part p ON starts_with(lower(n.title), lower(p.p_name))")
 def title_prefix_batch(spark, sf):
     part = table(spark, sf, "part")
     named = part.select(F.col("p_name").alias("title"), F.col("p_name").alias("path")).distinct()
