@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import html, text, vectors
 from quillgraph.functions.vocab import EN, RU
 from quillgraph.operators import archives, candidates, chat, excerpts, extraction, graph, index, logs, metrics
-from quillgraph.operators.storage import durable
+from quillgraph.operators.storage import durable, shared_folder
 from quillgraph.plans import answers
 from quillgraph.plans.catalogue import _ENTRIES, PUNCT, _entries, query, table
 from quillgraph.sources import readers, sinks
+from quillgraph.streaming import running
 
 
 def sql_rows(names: str, rows: list[tuple]) -> str:
@@ -340,3 +342,121 @@ def walk_candidates(spark, sf):
 def answer_reduction(spark, sf):
     rows = [(1, 0, "кто мэр", "Иван Петров", False, "Иван Петров — 2000\nДругой Человек — 1999"), (1, 1, "кто мэр", "Пётр Сидоров", False, "ДА."), (1, 2, "кто мэр", "Х", False, "Он не является мэром")]
     return extraction.reduced(spark.createDataFrame(rows, "q_id long, ord int, question string, title string, is_seed boolean, raw string"), RU).select("name", "years")
+
+
+# --- further functions over the driver's tables --------------------------------------
+
+@query("""
+SELECT page_id, array_to_string([replace(replace(url_encode(x), '~', '%7E'), '%2A', '*') FOR x IN string_split(url, '/')], '/') AS encoded FROM pages""")
+def encoded_paths(spark, sf):
+    """TX24."""
+    return table(spark, sf, "pages").select("page_id", text.encoded_path(F.col("url")).alias("encoded"))
+
+
+@query("""
+WITH m AS (SELECT conv_id, turn, lower(coalesce(text, '')) || CASE WHEN turn % 3 = 0 THEN ' rc: -' || conv_id ELSE '' END AS m FROM conversations)
+SELECT conv_id, turn, CASE WHEN regexp_matches(m, 'memory|alloc|oom') THEN 'memory' WHEN regexp_matches(m, 'context|n_ctx|too long') THEN 'context'
+  WHEN regexp_matches(m, 'cancel|stop') THEN 'stopped' WHEN regexp_extract(m, '(?:error|code|rc)\\s*[=: ]\\s*(-?[0-9]+)', 1) <> '' THEN 'code ' || regexp_extract(m, '(?:error|code|rc)\\s*[=: ]\\s*(-?[0-9]+)', 1)
+  ELSE 'other' END AS kind FROM m""")
+def error_kinds(spark, sf):
+    """TX25."""
+    message = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" rc: -"), F.col("conv_id").cast("string"))).otherwise(""))
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.error_kind(message).alias("kind"))
+
+
+@query("""
+SELECT event_id, printf('%.1f tok/s · %d tok · %d s', event_id % 50 + 0.5, event_id % 1000, (event_id % 9000 + 500) // 1000) AS line FROM events""")
+def stats_lines(spark, sf):
+    """TX28."""
+    n = F.col("event_id")
+    return table(spark, sf, "events").select("event_id", text.stats_line((n % 50 + 0.5).cast("double"), n % 1000, n % 9000).alias("line"))
+
+
+@query("""
+WITH t AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE 'page ' || page_id END AS title FROM pages)
+SELECT page_id, CASE WHEN trim(coalesce(title, '')) = '' THEN url ELSE title END AS shown, 'model ' || page_id || CASE WHEN page_id % 2 = 0 THEN '' ELSE '.bin' END AS file FROM t""")
+def display_names(spark, sf):
+    """TX29."""
+    n = F.col("page_id")
+    title = F.when(n % 3 == 1, "  ").when(n % 3 == 2, F.concat(F.lit("page "), n.cast("string")))
+    file = F.concat(F.lit("model "), n.cast("string"), F.when(n % 2 == 0, ".GGUF").otherwise(".bin"))
+    return table(spark, sf, "pages").select("page_id", text.or_path(title, F.col("url")).alias("shown"), text.display_name(file).alias("file"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 7 ELSE 0 END AS code FROM events")
+def event_codes(spark, sf):
+    """TX30."""
+    return table(spark, sf, "events").select("event_id", text.code_of(F.col("event_type"), {"view": 1, "click": 2, "error": 7}, 0).alias("code"))
+
+
+@query("""
+SELECT event_id, list_sort(list_transform(map_entries(map_from_entries(CASE WHEN event_type = 'click' THEN [('kind', event_type)] ELSE [('kind', event_type), ('user', 'u' || user_id)] END)), lambda e: e.key || '=' || e.value)) AS cells FROM events""")
+def map_cells(spark, sf):
+    """ST-U5: a cell set, and one taken out."""
+    cells = metrics.with_entry(F.create_map(F.lit("kind"), F.lit("old"), F.lit("user"), F.concat(F.lit("u"), F.col("user_id").cast("string"))), F.lit("kind"), F.col("event_type"))
+    left = F.when(F.col("event_type") == "click", metrics.without_key(cells, F.lit("user"))).otherwise(cells)
+    return table(spark, sf, "events").select("event_id", F.array_sort(F.transform(F.map_entries(left), lambda e: F.concat(e["key"], F.lit("="), e["value"]))).alias("cells"))
+
+
+_PAGE_TITLE = "trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"
+
+
+@query(f"""
+WITH a AS (SELECT url AS path, {_PAGE_TITLE} AS title, length(html) AS n FROM pages), t AS (SELECT DISTINCT title FROM a UNION ALL SELECT 'no such title')
+SELECT a.title, a.path, n AS body_len FROM t JOIN a USING (title)""")
+def raw_title_probe(spark, sf):
+    """SC7 over all pages."""
+    pages = readers.page_rows(table(spark, sf, "pages"))
+    probes = pages.select(F.col("title").alias("title_asked")).distinct().union(spark.createDataFrame([("no such title",)], "title_asked string"))
+    return index.raw_titles(probes, pages, body_col="html").select("title", "path", F.col("body_len").alias("body_len"))
+
+
+@query(f"""
+SELECT page_id, substr({_PAGE_TITLE} || '. ' || trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 600) AS passage FROM pages""")
+def passages(spark, sf):
+    """VE4."""
+    title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return table(spark, sf, "pages").select("page_id", vectors.passage(title, F.col("html")).alias("passage"))
+
+
+@query("SELECT doc_id, [CAST(length('query: ' || trim(text)) AS FLOAT), CAST(strlen('query: ' || trim(text)) AS FLOAT)] AS vector FROM documents")
+def embedded_queries(spark, sf):
+    """VE1 by a model that counts characters and bytes."""
+    def model(texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(len(t.encode()))] for t in texts]
+
+    return table(spark, sf, "documents").select("doc_id", vectors.embed(F.col("text"), model, "query").alias("vector"))
+
+
+@query("""
+WITH h AS (SELECT label AS q_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS ord, vec_id, CASE WHEN vec_id % 7 = 0 THEN 900 ELSE CAST(vec_id % 100 AS INTEGER) END AS score, embedding FROM embeddings),
+q AS (SELECT label AS q_id, arg_min(embedding, vec_id) AS query_vec FROM embeddings GROUP BY label),
+c AS (SELECT h.*, CASE WHEN vec_id % 11 <> 0 THEN CAST(list_sum([CAST(a[1] AS DOUBLE) * CAST(a[2] AS DOUBLE) FOR a IN list_zip(query_vec, embedding)]) AS FLOAT) ELSE -1 END AS sim FROM h JOIN q USING (q_id)),
+t AS (SELECT *, score < 500 AS tail, row_number() OVER (PARTITION BY q_id, score < 500 ORDER BY ord) - 1 AS i,
+  row_number() OVER (PARTITION BY q_id, score < 500 ORDER BY sim DESC, ord) - 1 AS r, count(*) OVER (PARTITION BY q_id) AS n, count(*) FILTER (score < 500) OVER (PARTITION BY q_id) AS nt FROM c),
+s AS (SELECT *, n >= 3 AND nt >= 3 AS fuse, CASE WHEN tail THEN CAST(CAST(1 AS FLOAT) / CAST(60 + i AS FLOAT) AS FLOAT) + CAST(CAST(1 AS FLOAT) / CAST(60 + r AS FLOAT) AS FLOAT) END AS rrf FROM t)
+SELECT q_id, vec_id, CAST(CASE WHEN fuse THEN row_number() OVER (PARTITION BY q_id ORDER BY tail, CAST(rrf AS FLOAT) DESC NULLS LAST, ord) ELSE ord END AS INTEGER) AS ord FROM s""")
+def semantic_rerank(spark, sf):
+    """SO3, VE5: hits fused with the similarity of their vectors to the question's; one hit in eleven has none."""
+    v = table(spark, sf, "embeddings")
+    hits = v.select(F.col("label").alias("q_id"), F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).alias("ord"), "vec_id", F.when(F.col("vec_id") % 7 == 0, 900).otherwise((F.col("vec_id") % 100).cast("int")).alias("score"))
+    asked = v.groupBy(F.col("label").alias("q_id")).agg(F.min_by("embedding", "vec_id").alias("query_vec"))
+    known = v.filter("vec_id % 11 <> 0").select(F.col("label").alias("q_id"), "vec_id", F.col("embedding").alias("passage_vec"))
+    return candidates.reranked(hits, asked, known, key="vec_id").select("q_id", "vec_id", "ord")
+
+
+@query("SELECT conv_id * 1000 + turn AS gen_id, text FROM conversations WHERE text <> ''")
+def streamed_transcripts(spark, sf):
+    """SS1, SS2, SS3: each turn's bytes come in pieces of seven, characters cut through, over
+    two runs of a stream that starts again from its checkpoint; the pieces are put together."""
+    at = shared_folder(spark, "transcripts")
+    turns = table(spark, sf, "conversations").filter("text <> ''").select((F.col("conv_id") * 1000 + F.col("turn")).alias("gen_id"), F.encode("text", "UTF-8").alias("b"))
+    seq = F.sequence(F.lit(0), F.floor((F.length("b") - 1) / 7).cast("int"))
+    cut = turns.withColumn("last", F.element_at(seq, -1)).select("gen_id", "b", "last", F.explode(seq).alias("seq"))
+    chunks = cut.select("gen_id", "seq", F.timestamp_millis(F.col("seq").cast("long")).alias("ts"), F.expr("substring(b, seq * 7 + 1, 7)").alias("bytes"), (F.col("seq") == F.col("last")).alias("done"), "last")
+    for part in (chunks.filter("2 * seq <= last"), chunks.filter("2 * seq > last")):
+        part.drop("last").write.mode("append").parquet(f"{at}/chunks")
+        stream = running.reassembled(spark.readStream.schema(running.EVENTS).parquet(f"{at}/chunks"))
+        stream.writeStream.format("parquet").option("path", f"{at}/pieces").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"])
+    return spark.read.parquet(f"{at}/pieces").groupBy("gen_id").agg(F.array_join(pieces, "").alias("text"))
