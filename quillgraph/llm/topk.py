@@ -51,7 +51,7 @@ class Lists:
         self.ids = ids
         self.scored = 0
         # sums below 2^24 and 2^53 are exact in these types, whose products are fast
-        top = int(np.abs(matrix).max(initial=0)) * largest * max(matrix.shape[1], 1)
+        top = int(np.abs(matrix).max(initial=0)) * max(largest, 1) * max(matrix.shape[1], 1)
         kind = next((t for t, bound in ((np.float32, 1 << 24), (np.float64, 1 << 53), (np.int64, 1 << 62)) if top < bound), object)
         self.rows = matrix.astype(kind)
         self.down = np.asfortranarray(np.argsort(-matrix, axis=0, kind="stable")).astype(np.int32)

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import xxhash
 
@@ -102,11 +103,12 @@ def substrings(rows, width=20):
 
 
 def top(rows, every=20, k=20, scale=64):
-    fine = [(i, [math.floor(scale * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) and abs(x) * scale < 1 << 24 for x in v)]
+    whole = lambda x: math.floor(Fraction(x) * scale)
+    fine = [(i, [whole(float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
     for q, v in {(i, tuple(v)) for i, v in fine if i % every == 0}:
         best = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in fine if i != q and len(w) == len(v)))[:k]
-        out |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+        out |= {(q, r, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, i) in enumerate(best, 1)}
     return out
 
 
@@ -165,3 +167,70 @@ def context_tree(rows, depth):
             total += math.log10(p)
         out.append((i, total))
     return out
+
+
+def near(a, b):
+    """Whether one edit or none makes b of a."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
+    return a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:]
+
+
+def toxicity(text, model, quotes, reporting, leet, token, window=6, least=5):
+    """The score of a text: every word against every term."""
+    def hit(w):
+        if w in model.terms:
+            return "word", w
+        stems = [t for t in model.terms if t.endswith("*") and w.startswith(t[:-1])]
+        if stems:
+            return "stem", max(stems, key=len)
+        close = [t for t in model.terms if not t.endswith("*") and len(t) >= least and near(w, t)]
+        return ("fuzzy", max(close, key=lambda t: (model.terms[t], t))) if close else None
+
+    def found(w):
+        out = None if w in model.exceptions else hit(w)
+        plain = w.translate(leet)
+        return hit(plain) if out is None and plain != w and any(c.isalpha() for c in w) else out
+
+    words = token.findall((text or "").lower())
+    sums = dict.fromkeys(("direct", "quoted", "stem", "fuzzy"), 0.0)
+    exact, inside = 0, False
+    for k, w in enumerate(words):
+        inside ^= w in quotes
+        if h := found(w):
+            told = inside or bool(reporting & set(words[max(0, k - window) : k + window + 1]))
+            sums["fuzzy" if h[0] == "fuzzy" else "quoted" if told else "direct"] += model.terms[h[1]]
+            sums["stem"] += h[0] == "stem"
+            exact += h[0] != "fuzzy"
+    x = [1.0, *map(math.log1p, sums.values()), 10 * exact / max(len(words), 1), float(exact > 0)]
+    return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.weights, strict=True))))))
+
+
+def similar_groups(rows, width=5, share=0.8):
+    """Groups of texts whose sets of shingles have a Jaccard similarity of share or more."""
+    def shingles(t):
+        w = WORD.findall((t or "").encode().lower())
+        return frozenset(b" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+    least = {}
+    for i, t in sorted(rows):
+        least.setdefault(shingles(t), i)
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [(s, i) for s, i in least.items() if s]
+    held = defaultdict(list)
+    for k, (s, _) in enumerate(sets):
+        for x in s:
+            held[x].append(k)
+    for k, (s, i) in enumerate(sets):
+        for j, n in Counter(j for x in s for j in held[x] if j < k).items():
+            if n >= share * (len(s) + len(sets[j][0]) - n) - 1e-9:
+                a, b = find(i), find(sets[j][1])
+                parent[max(a, b)] = min(a, b)
+    return {i: find(least[shingles(t)]) for i, t in rows}

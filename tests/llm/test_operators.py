@@ -174,6 +174,37 @@ def test_substrings_of_two_words(spark, texts):
     same(got.select("doc_id", "n_words", "n_removed", sha(F.col("text"))).collect(), brute.substrings(rows, 8))
 
 
+def test_very_long_texts(spark):
+    """A text of some megabytes with a word longer than a chunk, beside short ones."""
+    rng = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(5000)]
+    passage = " ".join(rng.choice(vocabulary) for _ in range(40))
+    long = " ".join([passage, *(rng.choice(vocabulary) for _ in range(400_000)), "w" * (substring.CHUNK + 5), passage, "\n" + LINE + "\n"])
+    rows = [(1, passage), (2, long), (3, LINE), (4, "x\n" + LINE)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    same(substring.dedup_substrings(df).select("doc_id", "n_words", "n_removed", sha(F.col("text"))).collect(), brute.substrings(rows))
+    same(line_dedup.dedup_lines(df).select("doc_id", "n_lines", "n_dropped", sha(F.col("text"))).collect(), brute.lines(rows))
+    assert {r["doc_id"]: r["fingerprint"] for r in simhash.near_groups(df).collect()} == {i: f"{brute.fingerprint(t):016x}" for i, t in rows}
+    assert {r["doc_id"]: r["decoded"] for r in bpe.encode_documents(df, tokenizer_path()).collect()} == dict(rows)
+    base = {i: b for i, _, _, _, _, b in brute.unigram(rows)}
+    assert all(r["base_score"] == pytest.approx(base[r["doc_id"]]) and r["score"] < 0 for r in ctw.score_documents(df, depth=2).collect())
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(df, b"k").collect()} == dict(rows)
+    assert {r["doc_id"] for r in near_copies.near_copy_groups(df).collect()} == {1, 2, 3, 4}
+    items = spark.createDataFrame([(9, passage)], "item_id long, text string")
+    assert {r["doc_id"] for r in contamination.contained_items(df, items).collect()} == {1, 2}
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("ab\u00e9") for _ in range(rng.randrange(1, 9))) for _ in range(20_000)})
+    text = " ".join(words * 2).encode()
+    c = substring.Chunk([(1, text)], 5, 20)
+    for which in (0, 1):
+        c.at(20, which)
+        h = c.hashes[which]
+        assert len(set(h.tolist())) == len(words) and (h[: len(words)] == h[len(words) :]).all()
+
+
 def test_bpe_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -218,6 +249,28 @@ def test_urls(spark):
     same(got, [(i, *judged(u)) for i, u, _ in rows])
 
 
+def test_tokens_are_read_off_patterns():
+    tokens = url_filter.pattern_tokens
+    assert tokens(r"/wp-login\.php$") == ("wp", "login", "php") and tokens(r"^ads\.") == ("ads",) and tokens("ads") == () and tokens(r"/ads") == ()
+    assert tokens(r"/a(?:b|c)d/") == () and tokens(r"(?:^|/)x1(/)y(?:[^a-zA-Z0-9]|$)") == ("x1", "y") and tokens(r"/a\W") == () and tokens(r"/ab?/") == ()
+    assert tokens(r"/Foo[/.]bar[^/]") == ("foo",) and tokens(r"[a-z]ads/") == () and tokens(r"\bads\b") == () and tokens(r"-ads[-_]+x/") == ("ads", "x")
+
+
+def test_hundreds_of_url_rules(spark):
+    import re
+
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in ("ad", "track", "shop", "news", "img", "x") for b in range(8)]
+    forms = [lambda a, b: rf"(?:^|\.){a}\.", lambda a, b: rf"/{a}/{b}/", lambda a, b: rf"/{a}[-_]{b}(?:[^a-zA-Z0-9]|$)", lambda a, b: rf"{a}{b}", lambda a, b: rf"/{a}(?:{b}|y)/", lambda a, b: rf"^{a}\.[a-z]+/"]
+    rules = tuple(url_filter.pattern_rule(rng.choice(forms)(rng.choice(words), rng.choice(words)), rng.choice(["block", "allow"])) for _ in range(400))
+    assert sum(bool(r.tokens) for r in rules) > 200
+    urls = [(k, "http://" + ".".join(rng.choice(words) for _ in range(2)) + ".com/" + "".join(rng.choice(words) + rng.choice("/-_.") for _ in range(rng.randrange(5)))) for k in range(300)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), listed=(), patterns=rules).collect()}
+    for i, u in urls:
+        fits = [(len(r.text), -k, r.verdict) for k, r in enumerate(rules) if re.search(r.regex, u.removeprefix("http://"))]
+        assert got[i] == (max(fits)[2] if fits else "allow")
+
+
 def test_url_rules_without_tokens(spark):
     every = url_filter.Rule("all", "block", "^.*$", ())
     df = spark.createDataFrame([(1, "http://a/"), (2, None)], "page_id long, url string")
@@ -247,6 +300,32 @@ def test_threshold_stops_early():
     matrix[:, 0] = np.arange(10000)
     lists = topk.Lists(matrix, np.arange(10000), 5)
     assert lists.best(np.array([5, 0, 0]), -1, 3) == [(49995, 9999), (49990, 9998), (49985, 9997)]
+    assert lists.scored == topk.FIRST
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_only_shown_rows_are_scored(seed):
+    """Rows of few large components: the bound is beaten long before the lists end."""
+    rng = np.random.default_rng(seed)
+    matrix = (rng.pareto(1.2, (8000, 4)) * 20).astype(np.int64) * rng.choice([-1, 1], (8000, 4))
+    lists = topk.Lists(matrix, np.arange(8000), 100)
+    for _ in range(20):
+        query = rng.integers(-50, 50, 4)
+        want = sorted(((int(s), -k) for k, s in enumerate(matrix @ query)), reverse=True)[:5]
+        assert lists.best(query, -1, 5) == [(s, -k) for s, k in want]
+    assert lists.scored < 20 * 8000 / 4
+
+
+def test_top_of_any_finite_components(spark):
+    big = [(0, [3e5, 0.0]), (1, [4e5, 1.0]), (2, [-4e5, 2.0]), (3, [1e300, 1.0]), (4, [1.7e308, 0.5]), (5, [-1.7e308, 0.5]), (6, [0.5, 0.25]), (20, [1e300, -1e300]), (40, [1.7e308, 1.0]), (60, [0.0, 0.0]), (7, [3e15, 1 / 64]), (80, [1 / 64, 3e15])]
+    got = {tuple(r) for r in topk.top_inner(spark.createDataFrame(big, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute.top(big) and (0, 2, 40, (1 << 63) - 1) in got
+
+
+def test_unlike_queries_of_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])]
+    got = sorted(tuple(r) for r in topk.top_inner(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 1, 1, 8192), (0, 1, 2, 12288), (0, 2, 1, 4096), (0, 2, 2, 4096)]
 
 
 def test_lm_scores(spark):
@@ -299,6 +378,25 @@ def test_toxicity_keeps_the_class_mix_of_the_labels(spark):
     assert whole["predicted"] == capped["predicted"] == 0
 
 
+def test_scores_are_those_of_a_plain_scorer(spark):
+    docs, m = model(spark)
+    rng = random.Random(3)
+    words = [*(t.rstrip("*") for t in m.terms), "dumbheed", "dumbhed", "d0mbh3ad", "the", "he", "said", '"', "ut", "utterly"]
+    m = toxicity.Model(m.terms | {"utter*": 3.5, "dumb*": 2.0}, frozenset({"dumbheads"}), (-2.0, 1.1, 0.4, 0.2, 0.6, 0.3, 0.7))
+    rows = [(k, " ".join(rng.choice(words) + rng.choice(["", "", "s", "x"]) for _ in range(rng.randrange(14)))) for k in range(300)]
+    got = {r["doc_id"]: r for r in toxicity.score_documents(spark.createDataFrame(rows, SCHEMA), m).collect()}
+    for i, t in rows:
+        want = brute.toxicity(t, m, toxicity.QUOTES, toxicity.REPORTING, toxicity.LEET, toxicity.TOKEN)
+        assert got[i]["score"] == pytest.approx(want) and got[i]["predicted"] == int(want >= 0.3)
+
+
+def test_repeated_documents_do_not_change_the_terms(spark):
+    docs, m = model(spark)
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    twice = toxicity.fit(docs.union(docs), labels.union(labels))
+    assert "dumbhead" in twice.terms and toxicity.score_documents(docs.union(docs), twice).count() == 2 * docs.count()
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame(TOXIC[:5], SCHEMA)
     m = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -351,6 +449,41 @@ def test_values_beside_other_numbers():
     assert pii.pseudonymised("4111111111111112 12", f) == ("4111111111111112 12", [])
 
 
+def test_values_in_other_digits_are_left_alone(spark):
+    texts = ["pay \u0664111 1111 1111 1111 now", "\u0662\u0660\u0662\u0664-01-05", "5 March \u0662\u0660\u0662\u0661", "\u0661\u0662\u0663-45-6789", "x" * 3_000_000]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(0, texts[0]), (None, None)]
+    out = pii.pseudonymise(frame(spark, rows), b"k")
+    assert Counter((r["doc_id"], r["text"], r["n_replaced"], r["n_lines"]) for r in out.collect()) == Counter((i, t, 0, 1) for i, t in rows)
+
+
+def test_a_date_has_one_pseudonym():
+    import datetime
+
+    months = "January February March April May June July August September October November December".split()
+    for k in range(30):
+        f = pii.Feistel(b"%d" % k)
+        for d in (datetime.date(2024, 1, 5), datetime.date(2024, 2, 29), datetime.date(1999, 12, 31), datetime.date(2021, 5, 11), datetime.date(1900, 1, 13)):
+            name = months[d.month - 1]
+            ways = [f"{d:%Y-%m-%d}", f"{d:%Y/%m/%d}", f"{d.day}/{d.month}/{d.year}", f"{d:%d.%m.%Y}", f"{d.day} {name} {d.year}", f"{d:%d} {name.upper()} {d.year}", f"{name} {d.day}, {d.year}", f"{name[:3].lower()} {d.day} {d.year}"]
+            if d.day > 12:
+                ways += [f"{d:%m/%d/%Y}"]
+            new = [pii.pseudonymised(f"on {w}.", f) for w in ways]
+            assert all(kinds for _, kinds in new) and [pii.pseudonymised(t, f, True)[0] for t, _ in new] == [f"on {w}." for w in ways]
+            image = datetime.date.fromisoformat(new[0][0][3:-1])
+            assert new[2][0] == f"on {image.day}/{image.month}/{image.year}." and new[3][0] == f"on {image:%d.%m.%Y}."
+            assert new[4][0] == f"on {image.day} {months[image.month - 1]} {image.year}." and new[6][0] == f"on {months[image.month - 1]} {image.day}, {image.year}."
+
+
+def test_dates_are_permuted():
+    import datetime
+
+    f = pii.Feistel(b"z")
+    start = datetime.date(1999, 1, 1)
+    days = [start + datetime.timedelta(k) for k in range(1500)]
+    image = [pii.moved(f, d.year, d.month, d.day, False) for d in days]
+    assert len(set(image)) == len(days) and [pii.moved(f, d.year, d.month, d.day, True) for d in image] == days
+
+
 @settings(deadline=None)
 @given(st.integers(2, 500), st.sampled_from(["a", "b"]))
 def test_feistel_permutes(size, tweak):

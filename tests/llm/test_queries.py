@@ -79,3 +79,24 @@ def test_pseudonyms_keep_clean_texts(spark, documents):
     texts = dict(documents)
     got = queries()["op2_pii"](spark, SF).collect()
     assert len(got) == len(texts) and all((r["text"] == texts[r["doc_id"]]) == (r["n_replaced"] == 0) for r in got)
+
+
+def test_lm_scores_at_the_registered_depth(spark, documents):
+    """The text's score by dictionaries, on some documents that learn from each other alone."""
+    from quillgraph.llm import ctw
+
+    rows = sorted(documents, key=lambda r: len(r[1] or ""))[:60]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ctw.score_documents(df).collect()}
+    for i, want in brute.context_tree(rows, 5):
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+def test_near_copies_equal_brute_force(spark):
+    """The pipeline's stage over all documents of sf0.01: no similar pair apart, no other pair together."""
+    from quillgraph.llm import near_copies
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute.similar_groups([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    got = {r["doc_id"]: r["group"] for r in near_copies.near_copy_groups(docs).collect()}
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) < len(want)
