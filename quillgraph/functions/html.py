@@ -141,27 +141,20 @@ class Page:
         box = self.infobox(True)
         if box is None:
             return []
-        shown: dict[str, str] = {}
-        labels, values = set(), set()
-
-        def offer(label: str, raw: str) -> None:
-            value = clean(raw)[:value_chars].strip()
-            if label.strip() and value and label.lower() not in labels and value.lower() not in values:
-                shown[label] = value
-                labels.add(label.lower())
-                values.add(value.lower())
-
-        first: dict[str, Node] = {}
+        tagged: dict[str, Node] = {}
         for n in box.walk():
             if n is not box and "data-wikidata-property-id" in n.attrs:
-                first.setdefault(n.attrs["data-wikidata-property-id"], n)
-        for prop, label in self.profile.card:
-            if prop in first:
-                offer(label, first[prop].text())
-        for label, td in self.rows(box):
-            if 1 <= len(label) <= 40 and not any(b in label.lower() for b in self.profile.card_block):
-                offer(label, td.text())
-        return [{"label": k, "value": v} for k, v in list(shown.items())[:lines]]
+                tagged.setdefault(n.attrs["data-wikidata-property-id"], n)
+        cells = [(label, tagged[prop]) for prop, label in self.profile.card if prop in tagged]
+        cells += [(label, td) for label, td in self.rows(box) if 1 <= len(label) <= 40 and not any(b in label.lower() for b in self.profile.card_block)]
+        lines_: list[dict] = []
+        for label, cell in cells:
+            line = {"label": label, "value": clean(cell.text())[:value_chars].strip()}
+            told = line["label"].strip() and line["value"]
+            # a line that shares its label or its value with one above, whatever the case, is left out
+            if told and not any(line[k].lower() == x[k].lower() for x in lines_ for k in line):
+                lines_.append(line)
+        return lines_[:lines]
 
     def property_of(self, label: str) -> str | None:
         """JN5: the label's own entry, else the first entry that it holds."""

@@ -64,14 +64,14 @@ def gathered(questions: DataFrame, articles: DataFrame, profile: Profile, *, lim
     """RT2: ranked candidates of each question, with its terms and flags.
 
     Lanes: list probes, the link walk, full text; of equal paths the first lane's row
-    stays. The longest keyword is searched as well, where it is not the whole query,
+    stays. The longest keyword, from four characters on, is searched as well where it is not the whole query,
     and its new paths follow: that is also the second try of a question without hits.
     Then the title boost, exclusion and, with vectors, rank fusion. Lanes and result are
     checkpointed: each is a table of a few rows for a question that several later steps read."""
     asked = durable(analysed(questions, profile))
     lanes = [_shaped(list_probes(asked, articles, profile)), _shaped(walker_probes(asked, articles, profile), True), searched(asked, articles, "query", limit)]
     hits = durable(candidates.union_first([durable(lane) for lane in lanes]))
-    alone = asked.withColumn("longest", text.longest(F.col("terms"))).filter("longest is not null and longest <> query")
+    alone = asked.withColumn("longest", text.longest(F.col("terms"))).filter("length(longest) >= 4 and longest <> query")
     hits = candidates.append_missing(hits, searched(alone, articles, "longest", limit))
     hits = candidates.title_boosted(hits.join(asked.select("q_id", "terms", "is_list", F.col("text").alias("question"), "anchors"), "q_id"))
     if excluded is not None:

@@ -460,3 +460,24 @@ def streamed_transcripts(spark, sf):
         stream.writeStream.format("parquet").option("path", f"{at}/pieces").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"])
     return spark.read.parquet(f"{at}/pieces").groupBy("gen_id").agg(F.array_join(pieces, "").alias("text"))
+
+
+@query(sql_rows("q_id, answer, hops", [(1, "Ответ: Илья Сухих", 1)]))
+def agentic_answers(spark, sf):
+    """AGN1, PR7: the generator asks for a search before it answers."""
+    def generate(prompts, systems, most):
+        return ["Ответ: Илья Сухих" if "Сухих, Илья" in p or "final" in p else "ПОИСК: Сухих, Илья" for p in prompts]
+
+    asked = spark.createDataFrame([(1, "кто построил завод")], "q_id long, text string")
+    return answers.agentic(asked, _archive(spark), RU, generate).select("q_id", "answer", "hops")
+
+
+@query(f"""
+WITH l AS (SELECT tag, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d %H:%M:%S.%g') || ' ' || level[1] || '/' || tag || ': ' || replace(message, chr(10), chr(1)) AS line FROM {_ENTRIES} WHERE tag = 'error'),
+c AS (SELECT line, sum(length(line) + 1) OVER (ORDER BY line DESC ROWS UNBOUNDED PRECEDING) AS to_end, sum(length(line) + 1) OVER () AS chars, sum(strlen(line) + 1) OVER () AS bytes FROM l)
+SELECT line FROM c WHERE bytes <= 8192 OR to_end <= floor(chars / 2)""")
+def log_sink(spark, sf):
+    """SK3: a log that is written, rotated within the sink, and read again."""
+    at = shared_folder(spark, "log")
+    sinks.append_log(_entries(spark, sf).filter("tag = 'error'"), at, size=8192)
+    return spark.read.text(at).select(F.col("value").alias("line"))
