@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import bounded_batches, others, quoted
+from quillgraph.llm.common import bounded_batches, durable, others, quoted
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 
@@ -60,14 +60,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     count towards no key and come back unchanged. An empty table gives an empty one.
 
     Texts of any length are read whole. Plan: (key, doc) pairs, then their number per
-    key in two shuffles (both pre-aggregated), a join of the common keys back to the
-    lines' positions (AQE splits a hot key), and the dropped positions of each document
-    beside its text.
+    key in two shuffles (both pre-aggregated), a checkpoint of the common keys, their
+    join back to the lines' positions (between two plain exchanges, so that AQE splits
+    a hot key), and the dropped positions of each document beside its text.
     """
     bounded_batches(docs.sparkSession)
     lines = line_keys(docs, id_col, text_col, min_chars)
     held = lines.groupBy("key", "doc").agg(F.lit(1).alias("one"))
-    common = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= min_docs).select("key", "last")
+    common = durable(held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= min_docs).select("key", "last"))
     drops = lines.join(common, "key").filter("doc < last").groupBy("doc", "mark").agg(F.flatten(F.collect_list("at")).alias("gone"))
 
     extra = others(docs, [text_col, "n_lines", "n_dropped"])
