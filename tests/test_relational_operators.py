@@ -1,4 +1,5 @@
 import pytest
+from conftest import DATA
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import html
 from quillgraph.functions.vocab import RU, Profile
 from quillgraph.operators import candidates, excerpts, extraction, graph, logs, metrics
-from quillgraph.plans.catalogue import FIXTURE
+from quillgraph.plans.catalogue import FIXTURE, queries
 
 HITS = "q_id long, ord int, title string, path string, snippet string, score int, source_tag string"
 QUIET = settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
@@ -181,3 +182,29 @@ def test_throttle_and_debounce(spark):
     rows = spark.createDataFrame([("a", t) for t in (0, 150, 300, 350, 900)], "id string, ms long")
     assert sorted(r["ms"] for r in metrics.throttled(rows, by="id", ts_ms="ms").collect()) == [0, 300, 900]
     assert sorted(r["ms"] for r in metrics.debounced(rows, by="id", ts_ms="ms").collect()) == [350, 900]
+
+
+def test_budget_pack_matches_a_plain_version(spark):
+    """The query over all documents: ten to a question, of which every other one asks for a list."""
+    groups = {}
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect():
+        groups.setdefault(r["doc_id"] // 10, []).append(r)
+    want = {}
+    for q, rows in groups.items():
+        is_list = rows[0]["doc_id"] % 20 < 10
+        count = min(12, max(5, len(rows) + 2)) if is_list else 4
+        share = max(4500 // count, 500)
+        block, titles = "", []
+        for k, r in enumerate(rows[:count]):
+            if r["text"] is None:
+                continue
+            if 4500 - len(block) <= 200:
+                break
+            cap = min(4500 - len(block), 4500 * 55 // 100 if k == 0 and is_list else share)
+            title = f"doc {r['doc_id']}"
+            chunk = r["text"] if len(r["text"]) <= cap else naive_window(r["text"], title, ["tion", "ment"], cap)
+            block += f"=== {title} ===\n{chunk}\n\n"
+            titles.append(title)
+        want[q] = (block, titles, len(rows))
+    got = {r["q_id"]: (r["block"], r["titles"], r["total"]) for r in queries()["budget_pack"](spark, str(DATA)).collect()}
+    assert got == want
