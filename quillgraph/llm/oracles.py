@@ -92,10 +92,54 @@ kept AS (
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept USING (doc_id)"""
 
+#: The reflected CRC-32 polynomial (a fixed value) as a list of 256 numbers, in a table of one row.
+_CRC_TABLE = """
+crc_table AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crc_list
+  FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256)))"""
+
+
+def crc32(text: str) -> str:
+    """SQL for the crc32 of an ASCII text, beside crc_table."""
+    codes = f"[CAST(ord(x) AS BIGINT) FOR x IN string_split({text}, '') IF x <> '']"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {codes}), lambda c, b: xor(c >> 8, crc_list[CAST((xor(c, b) & 255) AS INTEGER) + 1])), 4294967295)"
+
+
+#: Runs from places whose five words are equal: stretches of such pairs at one distance.
+RUNS = rf"""
+WITH {_CRC_TABLE},
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, {crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} AS h,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS w
+  FROM documents, crc_table),
+e AS (
+  SELECT r, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS edited,
+    CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS parts FROM d),
+words AS (
+  SELECT r, n, i, w[1 + CASE WHEN edited AND i >= a THEN a + (i - a) % (1 + (n - a) // parts) ELSE i END] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM e)),
+x AS (SELECT r, n, list(word ORDER BY i) AS w FROM words GROUP BY r, n),
+five AS (SELECT r, n, i, array_to_string(w[i + 1:i + 5], ' ') AS k FROM (SELECT *, unnest(range(n - 4)) AS i FROM x WHERE n > 5)),
+pairs AS (SELECT a.r, b.i - a.i AS q, a.i FROM five a JOIN five b ON a.r = b.r AND a.k = b.k AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+islands AS (
+  SELECT r, q, min(i) AS s, count(*) + 4 + q AS l
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM pairs) GROUP BY r, q, g),
+runs AS (SELECT r, s, l, min(q) AS q FROM islands WHERE l >= greatest(6, 4 * q) GROUP BY r, s, l),
+told AS (
+  SELECT r, count(*) AS n_runs, min(struct_pack(l := -l, s := s, q := q)) AS best,
+    string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) FILTER (g.i IS NULL) AS t FROM words LEFT JOIN gone g USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.l AS length, best.q AS period, -best.l * 1000 // best.q AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM e LEFT JOIN told USING (r) LEFT JOIN kept USING (r)"""
+
 ORACLES = {
     "op1_line_dedup": line_dedup(),
     "op4_benchmark_decontamination": DECONTAMINATION,
     "op5_substring_dedup": SUBSTRINGS,
     "op7_url_filter": URLS,
     "op8_exact_topk": TOPK,
+    "op13_periodic_runs": RUNS,
 }

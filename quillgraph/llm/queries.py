@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, contamination, ctw, line_dedup, pii, simhash, substring, topk, toxicity, url_filter
+from quillgraph.llm import bpe, contamination, ctw, line_dedup, periodic, pii, simhash, substring, topk, toxicity, url_filter
 from quillgraph.llm.common import crc_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +75,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The places whose words a text of n words gets: in a tenth of the documents, by crc32 of
+    the id (a null id counts as empty text), the words from some place on repeat."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    place = np.arange(n)
+    place[start:] = start + (place[start:] - start) % period
+    return place
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(table(spark, sf_dir, "documents"), edit=repeated_tail).withColumn("best", periodic.longest(F.col("runs")))
+    length, period = -F.col("best.less"), F.col("best.period")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(length * 1000 / period).alias("exponent_milli"), F.sha2(periodic.listed(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Query]:
     from quillgraph.llm.oracles import ORACLES
 
