@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, contamination, ctw, line_dedup, periodic, pii, simhash, substring, topk, toxicity, url_filter
+from quillgraph.llm import bpe, contamination, ctw, language, line_dedup, periodic, pii, simhash, substring, topk, toxicity, url_filter
 from quillgraph.llm.common import crc_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out_of_training = crc_fold(F.col("doc_id"), 3) == 1
+    model = language.fit(docs.filter(~out_of_training))
+    return language.identify(docs, model).select("doc_id", out_of_training.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
     """The places whose words a text of n words gets: in a tenth of the documents, by crc32 of
     the id (a null id counts as empty text), the words from some place on repeat."""
