@@ -135,11 +135,62 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.l AS length
   sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
 FROM e LEFT JOIN told USING (r) LEFT JOIN kept USING (r)"""
 
+def conversation_repair(source: str = "conversations") -> str:
+    """Turn by turn: the least (cost, audit) of each state, with the repaired text beside it. Two
+    insertions may stand before a turn and at the end."""
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE},
+f AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM {source}, crc_table),
+d AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM f, range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM d),
+j AS (
+  SELECT *, substr(role, 1, 1) AS i, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault
+  FROM o),
+grammar(src, i, dst) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserts(src, mid, cost, letters, lines) AS (
+  SELECT s, s, 0, '', CAST([] AS VARCHAR[]) FROM range(4) t(s) UNION ALL
+  VALUES (0, 2, 5, 'I', ['user:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 2, 5, 'I', ['user:']), (1, 3, 10, 'II', ['user:', 'assistant:']),
+    (2, 3, 5, 'I', ['assistant:']), (3, 2, 5, 'I', ['user:'])),
+edits AS (
+  SELECT j.conv_id, j.n, x.src, x.mid AS dst, x.cost + 2 AS cost, x.letters || 'D' AS letters, x.lines FROM j, inserts x
+  UNION ALL
+  SELECT j.conv_id, j.n, x.src, g.dst, x.cost + CASE fault WHEN 3 THEN 5 ELSE 0 END, x.letters || 'K', list_append(x.lines, j.role || ':' || j.text)
+  FROM j, inserts x, grammar g WHERE fault NOT IN (1, 2) AND g.src = x.mid AND g.i = j.i
+  UNION ALL
+  SELECT j.conv_id, j.n, x.src, g.dst, x.cost + 1 + CASE fault WHEN 3 THEN 5 ELSE 0 END, x.letters || 'R', list_append(x.lines, CASE g.i WHEN 'u' THEN 'user:' ELSE 'assistant:' END || j.text)
+  FROM j, inserts x, grammar g WHERE fault NOT IN (1, 2) AND g.src = x.mid AND g.i IN ('u', 'a')),
+reached(conv_id, n, state, best) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), struct_pack(cost := CAST(0 AS BIGINT), audit := '', lines := CAST([] AS VARCHAR[])) FROM {source}
+  UNION ALL
+  SELECT r.conv_id, r.n + 1, CAST(e.dst AS BIGINT), min(struct_pack(cost := r.best.cost + e.cost, audit := r.best.audit || e.letters, lines := list_concat(r.best.lines, e.lines)))
+  FROM reached r JOIN edits e ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.n = r.n + 1 AND e.src = r.state GROUP BY r.conv_id, r.n, e.dst),
+stat AS (
+  SELECT conv_id, count(*) AS m, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM j GROUP BY conv_id),
+ends AS (
+  SELECT r.conv_id, min(struct_pack(cost := best.cost + x.cost, audit := best.audit || x.letters, lines := list_concat(best.lines, x.lines))) AS best
+  FROM reached r LEFT JOIN stat s ON s.conv_id IS NOT DISTINCT FROM r.conv_id JOIN inserts x ON x.src = r.state
+  WHERE r.n = coalesce(s.m, 0) AND x.mid IN (0, 3) GROUP BY r.conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  best.cost AS cost, best.audit AS audit, sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256
+FROM ends e LEFT JOIN stat s ON s.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
 ORACLES = {
     "op1_line_dedup": line_dedup(),
     "op4_benchmark_decontamination": DECONTAMINATION,
     "op5_substring_dedup": SUBSTRINGS,
     "op7_url_filter": URLS,
     "op8_exact_topk": TOPK,
+    "op11_conversation_repair": conversation_repair(),
     "op13_periodic_runs": RUNS,
 }

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, contamination, ctw, language, line_dedup, periodic, pii, simhash, substring, topk, toxicity, url_filter
+from quillgraph.llm import bpe, contamination, ctw, language, line_dedup, periodic, pii, simhash, substring, topk, toxicity, turns, url_filter
 from quillgraph.llm.common import crc_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, cut, repeated or given to the user, by crc32 of conversation and turn."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), fault.alias("fault")).filter("fault <> 0")
+    told = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    rows = rows.select("conv_id", "turn", role.alias("role"), told.alias("text"), "fault")
+    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1)))).drop("fault", "copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turns.repair(damaged(conversations), every=conversations)
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out_of_training = crc_fold(F.col("doc_id"), 3) == 1

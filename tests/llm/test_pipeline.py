@@ -35,5 +35,5 @@ def test_stages(spark, tmp_path):
 
 def test_registry():
     names = queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert set(oracle_sql()) <= set(names)
