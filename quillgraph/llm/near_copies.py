@@ -7,10 +7,16 @@ segments: near copies share the home cell of some table (a documented miss rate
 bounds how many do not), rows of a cell are filtered by the Manhattan distance of
 their bit counts and then by their Hamming distance. What passes is a candidate:
 only the exact similarity of the shingle sets links it.
+
+Fingerprints are those of the sets, as the similarity is: a shingle counts once however
+often a text repeats it. Only texts of equal sets collapse unseen. In dense cells a few
+candidates for each row are tested first; what they leave out is tested afterwards,
+unless its ends have come together by then.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -34,8 +40,10 @@ TELLS, ROOM = 1.415, 7
 #: Tables searched at once.
 BATCH = 12
 PAIRWISE = 16
-#: Rows of a cell compared all with all, and how many near ones a row may have there for all its links to be kept.
+#: Rows of a cell compared all with all at first, and how many near ones a row may have there for all its links to be tested at first.
 PIECE, NEAREST = 512, 4
+#: Distances at which what was left out at first is tested, the nearest first; the last ends at the radius.
+BANDS = (40,)
 
 
 def spread(h: np.ndarray) -> np.ndarray:
@@ -50,8 +58,14 @@ def spread(h: np.ndarray) -> np.ndarray:
 
 
 def hashed(text: bytes | None, width: int) -> np.ndarray:
+    """The hashes of the text's distinct shingles, sorted."""
     found = shingles(text or b"", width)
-    return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found), np.uint64, len(found))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found), np.uint64, len(found)))
+
+
+def set_key(hashes: np.ndarray) -> bytes:
+    """Texts of equal sets of shingles have equal keys, of 128 bits."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
@@ -89,9 +103,9 @@ def ceiling(x: bytes, y: bytes) -> float:
 ROUNDS = 3
 
 
-def verified(rows: DataFrame, edges: DataFrame, width: int, share: float) -> DataFrame:
-    """(a, b) of edges whose shingle sets are similar, as many as it takes to connect
-    what all similar ones connect. rows: (doc, text).
+def verified(rows: DataFrame, edges: DataFrame, width: int, share: float, before: DataFrame | None = None) -> DataFrame:
+    """(a, b) of edges (a, b, x, y) whose shingle sets are similar, as many as it takes to connect what all similar
+    ones connect. rows: (doc, text); x and y are the keys of a's and b's sets; before: edges known to be similar.
 
     Outlines of the sets, an eighth of their size, turn away the pairs that cannot be
     similar. Then each group of texts tests its most promising link to another, a few
@@ -101,9 +115,8 @@ def verified(rows: DataFrame, edges: DataFrame, width: int, share: float) -> Dat
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [hashed(t, width) for t in batch[1].cast(pa.binary()).to_pylist()]
-            sets = [np.unique(h) for h in own]
-            yield pa.RecordBatch.from_arrays([batch[0], *(pa.array(x, pa.binary()) for x in ([wide_fingerprint(h) for h in own], [h.tobytes() for h in sets], [outline(h) for h in sets]))], ["doc", "fp", "own", "outline"])
+            sets = [hashed(t, width) for t in batch[1].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch[0], *(pa.array(x, pa.binary()) for x in ([set_key(h) for h in sets], [h.tobytes() for h in sets], [outline(h) for h in sets]))], ["doc", "key", "own", "outline"])
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,22 +128,33 @@ def verified(rows: DataFrame, edges: DataFrame, width: int, share: float) -> Dat
             fine = [similar(x, y, share) for x, y in zip(batch[2].to_pylist(), batch[3].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch[0], batch[1]], ["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    wanted = durable(edges.select(F.col("a").alias("doc"), F.col("x").alias("fp")).union(edges.select("b", "y")).distinct())
+    wanted = durable(edges.select(F.col("a").alias("doc"), F.col("x").alias("key")).union(edges.select("b", "y")).distinct())
     docs = wanted.select("doc").distinct()
     texts = rows.join(fitted(docs, docs.count()), "doc", "left_semi").select("doc", "text")
-    sets = durable(texts.mapInArrow(read, "doc long, fp binary, own binary, outline binary").join(wanted, ["doc", "fp"], "left_semi").dropDuplicates(["fp"]).select("fp", "own", "outline"))
+    bounded_batches(spark)
+    sets = durable(texts.mapInArrow(read, "doc long, key binary, own binary, outline binary").join(wanted, ["doc", "key"], "left_semi").dropDuplicates(["key"]).select("key", "own", "outline"))
 
     def beside(e: DataFrame, what: str) -> DataFrame:
-        left, right = sets.select(F.col("fp").alias("x"), F.col(what).alias("s")), sets.select(F.col("fp").alias("y"), F.col(what).alias("t"))
+        left, right = sets.select(F.col("key").alias("x"), F.col(what).alias("s")), sets.select(F.col("key").alias("y"), F.col(what).alias("t"))
         return e.join(left.hint("merge"), "x").join(right.hint("merge"), "y")
 
     def tested(e: DataFrame) -> DataFrame:
         return durable(beside(e, "own").select("a", "b", "s", "t").mapInArrow(judge, "a long, b long"))
 
-    bounded_batches(spark)
+    def apart(e: DataFrame, sure: DataFrame | None) -> DataFrame:
+        """Links that would join two groups of the sure ones, with these."""
+        if sure is None:
+            return e.select("*", F.col("a").alias("a_group"), F.col("b").alias("b_group"))
+        groups = components(sure)
+        of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
+        found = e.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return found.select("a", "b", "x", "y", "far", F.coalesce("a_group", "a").alias("a_group"), F.coalesce("b_group", "b").alias("b_group")).filter("a_group <> b_group")
+
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1 << 12)  # bounded by bytes as well
-    left = durable(beside(edges, "outline").select("a", "b", "x", "y", "s", "t").mapInArrow(sift, "a long, b long, x binary, y binary, far double").withColumn("a_group", F.col("a")).withColumn("b_group", F.col("b")))
-    sure, number = None, left.count()
+    sifted = durable(beside(edges, "outline").select("a", "b", "x", "y", "s", "t").mapInArrow(sift, "a long, b long, x binary, y binary, far double"))
+    sure = before
+    left = durable(apart(sifted, sure))
+    number = left.count()
     for k in range(ROUNDS + 1):
         if not number:
             break
@@ -142,12 +166,9 @@ def verified(rows: DataFrame, edges: DataFrame, width: int, share: float) -> Dat
         sure = found if sure is None else sure.union(found)
         if k == ROUNDS:
             break
-        groups = components(sure)
-        of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
-        left = durable(
-            left.drop("a_group", "b_group").join(now.select("x", "y"), ["x", "y"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-            .select("a", "b", "x", "y", "far", F.coalesce("a_group", "a").alias("a_group"), F.coalesce("b_group", "b").alias("b_group")).filter("a_group <> b_group"))
+        left = durable(apart(left.drop("a_group", "b_group").join(now.select("x", "y"), ["x", "y"], "left_anti"), sure))
         number = left.count()
+    bounded_batches(spark)
     return edges.select("a", "b").limit(0) if sure is None else sure
 
 
@@ -198,11 +219,11 @@ def least_forest(n: int, x: np.ndarray, y: np.ndarray, far: np.ndarray) -> np.nd
 
 
 def nearest_in_cell(fps: np.ndarray, codes: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a run: the pairs within the radius of rows that have NEAREST of them at
+    """Links of a run to test at first: the pairs within the radius of rows that have NEAREST of them at
     most, and among the others the shortest that connect them. Runs beyond PIECE
     rows are compared in pieces, which differ from table to table, and their middle
-    row with all."""
-    a, b = [], []
+    row with all. Rows of which a pair is left out get a link to themselves."""
+    a, b, left = [], [], np.full(len(ids), len(ids) > PIECE)
     for at in range(0, len(ids), PIECE):
         own, f = codes[at : at + PIECE], fps[at : at + PIECE]
         lower = sum(np.bitwise_count(own[:, None, w] ^ own[None, :, w]).astype(np.uint16) for w in range(WORDS))
@@ -215,6 +236,7 @@ def nearest_in_cell(fps: np.ndarray, codes: np.ndarray, ids: np.ndarray, radius:
         few = np.bincount(x, minlength=len(own)) <= NEAREST
         kept = few[x] | few[y]
         kept[least_forest(len(own), x, y, far)] = True
+        left[at + x[~kept]] = True
         x, y = np.minimum(x, y)[kept], np.maximum(x, y)[kept]
         pairs = np.unique(x * PIECE + y)
         a.append(ids[at + pairs // PIECE])
@@ -227,16 +249,20 @@ def nearest_in_cell(fps: np.ndarray, codes: np.ndarray, ids: np.ndarray, radius:
         beside = beside[beside != hub]
         a.append(np.repeat(ids[hub], len(beside)))
         b.append(ids[beside])
-    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+    return np.concatenate([*a, ids[left]]), np.concatenate([*b, ids[left]])
+
+
+def runs(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, size) of each run of equal cells."""
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    return first, np.diff(np.append(first, len(cells)))
 
 
 def cell_links(cells: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges within runs of equal cells. Pairs of small runs are compared all at once."""
-    fps = np.ascontiguousarray(fps)
     codes = thermometer(fps)
-    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
-    size = np.diff(np.append(first, len(cells)))
-    a, b = [], []
+    first, size = runs(cells)
+    a, b = [ids[:0]], [ids[:0]]
     own = np.repeat(size, size)
     for gap in range(1, min(PAIRWISE, int(size.max(initial=0)))):
         i = np.flatnonzero((cells[gap:] == cells[:-gap]) & (own[gap:] <= PAIRWISE))
@@ -248,7 +274,25 @@ def cell_links(cells: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int)
         x, y = nearest_in_cell(fps[at : at + n], codes[at : at + n], ids[at : at + n], radius)
         a.append(x)
         b.append(y)
-    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def links_between(cells: np.ndarray, fps: np.ndarray, groups: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of a run whose groups differ, at a distance over low and up to high."""
+    first, size = runs(cells)
+    codes, a, b = thermometer(fps), [first[:0]], [first[:0]]
+    for at, n in zip(first.tolist(), size.tolist(), strict=True):
+        for i in range(at, at + n, PIECE) if (groups[at : at + n] != groups[at]).any() else ():
+            for j in range(i, at + n, PIECE):
+                p, q = slice(i, min(i + PIECE, at + n)), slice(j, min(j + PIECE, at + n))
+                near = (groups[p, None] != groups[None, q]) & (sum(np.bitwise_count(codes[p, None, w] ^ codes[None, q, w]).astype(np.uint16) for w in range(WORDS)) <= high)
+                x, y = np.nonzero(np.triu(near) if i == j else near)
+                x, y = x + i, y + j
+                far = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1)
+                fine = (far > low) & (far <= high)
+                a.append(x[fine])
+                b.append(y[fine])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def near_copy_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 56, miss: float = 0.03, share: float = 0.8) -> DataFrame:
@@ -257,10 +301,12 @@ def near_copy_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Near copies are texts whose sets of word shingles have a Jaccard similarity of share
     or more; chains of them form one group. Candidates are texts whose 256-bit
-    fingerprints differ in radius bits or fewer: a similarity of 0.8 makes 39 bits on
+    fingerprints, of the sets, differ in radius bits or fewer: a similarity of 0.8 makes 39 bits on
     average, give or take 6, so 56 leaves out next to none. Pairs at the limit are
-    missed at a rate of miss, closer ones and groups less often. Equal
-    fingerprints collapse first. Blank texts are copies of each other.
+    missed at a rate of miss, closer ones and groups less often. How often a text repeats a
+    shingle does not matter. Texts of equal sets collapse first; every other link is tested
+    by the sets, and every candidate is tested unless its ends are in one group by other
+    links. Blank texts are copies of each other.
     Rows with a null id take no part; rows sharing an id are one document.
     """
     spark = docs.sparkSession
@@ -268,64 +314,91 @@ def near_copy_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array([wide_fingerprint(hashed(t, width)) for t in batch[1].cast(pa.binary()).to_pylist()], pa.binary())], ["doc", "fp"])
+            sets = [hashed(t, width) for t in batch[1].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array([set_key(h) for h in sets], pa.binary()), pa.array([wide_fingerprint(h) for h in sets], pa.binary())], ["doc", "key", "fp"])
 
     rows = docs.select(quoted(id_col).cast("long").alias("doc"), quoted(text_col).cast("string").alias("text")).filter("doc is not null")
-    found = durable(rows.mapInArrow(read, "doc long, fp binary"))
-    reps = durable(found.groupBy("fp").agg(F.min("doc").alias("rep")))
-    k, count = tables(reps.count(), miss, radius)
+    found = durable(rows.mapInArrow(read, "doc long, key binary, fp binary"))
+    reps = durable(found.groupBy("key", "fp").agg(F.min("doc").alias("rep")))
+    number = reps.count()
+    k, count = tables(number, miss, radius)
     rng = np.random.default_rng(5)
     chosen = [rng.choice(SEGMENTS, k, replace=False) for _ in range(count)]
 
-    def placed(start: int):
+    def placed(start: int, batch_tables: int):
+        """(cell, fp, …) of some tables, with the other columns as they are."""
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 fps = np.frombuffer(b"".join(batch[0].to_pylist()), np.uint64).reshape(len(batch[0]), WORDS)
                 bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").reshape(len(fps), SEGMENTS, 2).sum(axis=2, dtype=np.int64)
-                for number, own in enumerate(chosen[start : start + BATCH], start):
+                for number, own in enumerate(chosen[start : start + batch_tables], start):
                     cell = (bits[:, own] @ (3 ** np.arange(k, dtype=np.int64))) * count + number
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), batch[0], batch[1]], ["cell", "fp", "rep"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), *batch.columns], ["cell", *batch.schema.names])
 
         return place
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.Table] = []
-
+    def linked(pairs):
+        """pairs(cells, fps, table) gives places of a table's rows, whose cells are whole and in order."""
         def out(table: pa.Table) -> pa.RecordBatch:
             fps = np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint64).reshape(len(table), WORDS)
             # a cell's rows in an order of its table's own
             cells = table["cell"].to_numpy()
             order = np.lexsort(((fps[:, 0] ^ cells.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15), cells))
-            fps = fps[order]
-            reps, found = table["rep"].to_numpy()[order], table["fp"].to_numpy()[order]
-            i, j = cell_links(cells[order], fps, np.arange(len(table)), radius)
+            table = table.take(pa.array(order))
+            reps, keys = table["rep"].to_numpy(), table["key"].to_numpy()
+            i, j = pairs(cells[order], np.ascontiguousarray(fps[order]), table)
             i, j = np.where(reps[i] < reps[j], i, j), np.where(reps[i] < reps[j], j, i)
-            far = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(reps[i]), pa.array(reps[j]), pa.array(found[i], pa.binary()), pa.array(found[j], pa.binary()), pa.array(far, pa.int32())], ["a", "b", "x", "y", "far"])
+            return pa.RecordBatch.from_arrays([pa.array(reps[i]), pa.array(reps[j]), pa.array(keys[i], pa.binary()), pa.array(keys[j], pa.binary())], ["a", "b", "x", "y"])
 
-        for batch in batches:
-            now = pa.concat_tables([*kept, pa.Table.from_batches([batch])]) if kept else pa.Table.from_batches([batch])
-            cells = now["cell"].to_numpy()
-            cut = int(np.searchsorted(cells, cells[-1]))
-            if cut > 1 << 12:
-                yield out(now.slice(0, cut))
-                now = now.slice(cut)
-            kept = [now]
-        if kept and len(kept[0]):
-            yield out(kept[0])
-
-    spread_reps = durable(reps.select("fp", "rep").repartition(partitions(spark)))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1 << 12)
-    edges = None
-    for start in range(0, count, BATCH):
-        cells = spread_reps.mapInArrow(placed(start), "cell long, fp binary, rep long")
-        part = durable(cells.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(link, "a long, b long, x binary, y binary, far int").distinct())
-        edges = edges.union(part) if edges is not None else part
-    edges = durable(edges.distinct())
-    bounded_batches(spark)
-    groups = components(verified(rows, edges, width, share))
-    joined = reps.join(groups, reps["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("group"))
-    return beside_hot(found, joined, "fp").select(F.col("doc").alias(id_col), "group").distinct()
+        def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: list[pa.Table] = []
+            for batch in batches:
+                now = pa.concat_tables([*kept, pa.Table.from_batches([batch])]) if kept else pa.Table.from_batches([batch])
+                cells = now["cell"].to_numpy()
+                cut = int(np.searchsorted(cells, cells[-1]))
+                if cut > 1 << 12:
+                    yield out(now.slice(0, cut))
+                    now = now.slice(cut)
+                kept = [now]
+            if kept and len(kept[0]):
+                yield out(kept[0])
+
+        return link
+
+    def candidates(members: DataFrame, pairs, batch_tables: int) -> DataFrame:
+        """Distinct links (a, b, x, y) that pairs finds in the cells of all tables. members: fp, key, rep and more."""
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1 << 12)
+        kinds = ", ".join(f"{n} {t}" for n, t in members.dtypes)
+        edges = None
+        for start in range(0, count, batch_tables):
+            cells = members.mapInArrow(placed(start, batch_tables), f"cell long, {kinds.replace('bigint', 'long')}")
+            part = durable(cells.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(linked(pairs), "a long, b long, x binary, y binary").distinct())
+            edges = edges.union(part) if edges is not None else part
+        bounded_batches(spark)
+        return durable(edges.distinct())
+
+    spread_reps = durable(reps.select("fp", "key", "rep").repartition(partitions(spark)))
+    first = candidates(spread_reps, lambda cells, fps, table: cell_links(cells, fps, np.arange(len(table)), radius), BATCH)
+    sure = verified(rows, first.filter("a <> b"), width, share)
+    groups = components(sure)
+    left = first.filter("a = b").select(F.col("a").alias("rep")).distinct()
+    if open_rows := left.count():
+        at_once = BATCH * max(1, number // open_rows)  # as many rows in cells at once as before
+        left = durable(spread_reps.join(left, "rep", "left_semi").select("fp", "key", "rep"))
+        low = -1
+        for high in (*(b for b in BANDS if b < radius), radius):
+            apart = left.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "key", "rep", F.coalesce("component", "rep").alias("group")).repartition(partitions(spark))
+            more = candidates(apart, functools.partial(between, low, high), at_once)
+            if more.count():
+                sure = verified(rows, more, width, share, sure)
+                groups = components(sure)
+            low = high
+    joined = reps.join(groups, reps["rep"] == groups["node"], "left").select("key", F.coalesce("component", "rep").alias("group"))
+    return beside_hot(found.select("doc", "key"), joined, "key").select(F.col("doc").alias(id_col), "group").distinct()
+
+
+def between(low: int, high: int, cells: np.ndarray, fps: np.ndarray, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return links_between(cells, fps, table["group"].to_numpy(), low, high)
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
