@@ -3,18 +3,21 @@
 An item of n distinct shingles is contained at threshold t when a document holds
 at least ceil(t n) of them. So among any n - ceil(t n) + 1 of them at least one is
 in such a document. The item's signature is its bottom-k MinHash with that k. Items
-are partitioned by size; a partition's ceiling is the largest hash in its signatures.
-A document's signature for a partition is its MinHash up to that ceiling: whatever
-its length, it meets the signature of every contained item of the partition, and the
-search loses no pair. The larger the items, the lower the ceiling. Signatures of a
-document nest, so the one up to the highest ceiling holds all of them. Candidates are
-verified by their shingles' exact text. DataFrame functions only.
+are partitioned by size, a class for each doubling, and each class is searched apart: its
+ceiling is the largest hash in its signatures, and a document's signature for the class is
+its MinHash up to that ceiling. Whatever its length, it meets the signature of every
+contained item of the class, and the search loses no pair. The larger the items, the lower
+their ceiling and the fewer shingles their class reads: items of a few shingles need most
+of a document's, those of hundreds about a fifth. Of what is under the ceiling, a table
+of the class's signatures (SLOTS places, by the low bits of a hash) keeps what may be in
+one. Candidates are verified by their shingles' exact text. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-import functools
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from quillgraph.llm.common import durable, quoted
 
 #: Signature or candidate tables of up to so many rows are broadcast (16 bytes a row); larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Places of a class's table. It fills up where signatures are many; the ceiling holds whatever their number.
+SLOTS = 1 << 16
 #: Words: runs of letters, marks and digits of the lower-cased text.
 SEPARATORS = r"[^\p{L}\p{M}\p{N}]+"
 
@@ -51,10 +56,45 @@ def of_widths(column: str, widths: list[int], join) -> Column:
     return found[0] if len(found) == 1 else F.concat(*found)
 
 
-def below(array: Column, tops: dict[int, int]) -> Column:
-    """Of structs (width, x), those whose hash is within the ceiling of their width."""
-    held = F.lit(False)
-    return F.filter(array, lambda s: functools.reduce(lambda c, k: c | ((s["width"] == k) & (s["x"] <= F.lit(tops[k]))), tops, held))
+@dataclass(frozen=True)
+class SizeClass:
+    """Items of one width of shingles and one doubling of size: what of a document may be in their signatures."""
+
+    width: int
+    part: int
+    ceiling: int
+    slots: bytes
+
+    def reads(self, h: Column) -> Column:
+        taken = F.substring(F.lit(self.slots), F.pmod(h, F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(b"\1")
+        return (h <= F.lit(self.ceiling)) & taken
+
+
+def size_classes(signature: DataFrame) -> list[SizeClass]:
+    """Of (rep, width, part, h). The driver gets a ceiling and SLOTS bits for each class: there
+    is a class for each width of short items and each doubling of size."""
+    tops = signature.groupBy("width", "part").agg(F.max("h").alias("top")).collect()
+    slots = {(r["width"], r["part"]): np.zeros(SLOTS // 64, np.uint64) for r in tops}
+    slot = F.pmod("h", F.lit(SLOTS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63))
+    for r in signature.select("width", "part", F.shiftright(slot, 6).alias("word"), bit.alias("bit")).groupBy("width", "part", "word").agg(F.bit_or("bit").alias("bits")).collect():
+        slots[r["width"], r["part"]][r["word"]] = r["bits"] % (1 << 64)
+    table = {k: np.unpackbits(v.view(np.uint8), bitorder="little").tobytes() for k, v in slots.items()}
+    return sorted((SizeClass(r["width"], r["part"], r["top"], table[r["width"], r["part"]]) for r in tops), key=lambda c: (c.width, c.part))
+
+
+def signatures(rows: DataFrame, classes: list[SizeClass]) -> DataFrame:
+    """(doc, width, part, h): for each class, the hashes of a document that may be in the class's signatures. rows: (doc, text)."""
+    widths = sorted({c.width for c in classes})
+    hashes = rows.select("doc", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+    hashes = hashes.select("doc", *(windows(F.col("w"), k, F.xxhash64).alias(f"h{k}") for k in widths))
+
+    def of_class(c: SizeClass) -> Column:
+        held = F.filter(F.col(f"h{c.width}"), c.reads)
+        return F.transform(held, lambda h: F.struct(F.lit(c.width).alias("width"), F.lit(c.part).cast("long").alias("part"), h.alias("h")))
+
+    found = [of_class(c) for c in classes]
+    return hashes.select("doc", F.explode(found[0] if len(found) == 1 else F.concat(*found)).alias("s")).select("doc", "s.width", "s.part", "s.h")
 
 
 def fitted(df: DataFrame, rows: int) -> DataFrame:
@@ -88,19 +128,17 @@ def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
     unique = unique.withColumn("need", F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int")).withColumn("need", F.greatest("need", F.lit(1)))
     # sets are sorted by hash: the first elements are the bottom-k MinHash
     signature = durable(unique.select("rep", F.floor(F.log2("n")).alias("part"), F.explode(F.slice("set", F.lit(1), F.col("n") - F.col("need") + 1)).alias("s")).select("rep", "part", "s.h", "s.width"))
-    # a row for each width and doubling of size
-    ceilings = signature.groupBy("width", "part").agg(F.max("h").alias("top")).collect()
-    tops = {k: max(r["top"] for r in ceilings if r["width"] == k) for k in sizes}
     rows = docs.select(quoted(id_col).alias("doc"), quoted(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
-    hashes = rows.select("doc", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
-    found = hashes.select("doc", F.explode(below(of_widths("w", sizes, F.xxhash64), tops)).alias("s")).select("doc", F.col("s.x").alias("h"), "s.width")
-    cands = durable(found.join(fitted(signature, signature.count()).drop("part"), ["h", "width"]).select("doc", "rep").distinct())
+    found = signatures(rows, size_classes(signature))
+    cands = durable(found.join(fitted(signature, signature.count()), ["h", "width", "part"]).select("doc", "rep").distinct())
 
     named = cands.select("doc").distinct()
     texts = rows.join(fitted(named, named.count()), "doc", "left_semi").select("doc", words(F.col("text")).alias("w"))
     held = texts.select("doc", F.explode(of_widths("w", sizes, lambda *w: F.concat_ws(" ", *w))).alias("s")).select("doc", "s.width", F.col("s.x").alias("shingle")).distinct()
     want = unique.select("rep", "n", "need", F.explode("set").alias("s")).select("rep", "n", "need", "s.width", "s.shingle")
-    shared = held.join(fitted(want, want.count()), ["width", "shingle"]).join(fitted(cands, cands.count()), ["doc", "rep"], "left_semi")
+    # a candidate's shingles are looked for in its own document alone: common ones meet no others
+    due = cands.join(fitted(want, want.count()), "rep")
+    shared = held.join(due, ["doc", "width", "shingle"])
     leaks = shared.groupBy("doc", "rep", "n", "need").agg(F.count("*").alias("shared")).filter("shared >= need")
     out = leaks.join(member.select("item", F.col("same").alias("rep")), "rep")
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("shared").alias("n_shared"), F.col("n").cast("long").alias("n_item"), (F.col("shared") / F.col("n")).alias("containment"))
