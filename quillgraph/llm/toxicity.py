@@ -4,7 +4,7 @@ The lexicon is learnt from labelled texts: words, and stems with many endings, t
 toxic texts hold and clean ones do not. All terms share one trie; the automaton
 that accepts every word within one edit of a term is built over it as words are
 read, state by state, and kept. Hits count by their window: inside quotation marks,
-or beside words that report speech, they weigh apart from direct ones.
+or beside words that report speech, they weigh apart from direct ones, be they exact or misspelled.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ REPORTING = frozenset("said says wrote writes quoted quote quotes called reporte
 WINDOW = 6
 TOKEN = re.compile(r"[^\W_]+(?:['@$!|+][^\W_]+)*|[" + QUOTES + "]")
 LEET = str.maketrans("0134578@$!|+", "oieastbasiit")
-FEATURES = ("bias", "direct", "quoted", "stem", "fuzzy", "density", "any")
+#: Sums of log odds of hits by window, exact and by an edit; the rest counts direct hits alone, exact ones but for density.
+FEATURES = ("bias", "direct", "quoted", "fuzzy", "fuzzy_quoted", "stem", "density", "any")
 
 
 class Trie:
@@ -159,17 +160,18 @@ class Scorer:
             if w in QUOTES and len(w) == 1:
                 inside = not inside
             marks[k] = inside
-        near = set()
+        near, direct = set(), 0
         for k, w, (kind, term) in hits:
             told = marks[k] or not REPORTING.isdisjoint(tokens[max(0, k - WINDOW) : k + WINDOW + 1])
-            out[4 if kind == "fuzzy" else 2 if told else 1] += self.model.terms[term]
-            out[3] += kind == "stem"
+            out[1 + told + 2 * (kind == "fuzzy")] += self.model.terms[term]
             if kind == "fuzzy":
                 near.add(w)
-        exact = sum(kind != "fuzzy" for _, _, (kind, _) in hits)
-        out[1:5] = np.log1p(out[1:5])
-        out[5] = 10 * exact / len(tokens)
-        out[6] = exact > 0
+            if not told:
+                direct += 1
+                out[5] += kind == "stem"
+                out[7] = max(out[7], kind != "fuzzy")
+        out[1:6] = np.log1p(out[1:6])
+        out[6] = 10 * direct / len(tokens)
         return out, near
 
     def score(self, text: str | None) -> float:
@@ -219,7 +221,7 @@ def endings(sample: DataFrame, wanted: frozenset[str]) -> DataFrame:
 
 
 #: Where the fit starts and what the ridge pulls to: few samples hold misspelled or quoted terms.
-PRIOR = np.array([0, 1.5, 0.3, 0, 0.5, 0, 0])
+PRIOR = np.array([0, 1.5, 0.3, 0.5, 0.1, 0, 0, 0])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0, ridge: float = 1.0) -> np.ndarray:

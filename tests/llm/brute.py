@@ -194,16 +194,21 @@ def toxicity(text, model, quotes, reporting, leet, token, window=6, least=5):
         return hit(plain) if out is None and plain != w and any(c.isalpha() for c in w) else out
 
     words = token.findall((text or "").lower())
-    sums = dict.fromkeys(("direct", "quoted", "stem", "fuzzy"), 0.0)
-    exact, inside = 0, False
+    sums = dict.fromkeys(("direct", "quoted", "fuzzy", "fuzzy quoted", "stem"), 0.0)
+    direct, exact, inside = 0, False, False
     for k, w in enumerate(words):
         inside ^= w in quotes
         if h := found(w):
             told = inside or bool(reporting & set(words[max(0, k - window) : k + window + 1]))
-            sums["fuzzy" if h[0] == "fuzzy" else "quoted" if told else "direct"] += model.terms[h[1]]
-            sums["stem"] += h[0] == "stem"
-            exact += h[0] != "fuzzy"
-    x = [1.0, *map(math.log1p, sums.values()), 10 * exact / max(len(words), 1), float(exact > 0)]
+            if h[0] == "fuzzy":
+                sums["fuzzy quoted" if told else "fuzzy"] += model.terms[h[1]]
+            else:
+                sums["quoted" if told else "direct"] += model.terms[h[1]]
+            if not told:
+                direct += 1
+                sums["stem"] += h[0] == "stem"
+                exact |= h[0] != "fuzzy"
+    x = [1.0, *map(math.log1p, sums.values()), 10 * direct / max(len(words), 1), float(exact)]
     return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.weights, strict=True))))))
 
 
@@ -234,3 +239,31 @@ def similar_groups(rows, width=5, share=0.8):
                 a, b = find(i), find(sets[j][1])
                 parent[max(a, b)] = min(a, b)
     return {i: find(least[shingles(t)]) for i, t in rows}
+
+
+def lexicon(rows, token, stems=(4, 5, 6), min_families=3, min_odds=3.0):
+    """The terms of (text, toxic) rows: words and stems that families of toxic texts hold and those of clean ones do not."""
+    import xxhash
+
+    held = {0: defaultdict(set), 1: defaultdict(set)}
+    ends = defaultdict(set)
+    for text, toxic in rows:
+        own = set(token.findall(text.lower()))
+        family = min((xxhash.xxh3_64_intdigest(w) for w in own), default=0) >> 1
+        for w in own:
+            for t in {w, *(w[:k] + "*" for k in stems if len(w) >= k)}:
+                held[toxic][t].add(family)
+                if toxic and t.endswith("*"):
+                    ends[t].add(w)
+    bad, good = (sum(t == k for _, t in rows) for k in (1, 0))
+    seen = {t: len(f) for t, f in held[1].items() if len(f) >= min_families}
+    share, out = bad / (bad + good), {}
+    for t, yes in seen.items():
+        no = len(held[0][t])
+        odds = math.log((yes + 0.5) / (bad + 1)) - math.log((no + 0.5) / (good + 1))
+        gain = sum(n * math.log(n / ((yes + no) * p)) for n, p in ((yes, share), (no, 1 - share)) if n)
+        if odds >= min_odds and gain >= math.log(len(seen)):
+            out[t] = odds
+    kept = {t for t in out if t.endswith("*") and len(ends[t]) >= 3}
+    kept = {t for t in kept if not any(t != u and t.startswith(u[:-1]) for u in kept)}
+    return {t: x for t, x in out.items() if t in kept or not t.endswith("*")}

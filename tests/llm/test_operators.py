@@ -382,7 +382,7 @@ def test_scores_are_those_of_a_plain_scorer(spark):
     docs, m = model(spark)
     rng = random.Random(3)
     words = [*(t.rstrip("*") for t in m.terms), "dumbheed", "dumbhed", "d0mbh3ad", "the", "he", "said", '"', "ut", "utterly"]
-    m = toxicity.Model(m.terms | {"utter*": 3.5, "dumb*": 2.0}, frozenset({"dumbheads"}), (-2.0, 1.1, 0.4, 0.2, 0.6, 0.3, 0.7))
+    m = toxicity.Model(m.terms | {"utter*": 3.5, "dumb*": 2.0}, frozenset({"dumbheads"}), (-2.0, 1.1, 0.4, 0.6, 0.25, 0.2, 0.3, 0.7))
     rows = [(k, " ".join(rng.choice(words) + rng.choice(["", "", "s", "x"]) for _ in range(rng.randrange(14)))) for k in range(300)]
     got = {r["doc_id"]: r for r in toxicity.score_documents(spark.createDataFrame(rows, SCHEMA), m).collect()}
     for i, t in rows:
@@ -390,6 +390,46 @@ def test_scores_are_those_of_a_plain_scorer(spark):
         assert got[i]["score"] == pytest.approx(want) and got[i]["predicted"] == int(want >= 0.3)
 
 
+def test_windows_reach_misspelled_hits(spark):
+    _, m = model(spark)
+    scorer = toxicity.Scorer(m)
+    for direct, told in (("you dumbhad you", "he said dumbheed to me"), ("you dumbhead you", "he said dumbhead to me"), ("so dumbhad", 'so "dumbhad"'), ("so dumbhead", "«so dumbhead»")):
+        assert scorer.score(direct) > scorer.score(told)
+    told = scorer.features("he said dumbheed, a dumbhead, to me")[0]
+    assert dict(zip(toxicity.FEATURES, told > 0, strict=True)) == {x: x in ("bias", "quoted", "fuzzy_quoted") for x in toxicity.FEATURES}
+
+
+def test_fit_equals_a_plain_one(spark):
+    """The lexicon by plain loops over whole texts; at the weights no step lowers the penalised loss."""
+    rng = random.Random(12)
+    stock = [f"v{k}" for k in range(60)]
+    rows = []
+    for k in range(600):
+        toxic = int(k % 4 == 0)
+        own = [rng.choice(stock) for _ in range(12)] + [f"id{k}"]
+        own += rng.sample(["dumbhead", "grobian", "insultare", "insultado", "insultos", "insultante"], 2) if toxic and k % 8 else []
+        own += ["dumbhead"] if k % 97 == 1 else []
+        own += ["grobion"] if not toxic and k % 31 == 0 else []
+        rng.shuffle(own)
+        rows.append((k, " ".join(own), toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], SCHEMA)
+    m = toxicity.fit(docs, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int"))
+    learnt = [(t, y) for i, t, y in rows if brute.held(i, 4) != 2]
+    want = brute.lexicon(learnt, toxicity.TOKEN)
+    assert m.terms == pytest.approx(want) and "insul*" in m.terms or "insu*" in m.terms
+    assert "grobion" in m.exceptions
+    x = np.array([toxicity.Scorer(m).features(t)[0] for t, _ in learnt])
+    y, w = np.array([y for _, y in learnt]), np.array(m.weights)
+
+    def loss(w):
+        z = x @ w
+        penalty = np.full(len(w), 1.0)
+        penalty[0] = 1e-3
+        return (np.log1p(np.exp(z)) - y * z).sum() + (penalty * (w - toxicity.PRIOR) ** 2).sum() / 2
+
+    assert all(loss(w + step) >= loss(w) - 1e-9 for k in range(len(w)) for step in (np.eye(len(w))[k] * 1e-3, -np.eye(len(w))[k] * 1e-3))
+
+
 def test_repeated_documents_do_not_change_the_terms(spark):
     docs, m = model(spark)
     labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
@@ -504,4 +544,4 @@ def test_empty_tables(spark):
     assert topk.top_inner(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert ctw.score_documents(none).count() == 0
     assert pii.pseudonymise(none, b"k").count() == 0
-    assert toxicity.score_documents(none, toxicity.Model({}, frozenset(), tuple([0.0] * 7))).count() == 0
+    assert toxicity.score_documents(none, toxicity.Model({}, frozenset(), tuple([0.0] * len(toxicity.FEATURES)))).count() == 0
