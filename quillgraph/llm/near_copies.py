@@ -16,7 +16,6 @@ unless its ends have come together by then.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -42,8 +41,6 @@ BATCH = 12
 PAIRWISE = 16
 #: Rows of a cell compared all with all at first, and how many near ones a row may have there for all its links to be tested at first.
 PIECE, NEAREST = 512, 4
-#: Distances at which what was left out at first is tested, the nearest first; the last ends at the radius.
-BANDS = (40,)
 
 
 def spread(h: np.ndarray) -> np.ndarray:
@@ -99,16 +96,12 @@ def ceiling(x: bytes, y: bytes) -> float:
     return both / (n + m - both) if n + m > both else 1.0
 
 
-#: Rounds in which each group tests one link before all that still join two groups are tested.
-ROUNDS = 3
-
-
-def verified(rows: DataFrame, edges: DataFrame, width: int, share: float, before: DataFrame | None = None) -> DataFrame:
+def verified(rows: DataFrame, edges: DataFrame, width: int, share: float, before: DataFrame | None = None, rounds: int = 2) -> DataFrame:
     """(a, b) of edges (a, b, x, y) whose shingle sets are similar, as many as it takes to connect what all similar
     ones connect. rows: (doc, text); x and y are the keys of a's and b's sets; before: edges known to be similar.
 
     Outlines of the sets, an eighth of their size, turn away the pairs that cannot be
-    similar. Then each group of texts tests its most promising link to another, a few
+    similar. Then each group of texts tests its most promising link to another, `rounds`
     times over, and at last every link that would still join two groups is tested.
     """
     spark = rows.sparkSession
@@ -155,16 +148,16 @@ def verified(rows: DataFrame, edges: DataFrame, width: int, share: float, before
     sure = before
     left = durable(apart(sifted, sure))
     number = left.count()
-    for k in range(ROUNDS + 1):
+    for k in range(rounds + 1):
         if not number:
             break
         ends = left.select(F.col("a_group").alias("node"), "far", "a", "b", "x", "y").union(left.select("b_group", "far", "a", "b", "x", "y"))
         now = ends.groupBy("node").agg(F.min(F.struct("far", "a", "b", "x", "y")).alias("e")).select("e.a", "e.b", "e.x", "e.y").distinct()
-        if k == ROUNDS:
+        if k == rounds:
             now = left.select("a", "b", "x", "y")
         found = tested(now)
         sure = found if sure is None else sure.union(found)
-        if k == ROUNDS:
+        if k == rounds:
             break
         left = durable(apart(left.drop("a_group", "b_group").join(now.select("x", "y"), ["x", "y"], "left_anti"), sure))
         number = left.count()
@@ -277,19 +270,19 @@ def cell_links(cells: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int)
     return np.concatenate(a), np.concatenate(b)
 
 
-def links_between(cells: np.ndarray, fps: np.ndarray, groups: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs of a run whose groups differ, at a distance over low and up to high."""
+def links_between(cells: np.ndarray, fps: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of a run within the radius whose groups differ."""
     first, size = runs(cells)
     codes, a, b = thermometer(fps), [first[:0]], [first[:0]]
     for at, n in zip(first.tolist(), size.tolist(), strict=True):
         for i in range(at, at + n, PIECE) if (groups[at : at + n] != groups[at]).any() else ():
             for j in range(i, at + n, PIECE):
                 p, q = slice(i, min(i + PIECE, at + n)), slice(j, min(j + PIECE, at + n))
-                near = (groups[p, None] != groups[None, q]) & (sum(np.bitwise_count(codes[p, None, w] ^ codes[None, q, w]).astype(np.uint16) for w in range(WORDS)) <= high)
+                near = (groups[p, None] != groups[None, q]) & (sum(np.bitwise_count(codes[p, None, w] ^ codes[None, q, w]).astype(np.uint16) for w in range(WORDS)) <= radius)
                 x, y = np.nonzero(np.triu(near) if i == j else near)
                 x, y = x + i, y + j
                 far = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1)
-                fine = (far > low) & (far <= high)
+                fine = far <= radius
                 a.append(x[fine])
                 b.append(y[fine])
     return np.concatenate(a), np.concatenate(b)
@@ -385,22 +378,13 @@ def near_copy_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if open_rows := left.count():
         at_once = BATCH * max(1, number // open_rows)  # as many rows in cells at once as before
         left = durable(spread_reps.join(left, "rep", "left_semi").select("fp", "key", "rep"))
-        low = -1
-        for high in (*(b for b in BANDS if b < radius), radius):
-            apart = left.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "key", "rep", F.coalesce("component", "rep").alias("group")).repartition(partitions(spark))
-            more = candidates(apart, functools.partial(between, low, high), at_once)
-            if more.count():
-                sure = verified(rows, more, width, share, sure)
-                groups = components(sure)
-            low = high
+        apart = left.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "key", "rep", F.coalesce("component", "rep").alias("group")).repartition(partitions(spark))
+        more = candidates(apart, lambda cells, fps, table: links_between(cells, fps, table["group"].to_numpy(), radius), at_once)
+        groups = components(verified(rows, more, width, share, sure, 0))
     joined = reps.join(groups, reps["rep"] == groups["node"], "left").select("key", F.coalesce("component", "rep").alias("group"))
     return beside_hot(found.select("doc", "key"), joined, "key").select(F.col("doc").alias(id_col), "group").distinct()
 
 
-def between(low: int, high: int, cells: np.ndarray, fps: np.ndarray, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return links_between(cells, fps, table["group"].to_numpy(), low, high)
-
-
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the near copies of a document of smaller id; other columns as
     they are. Rows with a null id stay."""
