@@ -37,15 +37,6 @@ def terms(text: Column, least: int = 3) -> Column:
     return F.filter(F.split(F.lower(text), rf"(?:\s|{PUNCT})+"), lambda t: F.length(t) >= least)
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, term, tf, dl): term frequencies and document lengths in terms.
-
-    A document's occurrences of a term are combined on the map side: one row for each
-    term it holds is shuffled."""
-    listed = docs.select(id_col, terms(F.col(text_col)).alias("t")).filter(F.size("t") > 0)
-    return listed.select(id_col, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
-
-
 def bm25_search(docs: DataFrame, questions: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", q_col: str = "q_id", query_col: str = "query", k: int = 20) -> DataFrame:
     """SC4: (q_col, rank, id_col, score): the k best documents of each question.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.ordered import running_sum, running_sum_by
+
 # The line format, the number of entries and bytes kept, the level letters and the escape.
 LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) ([A-Z])/([^:]*): (.*)$"
 KEPT, BYTES = 500, 256 * 1024
@@ -37,17 +39,17 @@ def tail(entries: DataFrame, n: int = KEPT) -> DataFrame:
     return entries.orderBy(F.desc("id")).limit(n)
 
 
-def dumped(entries: DataFrame, by: str | None = None) -> DataFrame:
-    """SK4: the entries' lines as one text, for each value of by if given."""
-    rows = formatted(entries, escape=False)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").alias("dump")
-    return rows.groupBy(by).agg(text) if by else tail(rows).agg(text)
+def dumped(entries: DataFrame) -> DataFrame:
+    """SK4: (n, line): the lines of all entries, numbered from 1 in the order of their ids."""
+    rows = formatted(entries, escape=False).select("id", "line")
+    return running_sum(rows, ["id"], F.lit(1), "n").select("n", "line")
 
 
 def rotated(lines: DataFrame, order_col: str, *, by: str, size: int = BYTES) -> DataFrame:
     """SK3's rotation, for each log by: once its bytes are over size, the last lines
-    within the second half of its characters stay."""
-    w = Window.partitionBy(by)
-    marked = lines.withColumn("_bytes", F.sum(F.octet_length("line") + 1).over(w)).withColumn("_chars", F.sum(F.length("line") + 1).over(w))
-    marked = marked.withColumn("_to", F.sum(F.length("line") + 1).over(w.orderBy(F.desc(order_col)).rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.filter((F.col("_bytes") <= size) | (F.col("_to") <= F.floor(F.col("_chars") / 2))).drop("_bytes", "_chars", "_to")
+    within the second half of its characters stay. A log is summed over ranges of its lines, whatever its size."""
+    held = running_sum_by(lines, by, [order_col], F.length("line") + 1, "_upto")
+    totals = lines.groupBy(F.col(by).alias("_log")).agg(F.sum(F.octet_length("line") + 1).alias("_bytes"), F.sum(F.length("line") + 1).alias("_chars"))
+    marked = held.join(totals, F.col(by).eqNullSafe(F.col("_log")))
+    to_end = F.col("_chars") - F.col("_upto") + F.length("line") + 1
+    return marked.filter((F.col("_bytes") <= size) | (to_end <= F.floor(F.col("_chars") / 2))).select(*lines.columns)

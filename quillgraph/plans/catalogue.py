@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import html, text, vectors
 from quillgraph.functions.vocab import EN, RU
-from quillgraph.operators import archives, candidates, chat, excerpts, extraction, graph, index, logs, metrics
+from quillgraph.operators import archives, blockmax, candidates, chat, excerpts, extraction, graph, index, logs, metrics, storage
 from quillgraph.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,10 +146,20 @@ def bm25_topk(spark, sf):
     return index.bm25_search(table(spark, sf, "documents"), asked)
 
 
+@query(_BM25)
+def bm25_block_max(spark, sf):
+    """The same search over an index written beforehand."""
+    path = storage.shared_folder(spark, "blockmax")
+    blockmax.build(table(spark, sf, "documents"), path)
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("query"))
+    return blockmax.search(spark, path, asked)
+
+
 @query(f"""
 SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(t) AS term, len(t) AS dl FROM (SELECT doc_id, {terms_sql('text')} AS t FROM documents)) GROUP BY doc_id, term""")
 def postings(spark, sf):
-    return index.postings(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "term", "tf", "dl")
+    rows = blockmax.counted_terms(table(spark, sf, "documents"), "doc_id", "text")
+    return blockmax.exploded(rows, "doc_id", "dl").select("doc_id", "term", "tf", "dl")
 
 
 _TITLE = "trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import html, text, vectors
 from quillgraph.functions.vocab import EN, RU
-from quillgraph.operators import archives, candidates, chat, excerpts, extraction, graph, index, logs, metrics
+from quillgraph.operators import archives, candidates, chat, dictionaries, excerpts, extraction, graph, index, logs, metrics, sorted_titles, typos
 from quillgraph.operators.storage import durable, shared_folder
 from quillgraph.plans import answers
 from quillgraph.plans.catalogue import _ENTRIES, PUNCT, _entries, query, table
@@ -146,6 +146,52 @@ def title_prefix_lengths(spark, sf):
     return index.prefix_matches(probes, named, 3).select("name", F.col("k").cast("long").alias("k"), "title", "score")
 
 
+#: A part's name with one or two errors, or none; also in its first characters.
+_EDITED = """CASE p_partkey % 6 WHEN 0 THEN 'x' || substr(p_name, 2) WHEN 1 THEN substr(p_name, 2) WHEN 2 THEN substr(p_name, 2, 1) || substr(p_name, 1, 1) || substr(p_name, 3)
+  WHEN 3 THEN 'Q' || p_name || 'z' WHEN 4 THEN substr(p_name, 3) ELSE upper(p_name) END"""
+
+
+@query(f"""
+WITH n AS (SELECT DISTINCT p_name AS title FROM part), q AS (SELECT p_partkey, {_EDITED} AS asked FROM part),
+d AS (SELECT asked, title, levenshtein(lower(asked), title) AS d FROM (SELECT DISTINCT asked FROM q), n)
+SELECT p_partkey, asked, m.title AS title, m.d AS distance, 950 AS score
+FROM q JOIN (SELECT asked, min(struct_pack(d := d, title := title)) AS m FROM d WHERE d <= 2 GROUP BY asked) USING (asked)""")
+def title_typos(spark, sf):
+    """SC6: titles misspelled anywhere, by a deletion neighbourhood; the SQL compares all pairs."""
+    part = table(spark, sf, "part")
+    asked = part.select("p_partkey", F.expr(_EDITED).alias("asked"))
+    named = part.select(F.col("p_name").alias("title"), F.col("p_name").alias("path"))
+    return typos.suggested_by_edits(asked, named, title_col="asked").select("p_partkey", "asked", "title", F.col("distance").cast("long").alias("distance"), "score")
+
+
+@query("""
+WITH n AS (SELECT DISTINCT c_name AS title FROM customer), a AS (SELECT c_custkey, k, lower(substr(c_name, 1, k)) AS prefix FROM customer, range(0, 20, 3) r(k)),
+p AS (SELECT prefix, title, row_number() OVER (PARTITION BY prefix ORDER BY title) AS r FROM (SELECT DISTINCT prefix FROM a) JOIN n ON starts_with(lower(title), prefix))
+SELECT c_custkey, k, title, 800 AS score FROM a JOIN p USING (prefix) WHERE r <= 3""")
+def title_ranges(spark, sf):
+    """SC8, SO9: beginnings of all customers' names in sorted blocks written beforehand."""
+    named = table(spark, sf, "customer").select(F.col("c_name").alias("title"), F.col("c_name").alias("path")).distinct()
+    path = shared_folder(spark, "titles")
+    sorted_titles.build(named, path)
+    asked = table(spark, sf, "customer").select("c_custkey", "c_name", F.explode(F.sequence(F.lit(0), F.lit(19), F.lit(3))).alias("k")).withColumn("prefix", F.expr("upper(substring(c_name, 1, k))"))
+    return sorted_titles.by_prefix(spark, path, asked, 3).select("c_custkey", F.col("k").cast("long").alias("k"), "title", "score")
+
+
+_PHRASES = """SELECT lower(w[i] || ' ' || w[i + 1]) AS entry, min(item_id * 100000 + i) AS place FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i
+  FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w FROM benchmark)) GROUP BY 1"""
+
+
+@query(f"""
+WITH e AS ({_PHRASES}), t AS (SELECT 'd' || doc_id AS id, lower(text) AS text FROM documents UNION ALL SELECT 'c' || conv_id || ':' || turn, lower(text) FROM conversations)
+SELECT id, min(struct_pack(place := place, entry := e.entry)).entry AS entry, min(place) AS place, count(place) AS n_entries FROM t LEFT JOIN e ON contains(text, e.entry) GROUP BY id""")
+def dictionary_entries(spark, sf):
+    """JN5, JN6, PF1: pairs of words of all benchmark items, in list order, looked for in documents and conversations."""
+    split = table(spark, sf, "benchmark").select("item_id", F.filter(F.split("text", "[ \n]+"), lambda w: w != "").alias("w"))
+    pairs = split.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i")).select(F.lower(F.concat_ws(" ", F.get("w", F.col("i") - 1), F.get("w", "i"))).alias("entry"), (F.col("item_id") * 100000 + F.col("i")).alias("place"))
+    texts = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text").union(table(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit(":"), "turn"), "text"))
+    return dictionaries.found_entries(texts, pairs, id_col="id")
+
+
 @query("SELECT p.p_partkey AS asked, n.title, 800 AS score FROM (SELECT DISTINCT p_name AS title FROM part) n JOIN part p ON starts_with(lower(n.title), lower(p.p_name))")
 def title_prefix_batch(spark, sf):
     part = table(spark, sf, "part")
@@ -201,9 +247,9 @@ def turn_totals(spark, sf):
 
 
 @query(f"""
-SELECT tag, array_to_string(list(strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d %H:%M:%S.%g') || ' ' || level[1] || '/' || tag || ': ' || message ORDER BY id), chr(10)) AS dump FROM {_ENTRIES} GROUP BY tag""")
+SELECT row_number() OVER (ORDER BY id) AS n, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d %H:%M:%S.%g') || ' ' || level[1] || '/' || tag || ': ' || message AS line FROM {_ENTRIES}""")
 def log_dump(spark, sf):
-    return logs.dumped(_entries(spark, sf), by="tag")
+    return logs.dumped(_entries(spark, sf))
 
 
 @query(f"""
@@ -473,11 +519,11 @@ def agentic_answers(spark, sf):
 
 
 @query(f"""
-WITH l AS (SELECT tag, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d %H:%M:%S.%g') || ' ' || level[1] || '/' || tag || ': ' || replace(message, chr(10), chr(1)) AS line FROM {_ENTRIES} WHERE tag = 'error'),
+WITH l AS (SELECT tag, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d %H:%M:%S.%g') || ' ' || level[1] || '/' || tag || ': ' || replace(message, chr(10), chr(1)) AS line FROM {_ENTRIES}),
 c AS (SELECT line, sum(length(line) + 1) OVER (ORDER BY line DESC ROWS UNBOUNDED PRECEDING) AS to_end, sum(length(line) + 1) OVER () AS chars, sum(strlen(line) + 1) OVER () AS bytes FROM l)
 SELECT line FROM c WHERE bytes <= 8192 OR to_end <= floor(chars / 2)""")
 def log_sink(spark, sf):
     """SK3: a log that is written, rotated within the sink, and read again."""
     at = shared_folder(spark, "log")
-    sinks.append_log(_entries(spark, sf).filter("tag = 'error'"), at, size=8192)
+    sinks.append_log(_entries(spark, sf), at, size=8192)
     return spark.read.text(at).select(F.col("value").alias("line"))

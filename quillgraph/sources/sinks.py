@@ -68,6 +68,11 @@ def append_log(entries: DataFrame, path: str, size: int = logs.BYTES) -> None:
         replaced(logs.rotated(lines, "line", by="log", size=size).select("line"), path, "text")
 
 
+def dump_log(entries: DataFrame, path: str) -> None:
+    """SK4: the entries' lines as text files at path, whose names and lines are in the order of the ids."""
+    logs.dumped(entries).repartitionByRange("n").sortWithinPartitions("n").select("line").write.text(path)
+
+
 def select_archives(spark: SparkSession, path: str, chosen: DataFrame) -> None:
     """SK6: one row for each uri, as JSON lines."""
     rows = chosen.groupBy("uri").agg(F.min_by(F.struct("name", "size"), "name").alias("x")).select("uri", "x.*")
