@@ -211,14 +211,25 @@ def least_forest(n: int, x: np.ndarray, y: np.ndarray, far: np.ndarray) -> np.nd
     return np.concatenate(taken) if taken else np.empty(0, np.int64)
 
 
+def near_pairs(codes: np.ndarray, fps: np.ndarray, p: slice, q: slice, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a row of p and one of q within the radius."""
+    x, y = np.nonzero(sum(np.bitwise_count(codes[p, None, w] ^ codes[None, q, w]).astype(np.uint16) for w in range(WORDS)) <= radius)
+    x, y = x + p.start, y + q.start
+    fine = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1) <= radius
+    return x[fine], y[fine]
+
+
 def nearest_in_cell(fps: np.ndarray, codes: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a run to test at first: the pairs within the radius of rows that have NEAREST of them at
     most, and among the others the shortest that connect them. Runs beyond PIECE
     rows are compared in pieces, which differ from table to table, and their middle
-    row with all. Rows of which a pair is left out get a link to themselves."""
-    a, b, left = [], [], np.full(len(ids), len(ids) > PIECE)
+    row with all. Rows of which a pair is left out, in a piece or between two, get a link to themselves."""
+    a, b, left = [], [], np.zeros(len(ids), bool)
     for at in range(0, len(ids), PIECE):
         own, f = codes[at : at + PIECE], fps[at : at + PIECE]
+        for other in range(at + PIECE, len(ids), PIECE):
+            x, y = near_pairs(codes, fps, slice(at, at + PIECE), slice(other, other + PIECE), radius)
+            left[x] = left[y] = True
         lower = sum(np.bitwise_count(own[:, None, w] ^ own[None, :, w]).astype(np.uint16) for w in range(WORDS))
         np.fill_diagonal(lower, radius + 1)
         x, y = np.nonzero(lower <= radius)
@@ -277,12 +288,8 @@ def links_between(cells: np.ndarray, fps: np.ndarray, groups: np.ndarray, radius
     for at, n in zip(first.tolist(), size.tolist(), strict=True):
         for i in range(at, at + n, PIECE) if (groups[at : at + n] != groups[at]).any() else ():
             for j in range(i, at + n, PIECE):
-                p, q = slice(i, min(i + PIECE, at + n)), slice(j, min(j + PIECE, at + n))
-                near = (groups[p, None] != groups[None, q]) & (sum(np.bitwise_count(codes[p, None, w] ^ codes[None, q, w]).astype(np.uint16) for w in range(WORDS)) <= radius)
-                x, y = np.nonzero(np.triu(near) if i == j else near)
-                x, y = x + i, y + j
-                far = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1)
-                fine = far <= radius
+                x, y = near_pairs(codes, fps, slice(i, min(i + PIECE, at + n)), slice(j, min(j + PIECE, at + n)), radius)
+                fine = (groups[x] != groups[y]) & ((x < y) | (i < j))
                 a.append(x[fine])
                 b.append(y[fine])
     return np.concatenate(a), np.concatenate(b)
