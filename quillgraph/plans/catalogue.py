@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import html, text, vectors
 from quillgraph.functions.vocab import EN, RU
-from quillgraph.operators import archives, blockmax, candidates, chat, excerpts, extraction, graph, index, logs, metrics, storage
+from quillgraph.operators import archives, blockmax, candidates, chat, excerpts, extraction, graph, index, logs, metrics, ordered, storage
 from quillgraph.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -356,13 +356,21 @@ def keyed_merge_upgrade(spark, sf):
     return extraction.merged_items(rows).select("q_id", "name", "years", "ord")
 
 
-_ANSWERS = ("1. Уткин, Николай Дмитриевич (род.1949) — 1992 год – 1994 год", "Сергей Жилкин — 1996–2000", "Илья Сухих — ?", "НЕТ", "- ДА, Пётр Иванов - с 2001 года", "**Исполнительная власть:**")
+#: Answer lines in five forms, from the orders.
+_ANSWER_LINE = """CASE o_orderkey % 5 WHEN 0 THEN o_orderkey || '. Иван ' || o_orderpriority || ' — ' || year(o_orderdate) || ' год – ' || (year(o_orderdate) + o_orderkey % 7) || ' год'
+  WHEN 1 THEN '- **Пётр ' || o_orderpriority || '** — ?' WHEN 2 THEN 'НЕТ' WHEN 3 THEN '**Clerks ' || o_orderstatus || ':**' ELSE 'ДА, Борис ' || o_orderstatus || ' (b. 1949) - с ' || year(o_orderdate) || ' года' END"""
 
 
-@query("SELECT * FROM (VALUES (0, 'Уткин, Николай Дмитриевич', '1992 – 1994'), (1, 'Сергей Жилкин', '1996–2000'), (2, 'Илья Сухих', '?'), (4, 'Пётр Иванов', 'с 2001')) t(pos, name, years)")
+@query(f"""
+WITH o AS (SELECT * REPLACE (trim(regexp_replace(o_orderpriority, '[0-9-]', '', 'g')) AS o_orderpriority) FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Иван ' || o_orderpriority WHEN 1 THEN 'Пётр ' || o_orderpriority ELSE 'Борис ' || o_orderstatus END AS name,
+  CASE o_orderkey % 5 WHEN 0 THEN year(o_orderdate) || ' – ' || (year(o_orderdate) + o_orderkey % 7) WHEN 1 THEN '?' ELSE 'с ' || year(o_orderdate) END AS years
+FROM o WHERE o_orderkey % 5 IN (0, 1, 4)""")
 def list_line_parse(spark, sf):
-    rows = spark.createDataFrame(list(enumerate(_ANSWERS)), "pos int, line string")
-    return rows.withColumn("i", extraction.item_of(F.col("line"), RU)).filter("i is not null").select("pos", "i.name", "i.years")
+    """TX10: a line for each order; refusals and headings are no items."""
+    rows = table(spark, sf, "orders").withColumn("o_orderpriority", F.trim(F.regexp_replace("o_orderpriority", "[0-9-]", "")))
+    lines = rows.select("o_orderkey", F.expr(_ANSWER_LINE).alias("line"))
+    return lines.withColumn("i", extraction.item_of(F.col("line"), RU)).filter("i is not null").select("o_orderkey", "i.name", "i.years")
 
 
 # --- chat ------------------------------------------------------------------------
@@ -407,37 +415,41 @@ def conversation_history(spark, sf):
 
 # --- catalogues --------------------------------------------------------------------
 
-_NAMES = ("wikipedia_en_all_maxi_2024-05.zim", "wikipedia_ru_all_2024-05.zim", "wikipedia_fr_history_MINI_2023-11.zim", "wikipedia_en_physics_nopic_2024-01.zim", "other.zim")
-_SIZES = ("110G", "5.2M", "850K", "1024", "-")
-
-
-def _listing(spark):
-    rows = "\n".join(f'<tr><td><a href="{n}">{n}</a></td><td align="right">2024-05-1{k} 10:23  </td><td align="right">{s}</td></tr>' for k, (n, s) in enumerate(zip(_NAMES, _SIZES, strict=True)))
-    return archives.index_rows(spark.createDataFrame([(f"<table>{rows}</table>",)], "html string"))
+#: A listing's row for each part: name, date and size of a file.
+_FILE = "'wikipedia_' || CASE p_partkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'ru' WHEN 2 THEN 'fr' ELSE 'EN' END || '_' || split_part(p_name, ' ', 1) || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '_maxi' WHEN 1 THEN '_MINI' ELSE '' END || '_2024-05.zim'"
+_DAY = "'2024-05-' || (10 + p_partkey % 20) || ' 10:23'"
+_SIZE = "CASE p_partkey % 5 WHEN 0 THEN p_size || 'G' WHEN 1 THEN p_size || '.5M' WHEN 2 THEN p_size || 'K' WHEN 3 THEN CAST(p_size AS VARCHAR(9)) ELSE '-' END"
+_CATALOGUE = f"""(SELECT {_FILE} AS filename, CASE p_partkey % 5 WHEN 0 THEN p_size * 1073741824::BIGINT WHEN 1 THEN CAST((p_size + 0.5) * 1048576 AS BIGINT) WHEN 2 THEN p_size * 1024::BIGINT ELSE p_size::BIGINT END AS size_bytes, {_DAY} AS date,
+  CASE WHEN p_partkey % 3 < 2 THEN ['en', 'ru', 'fr', 'EN'][p_partkey % 4 + 1] END AS language, CASE WHEN p_partkey % 3 < 2 THEN split_part(p_name, ' ', 1) || p_partkey END AS topic, CASE p_partkey % 3 WHEN 0 THEN 'maxi' WHEN 1 THEN 'mini' END AS variant
+  FROM part WHERE p_partkey % 5 < 4)"""
 
 
-_CATALOGUE = """(VALUES ('wikipedia_en_all_maxi_2024-05.zim', 118111600640, '2024-05-10 10:23', 'en', 'all', 'maxi'), ('wikipedia_ru_all_2024-05.zim', 5452595, '2024-05-11 10:23', NULL, NULL, NULL),
-('wikipedia_fr_history_MINI_2023-11.zim', 870400, '2024-05-12 10:23', 'fr', 'history', 'mini'), ('wikipedia_en_physics_nopic_2024-01.zim', 1024, '2024-05-13 10:23', 'en', 'physics', 'nopic')) t(filename, size_bytes, date, language, topic, variant)"""
+def _listing(spark, sf):
+    """Directory listings of a hundred files each."""
+    cells = F.expr(f"""'<tr><td><a href="' || {_FILE} || '">' || {_FILE} || '</a></td><td align="right">' || {_DAY} || '  </td><td align="right">' || {_SIZE} || '</td></tr>'""")
+    rows = table(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("page")).agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(cells), "\n"), F.lit("</table>")).alias("html"))
+    return archives.index_rows(rows)
 
 
 @query(f"SELECT filename, size_bytes, date, language, topic, variant FROM {_CATALOGUE}")
 def catalog_parse(spark, sf):
-    return _listing(spark).drop("download_url")
+    return _listing(spark, sf).drop("download_url")
 
 
-@query(f"SELECT filename, CAST(row_number() OVER (ORDER BY coalesce(language, 'zz'), coalesce(topic, 'zzz'), date DESC) AS INTEGER) AS pos FROM {_CATALOGUE} WHERE lower(language) = 'en' AND contains(lower(filename), 'wiki')")
+@query(f"SELECT filename, row_number() OVER (ORDER BY coalesce(language, 'zz'), coalesce(topic, 'zzz'), date DESC, filename) AS pos FROM {_CATALOGUE} WHERE lower(language) = 'en' AND contains(lower(filename), 'wiki')")
 def catalog_filter_sort(spark, sf):
-    rows = archives.filtered(_listing(spark), language="EN", query="Wiki")
-    return rows.select("filename", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*archives.catalogue_order())).alias("pos"))
+    rows = archives.filtered(_listing(spark, sf), language="EN", query="Wiki").select("filename", "language", "topic", "date")
+    return ordered.running_sum(rows, [*archives.catalogue_order(), "filename"], F.lit(1), "pos").select("filename", "pos")
 
 
-@query("SELECT * FROM (VALUES ('Qwen2.5-1.5B', true), ('Llama-70B', false), ('gemma', false), ('mix-8x7b', false), ('tiny-0.5b-chat', true)) t(name, fits)")
-def size_range_filter(spark, sf):
-    rows = spark.createDataFrame([(n,) for n in ("Qwen2.5-1.5B", "Llama-70B", "gemma", "mix-8x7b", "tiny-0.5b-chat")], "name string")
-    return rows.select("name", text.in_size_range(F.col("name"), 0.5, 9.0).alias("fits"))
+_MODEL = "p_name || CASE p_partkey % 3 WHEN 0 THEN '-' || p_size || 'B-chat' WHEN 1 THEN '-0.' || p_size || 'b' ELSE '-8x' || p_size || 'b' END"
+
 
+@query(f"SELECT p_partkey, {_MODEL} AS name, CASE p_partkey % 3 WHEN 0 THEN p_size BETWEEN 1 AND 9 WHEN 1 THEN CAST('0.' || p_size AS DOUBLE) >= 0.5 ELSE false END AS fits FROM part")
+def size_range_filter(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", F.expr(_MODEL).alias("name"))
+    return rows.withColumn("fits", text.in_size_range(F.col("name"), 0.5, 9.0))
 
-# --- logs and progress ----------------------------------------------------------------
 
 _ENTRIES = "(SELECT event_id AS id, epoch_us(ts) // 1000 AS timestamp, ['DEBUG', 'INFO', 'WARN', 'ERROR'][event_id % 4 + 1] AS level, event_type AS tag, props AS message FROM events)"
 
@@ -512,39 +524,31 @@ def acceptance_ratio(spark, sf):
     return metrics.acceptance(rows, "l_shipdate_year", F.col("l_returnflag") == "R")
 
 
-# --- pages with cards (fixture; the driver's pages have none) ----------------------------
+# --- pages with cards: one for each supplier (the given pages have none) ------------------
 
-FIXTURE = """<table class="infobox">
- <tr><th>Глава</th><td><span data-wikidata-property-id="P6"><a href="./%D0%90%D0%B1%D0%B2">Абв Г.</a>[1]</span></td></tr>
- <tr><th>Население</th><td>↗ 700&nbsp;000</td></tr>
- <tr><th>Флаг</th><td>x</td></tr>
-</table>
-<p>Вводный текст.</p>
-<h2>Городская власть</h2><p>Первый раздел.</p>
-<h3>Мэры</h3><ul><li>Имя Один</li></ul>
-<h2>Экономика</h2><p>Завод.</p>"""
+_CARD_PAGE = """'<table class="infobox"><tr><th>Глава</th><td><span data-wikidata-property-id="P6"><a href="./%D0%90' || (s_suppkey + 1) || '">Мэр ' || (s_suppkey + 1) || '.</a>[1]</span></td></tr><tr><th>Население</th><td>↗ ' || s_nationkey || '&nbsp;000</td></tr><tr><th>Флаг</th><td>x</td></tr></table>
+<p>Вводный текст.</p><h2>Городская власть</h2><p>' || s_name || '.</p><h3>Мэры</h3><ul><li>Имя ' || s_suppkey || '</li></ul><h2>Экономика</h2><p>Завод.</p>'"""
 
 
-def fixture_pages(spark):
-    rows = spark.createDataFrame([("city", "Город", FIXTURE, False, None)], readers.ARTICLES)
+def card_pages(spark, sf):
+    rows = table(spark, sf, "supplier").select(F.concat(F.lit("city"), "s_suppkey").alias("path"), F.col("s_name").alias("title"), F.expr(_CARD_PAGE).alias("html"), F.lit(False).alias("is_redirect"), F.lit(None).cast("string").alias("redirect_to"))
     return html.parse_pages(rows, RU)
 
 
-@query("SELECT 'city' AS path, 'Карточка:' || chr(10) || 'Глава/мэр: Абв Г.' || chr(10) || 'Население: 700 000' AS card, 'Абв Г.' AS head")
+@query("SELECT 'city' || s_suppkey AS path, 'Карточка:' || chr(10) || 'Глава/мэр: Мэр ' || (s_suppkey + 1) || '.' || chr(10) || 'Население: ' || s_nationkey || ' 000' AS card, 'Мэр ' || (s_suppkey + 1) || '.' AS head FROM supplier")
 def infobox_cards(spark, sf):
-    return fixture_pages(spark).select("path", html.card_block(F.col("card"), RU).alias("card"), html.card_field(F.col("card"), "глава/Мэр").alias("head"))
+    return card_pages(spark, sf).select("path", html.card_block(F.col("card"), RU).alias("card"), html.card_field(F.col("card"), "глава/Мэр").alias("head"))
 
 
-@query("SELECT 'city' AS path, '[Городская власть] Первый раздел. [Мэры] Имя Один' AS section, '' AS missing")
+@query("SELECT 'city' || s_suppkey AS path, '[Городская власть] ' || s_name || '. [Мэры] Имя ' || s_suppkey AS section, '' AS missing FROM supplier")
 def sections_by_anchor(spark, sf):
-    p = fixture_pages(spark)
     want = F.array(F.lit("городская власть"), F.lit("мэры"))
-    return p.select("path", html.sections_text(F.col("sections"), want).alias("section"), html.sections_text(F.col("sections"), F.array(F.lit("награды"))).alias("missing"))
+    return card_pages(spark, sf).select("path", html.sections_text(F.col("sections"), want).alias("section"), html.sections_text(F.col("sections"), F.array(F.lit("награды"))).alias("missing"))
 
 
-@query("SELECT 'P6' AS prop, 'Абв Г.' AS text, 'Абв' AS href")
+@query("SELECT 'city' || s_suppkey AS path, 'P6' AS prop, 'Мэр ' || (s_suppkey + 1) || '.' AS text, 'А' || (s_suppkey + 1) AS href FROM supplier")
 def infobox_links(spark, sf):
-    return fixture_pages(spark).select(F.explode(html.links_of(F.col("links"), F.array(F.lit("P6"), F.lit("P1365")))).alias("l")).select("l.*")
+    return card_pages(spark, sf).select("path", F.explode(html.links_of(F.col("links"), F.array(F.lit("P6"), F.lit("P1365")))).alias("l")).select("path", "l.*")
 
 
 @query(r"""

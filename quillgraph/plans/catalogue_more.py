@@ -15,20 +15,6 @@ from quillgraph.sources import readers, sinks
 from quillgraph.streaming import running
 
 
-def sql_rows(names: str, rows: list[tuple]) -> str:
-    """DuckDB SQL of literal rows."""
-    def lit(v) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return str(v).lower()
-        if isinstance(v, str):
-            return "'" + v.replace("'", "''") + "'"
-        return repr(v)
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names})"
-
-
 # --- scalar functions --------------------------------------------------------------
 
 @query(f"""
@@ -51,30 +37,36 @@ def cleaned_texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 
 
-_DIRECTIVES = [("**ПОИСК:** Уткин Николай", " Уткин Николай"), ("ответ без поиска", None), ("текст\n> ПОИСК — «Сухих»", "Сухих"), ("поиск: ", None)]
+_SAID = """CASE event_id % 4 WHEN 0 THEN '**ПОИСК:** Уткин ' || user_id WHEN 1 THEN 'ответ без поиска ' || event_type WHEN 2 THEN event_type || chr(10) || '> ПОИСК — «Сухих ' || event_id || '»' ELSE 'поиск: ' END"""
 
 
-@query(sql_rows("pos, directive", [(k, d) for k, (_, d) in enumerate(_DIRECTIVES)]))
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN ' Уткин ' || user_id WHEN 2 THEN 'Сухих ' || event_id END AS directive FROM events")
 def search_directives(spark, sf):
-    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(_DIRECTIVES)], "pos int, t string")
-    return rows.select("pos", text.search_directive(F.col("t"), RU).alias("directive"))
+    """TX14, PF16: a line for each event."""
+    return table(spark, sf, "events").select("event_id", text.search_directive(F.expr(_SAID), RU).alias("directive"))
 
 
-_THOUGHTS = [("<think>a</think> b", "b", " b"), ("<think>a</think>b<think>c", "b<think>c", "b"), ("plain", "plain", "plain")]
+_THOUGHT = "CASE turn % 3 WHEN 0 THEN '<think>' || text || '</think> b' || conv_id WHEN 1 THEN '<think>a</think>b' || conv_id || '<think>' || text ELSE text END"
 
 
-@query(sql_rows("pos, final, running", [(k, f, r.lstrip()) for k, (_, f, r) in enumerate(_THOUGHTS)]))
+@query("""
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'b' || conv_id WHEN 1 THEN 'b' || conv_id || '<think>' || text ELSE text END AS final,
+  CASE turn % 3 WHEN 2 THEN text ELSE 'b' || conv_id END AS running FROM conversations WHERE text = trim(text, E' \n\t\r')""")
 def reasoning_removed(spark, sf):
-    rows = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(_THOUGHTS)], "pos int, t string")
-    return rows.select("pos", text.after_thinking(F.col("t")).alias("final"), text.visible_answer(F.col("t")).alias("running"))
+    """TX13: conversations with reasoning around their texts."""
+    rows = table(spark, sf, "conversations").filter("text = trim(BOTH ' \n\t\r' FROM text)")
+    return rows.select("conv_id", "turn", text.after_thinking(F.expr(_THOUGHT)).alias("final"), text.visible_answer(F.expr(_THOUGHT)).alias("running"))
 
 
-_SIZES = [("5.2M", 5452595), ("110G", 118111600640), ("850K", 870400), ("1024", 1024), ("-", None), ("", None), ("2t", 2199023255552), ("x", None)]
+_RAW_SIZE = "CASE p_partkey % 7 WHEN 0 THEN p_size || '.5M' WHEN 1 THEN p_size || 'G' WHEN 2 THEN p_size || 'K' WHEN 3 THEN CAST(p_size AS VARCHAR(9)) WHEN 4 THEN '-' WHEN 5 THEN p_size || 't' ELSE p_name END"
 
 
-@query(sql_rows("raw, bytes", _SIZES))
+@query(f"""
+SELECT p_partkey, {_RAW_SIZE} AS raw, CASE p_partkey % 7 WHEN 0 THEN CAST((p_size + 0.5) * 1048576 AS BIGINT) WHEN 1 THEN p_size * 1073741824::BIGINT WHEN 2 THEN p_size * 1024::BIGINT
+  WHEN 3 THEN p_size::BIGINT WHEN 5 THEN p_size * 1099511627776::BIGINT END AS bytes FROM part""")
 def sizes_parsed(spark, sf):
-    return spark.createDataFrame([(s,) for s, _ in _SIZES], "raw string").select("raw", text.parse_size(F.col("raw")).alias("bytes"))
+    """TX16."""
+    return table(spark, sf, "part").select("p_partkey", F.expr(_RAW_SIZE).alias("raw")).withColumn("bytes", text.parse_size(F.col("raw")))
 
 
 @query("SELECT doc_id, least(greatest(n_chars // 6 * 4, 256), 2048) AS budget FROM documents")
@@ -109,17 +101,21 @@ def unit_vectors(spark, sf):
 
 # --- lookups ------------------------------------------------------------------------
 
-_ARTICLES = [("a", "Alpha", "", False, None), ("b", "Beta", "", True, "c"), ("c", "Gamma", "", True, "a"), ("d", "Alphabet", "", False, None), ("x", "Loop", "", True, "x")]
+#: An article for each customer; of four, the second to the fourth lead to the one before, so that three hops lead to the first.
+_PATH, _NAMED = "'c' || c_custkey", "'Customer ' || c_custkey"
 
 
-def _articles(spark):
-    return spark.createDataFrame(_ARTICLES, readers.ARTICLES)
+def _articles(spark, sf):
+    return table(spark, sf, "customer").select(F.expr(_PATH).alias("path"), F.expr(_NAMED).alias("title"), F.lit("").alias("html"), (F.col("c_custkey") % 4 > 0).alias("is_redirect"), F.when(F.col("c_custkey") % 4 > 0, F.concat(F.lit("c"), F.col("c_custkey") - 1)).alias("redirect_to"))
 
 
-@query(sql_rows("title_asked, title, path, score", [("Alpha", "Alpha", "a", 1000), ("Beta", "Alpha", "a", 1000), ("Gamma", "Alpha", "a", 1000), ("Loop", "Loop", "x", 1000), ("alphaa", "Alpha", "a", 950), ("Alphab", "Alphabet", "d", 950)]))
+@query("""
+WITH c AS (SELECT c_custkey AS k, (SELECT min(c_custkey) FROM customer) AS low FROM customer)
+SELECT 'Customer ' || k AS title_asked, 'Customer ' || greatest(k - k % 4, low) AS title, 'c' || greatest(k - k % 4, low) AS path, 1000 AS score FROM c""")
 def title_lookup_with_redirects(spark, sf):
-    probes = spark.createDataFrame([(t,) for t in ("Alpha", "Beta", "Gamma", "Loop", "alphaa", "Alphab", "zzz")], "title_asked string")
-    return index.lookup_titles(probes, _articles(spark)).select("title_asked", "title", "path", "score")
+    """SC5, JN2: all titles looked up, through up to three redirects."""
+    articles = _articles(spark, sf)
+    return index.lookup_titles(articles.select(F.col("title").alias("title_asked")), articles).select("title_asked", "title", "path", "score")
 
 
 @query(f"""
@@ -292,102 +288,88 @@ def kept_context(spark, sf):
 
 # --- catalogues and models ----------------------------------------------------------------
 
-_MODELS = [("a/Qwen2.5-1.5B-gguf", 10, 5, ["GGUF"]), ("b/Llama-70B", 50, 1, ["gguf"]), ("c/tiny-0.5b", 30, 2, ["gguf"]), ("plain-3B", 20, 0, ["onnx"])]
+_MODEL_ID = "replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '-') || '-' || p_size || CASE WHEN p_partkey % 3 = 0 THEN 'B-GGUF' ELSE 'B' END"
 
 
-@query(sql_rows("id, author, name, downloads, likes", [("c/tiny-0.5b", "c", "tiny-0.5b", 30, 2), ("a/Qwen2.5-1.5B-gguf", "a", "Qwen2.5-1.5B-gguf", 10, 5)]))
+@query(f"""
+SELECT id, split_part(id, '/', 1) AS author, split_part(id, '/', 2) AS name, downloads, likes FROM (
+  SELECT {_MODEL_ID} AS id, p_partkey::BIGINT AS downloads, p_size::BIGINT AS likes FROM part WHERE p_size BETWEEN 1 AND 9 AND (p_partkey % 3 = 0 OR p_partkey % 5 = 0)) ORDER BY downloads DESC, id LIMIT 50""")
 def model_search(spark, sf):
-    rows = spark.createDataFrame([(i, i, k, d, t, None) for i, d, k, t in _MODELS], readers.MODELS)
+    """SC13, PF3, PF5: a top fifty, as the reference's page of results is."""
+    tags = F.when(F.col("p_partkey") % 5 == 0, F.array(F.lit("Gguf"))).otherwise(F.array(F.lit("onnx")))
+    rows = table(spark, sf, "part").select(F.expr(_MODEL_ID).alias("id"), F.expr(_MODEL_ID).alias("modelId"), F.col("p_size").cast("long").alias("likes"), F.col("p_partkey").cast("long").alias("downloads"), tags.alias("tags"), F.lit(None).cast("string").alias("lastModified"))
     return archives.models(rows)
 
 
-@query(sql_rows("path, size", [("b.gguf", 2), ("a.GGUF", 7)]))
-def model_file_list(spark, sf):
-    rows = spark.createDataFrame([("file", "a.GGUF", 7, "x"), ("file", "b.gguf", 2, "y"), ("directory", "c.gguf", 1, "z"), ("file", "d.txt", 1, "w")], readers.FILES)
-    return archives.model_files(rows).select("path", "size")
+_FILE_PATH = "p_name || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.gguf' WHEN 1 THEN '.GGUF' ELSE '.txt' END"
 
 
-@query(sql_rows("kind, name", [("downloaded", "b")]))
-def archive_choice(spark, sf):
-    rows = spark.createDataFrame([("picked", "a"), ("downloaded", "c"), ("downloaded", "b"), ("scanned", "a")], "kind string, name string")
-    return archives.first_source(rows)
+@query(f"SELECT {_FILE_PATH} AS path, p_size::BIGINT AS size FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 7 > 0")
+def model_file_list(spark, sf):
+    """SC14, PF4."""
+    rows = table(spark, sf, "part").select(F.when(F.col("p_partkey") % 7 == 0, "directory").otherwise("file").alias("type"), F.expr(_FILE_PATH).alias("path"), F.col("p_size").cast("long").alias("size"), F.lit("x").alias("oid"))
+    return archives.model_files(rows).select("path", "size")
 
 
-# --- whole plans over a small archive --------------------------------------------------------
+_KIND = "CASE WHEN s_nationkey < 5 THEN 'picked' WHEN s_acctbal < 0 THEN 'downloaded' ELSE 'scanned' END"
 
-_LISTED = "<p>" + "Мэр Иван Петров правил городом Тольятти. " * 20 + "</p>"
-_CITY = "<table class=infobox><tr><th>Глава</th><td><a href='./m3'>Илья Сухих</a></td></tr></table><p>Город на Волге.</p><h2>Руководство</h2><p>Илья Сухих, мэр.</p>"
-ARCHIVE = [
-    ("city", "Тольятти", _CITY, False, None),
-    ("m3", "Сухих, Илья", "<table class=infobox><tr><th>Предшественник</th><td><a href='m2'>Николай Уткин</a></td></tr></table><p>Мэр Тольятти.</p>", False, None),
-    ("m2", "Уткин, Николай", "<table class=infobox><tr><th>Предшественник</th><td>Сергей Жилкин (1996)</td></tr></table><p>Был мэром.</p>", False, None),
-    ("list", "Мэры Тольятти", _LISTED, False, None),
-]
 
+@query(f"SELECT kind, name FROM (SELECT {_KIND} AS kind, s_name AS name FROM supplier) ORDER BY CASE kind WHEN 'downloaded' THEN 0 WHEN 'scanned' THEN 1 ELSE 2 END, name LIMIT 1")
+def archive_choice(spark, sf):
+    """SC3."""
+    return archives.first_source(table(spark, sf, "supplier").select(F.expr(_KIND).alias("kind"), F.col("s_name").alias("name")))
 
-def _archive(spark):
-    return durable(html.parse_pages(spark.createDataFrame(ARCHIVE, readers.ARTICLES), RU))
 
+# --- plans over an archive of the suppliers' cards -----------------------------------------------
 
-def _asked(spark):
-    return spark.createDataFrame([(1, "Перечисли всех мэров Тольятти")], "q_id long, text string")
+_SURNAME = "'С' || translate(CAST({k} AS VARCHAR(9)), '0123456789', 'абвгдежзик')"
 
 
-@query(sql_rows("path, score, source_tag", [("list", 2000, None), ("city", 1000, None), ("m3", 899, "по P6 (глава) из «city»"), ("m2", 898, "по P1365 (предшественник) из «m3»")]))
-def gathered_candidates(spark, sf):
-    return answers.gathered(_asked(spark), _archive(spark), RU).select("path", "score", "source_tag")
+def _surname(k: str) -> str:
+    return _SURNAME.format(k=k)
 
 
-@query(sql_rows("title, is_seed, is_list_article", [("Мэры Тольятти", True, True), ("Тольятти", False, False), ("Илья Сухих", False, False), ("Николай Уткин", False, False)]))
-def document_excerpts(spark, sf):
-    hits = answers.gathered(_asked(spark), _archive(spark), RU)
-    return answers.document_excerpts(hits, _archive(spark), RU).select("title", "is_seed", "is_list_article")
+def _officers(spark, sf):
+    """A page for each supplier; of four in a row, all but the first name the one before."""
+    before = F.expr(f"""CASE WHEN s_suppkey % 4 > 0 THEN '<tr><th>Предшественник</th><td><a href="o' || (s_suppkey - 1) || '">Илья ' || {_surname("s_suppkey - 1")} || '</a></td></tr>' ELSE '' END""")
+    page = F.concat(F.lit("<table class=infobox>"), before, F.lit("<tr><th>Место</th><td>x</td></tr></table><p>Мэр.</p>"))
+    rows = table(spark, sf, "supplier").select(F.concat(F.lit("o"), "s_suppkey").alias("path"), F.expr(f"{_surname('s_suppkey')} || ', Илья'").alias("title"), page.alias("html"), F.lit(False).alias("is_redirect"), F.lit(None).cast("string").alias("redirect_to"))
+    return durable(html.parse_pages(rows, RU))
 
 
-@query(sql_rows("step, name", [(0, "Илья Сухих"), (1, "Николай Уткин"), (2, "Сергей Жилкин")]))
+@query(f"SELECT s_suppkey AS q_id, CAST(i AS INTEGER) AS step, 'Илья ' || {_surname('s_suppkey - i')} AS name FROM supplier, range(4) t(i) WHERE i <= s_suppkey % 4")
 def card_predecessors(spark, sf):
-    return answers.predecessors(spark.createDataFrame([(1, "Илья Сухих")], "q_id long, name string"), _archive(spark), RU).select("step", "name")
-
-
-@query(sql_rows("answer", [("- **Сергей Жилкин** — 1996–2000\n- **Николай Уткин**\n- **Илья Сухих** — с 2012",)]))
-def list_answer(spark, sf):
-    def generate(prompts, systems, most):
-        return ["Сергей Жилкин — 1996–2000\nНиколай Уткин — ?\nИлья Сухих — с 2012 года" if "Мэры Тольятти" in p else "НЕТ" for p in prompts]
+    """GR3: the chain of predecessors of every officer."""
+    starts = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("q_id"), F.expr(f"'Илья ' || {_surname('s_suppkey')}").alias("name"))
+    return answers.predecessors(starts, _officers(spark, sf), RU).select("q_id", "step", "name")
 
-    return answers.list_answers(_asked(spark), _archive(spark), RU, generate).select("answer")
-
-
-@query()
-def prompt_assembly(spark, sf):
-    return answers.prompts(_asked(spark), _archive(spark), RU)
 
+@query("""
+SELECT s.s_suppkey AS q_id, 'o' || (s.s_suppkey - i) AS path, CASE i WHEN 0 THEN 1000 ELSE 900 - i END AS score
+FROM supplier s, range(4) t(i) WHERE i <= s.s_suppkey % 4 AND (i = 0 OR s.s_suppkey - i IN (SELECT s_suppkey FROM supplier))""")
+def walk_candidates(spark, sf):
+    """GR1, GR2, TX9: what a walk from every officer's page reaches."""
+    pages = _officers(spark, sf)
+    seeds = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("q_id"), F.concat(F.lit("o"), "s_suppkey").alias("path"), F.expr(f"{_surname('s_suppkey')} || ', Илья'").alias("title"), F.lit(1000).alias("score"))
+    walked = graph.bounded_walk(seeds, answers.link_edges(pages), max_nodes=6, max_depth=4)
+    return graph.walk_hits(walked, seeds, RU).select("q_id", "path", "score")
 
-@query(sql_rows("chain, answer", [("Илья Сухих > Николай Уткин > Сергей Жилкин", "Илья Сухих, Николай Уткин, Сергей Жилкин")]))
-def office_chain(spark, sf):
-    def generate(prompts, systems, most):
-        return [", ".join(x[2:] for x in p.split("\n") if x.startswith("- ")) for p in prompts]
 
-    asked = spark.createDataFrame([(1, "назови мэров Тольятти по годам")], "q_id long, text string")
-    return answers.office_chains(asked, _archive(spark), RU, generate).select(F.array_join("chain", " > ").alias("chain"), "answer")
+@query("SELECT o_orderkey AS q_id, name, years FROM orders, (VALUES (0), (1)) t(i), LATERAL (SELECT CASE i WHEN 0 THEN 'Иван Петров' ELSE 'Пётр Сидоров' END AS name, CASE i WHEN 0 THEN CAST(year(o_orderdate) AS VARCHAR) ELSE '?' END AS years)")
+def answer_reduction(spark, sf):
+    """LX2, PF9 to PF12: three answers to each order's question."""
+    said = F.array(
+        F.struct(F.lit(0).alias("ord"), F.lit("Иван Петров").alias("title"), F.concat(F.lit("Иван Петров — "), F.year("o_orderdate"), F.lit("\nДругой Человек — 1999")).alias("raw")),
+        F.struct(F.lit(1).alias("ord"), F.lit("Пётр Сидоров").alias("title"), F.lit("ДА.").alias("raw")),
+        F.struct(F.lit(2).alias("ord"), F.lit("Х").alias("title"), F.lit("Он не является мэром").alias("raw")))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("q_id"), F.explode(said).alias("s"))
+    return extraction.reduced(rows.select("q_id", "s.ord", F.lit("кто мэр").alias("question"), "s.title", F.lit(False).alias("is_seed"), "s.raw"), RU).select("q_id", "name", "years")
 
 
-@query(sql_rows("context", [("seed" + "t" * 796,)]))
+@query("SELECT doc_id, lang || right(text, 800 - length(lang)) AS context FROM documents")
 def agentic_context(spark, sf):
-    rows = spark.createDataFrame([("seed", "x" * 5000 + "t" * 796)], "seed string, trail string")
-    return rows.select(excerpts.agentic_context(F.col("seed"), F.col("trail"), 800, 100).alias("context"))
-
-
-@query(sql_rows("path, score", [("city", 1000), ("m3", 899), ("m2", 898)]))
-def walk_candidates(spark, sf):
-    seeds = spark.createDataFrame([(1, "city", "Тольятти", 1000)], "q_id long, path string, title string, score int")
-    walked = graph.bounded_walk(seeds, answers.link_edges(_archive(spark)), max_nodes=6, max_depth=4)
-    return graph.walk_hits(walked, seeds, RU).select("path", "score")
-
-
-@query(sql_rows("name, years", [("Иван Петров", "2000"), ("Пётр Сидоров", "?")]))
-def answer_reduction(spark, sf):
-    rows = [(1, 0, "кто мэр", "Иван Петров", False, "Иван Петров — 2000\nДругой Человек — 1999"), (1, 1, "кто мэр", "Пётр Сидоров", False, "ДА."), (1, 2, "кто мэр", "Х", False, "Он не является мэром")]
-    return extraction.reduced(spark.createDataFrame(rows, "q_id long, ord int, question string, title string, is_seed boolean, raw string"), RU).select("name", "years")
+    """PR6: the end of each document behind a short seed."""
+    return table(spark, sf, "documents").select("doc_id", excerpts.agentic_context(F.col("lang"), F.col("text"), 800, 100).alias("context"))
 
 
 # --- further functions over the driver's tables --------------------------------------
@@ -508,16 +490,6 @@ def streamed_transcripts(spark, sf):
     return spark.read.parquet(f"{at}/pieces").groupBy("gen_id").agg(F.array_join(pieces, "").alias("text"))
 
 
-@query(sql_rows("q_id, answer, hops", [(1, "Ответ: Илья Сухих", 1)]))
-def agentic_answers(spark, sf):
-    """AGN1, PR7: the generator asks for a search before it answers."""
-    def generate(prompts, systems, most):
-        return ["Ответ: Илья Сухих" if "Сухих, Илья" in p or "final" in p else "ПОИСК: Сухих, Илья" for p in prompts]
-
-    asked = spark.createDataFrame([(1, "кто построил завод")], "q_id long, text string")
-    return answers.agentic(asked, _archive(spark), RU, generate).select("q_id", "answer", "hops")
-
-
 @query(f"""
 WITH l AS (SELECT tag, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d %H:%M:%S.%g') || ' ' || level[1] || '/' || tag || ': ' || replace(message, chr(10), chr(1)) AS line FROM {_ENTRIES}),
 c AS (SELECT line, sum(length(line) + 1) OVER (ORDER BY line DESC ROWS UNBOUNDED PRECEDING) AS to_end, sum(length(line) + 1) OVER () AS chars, sum(strlen(line) + 1) OVER () AS bytes FROM l)

@@ -1,7 +1,9 @@
+from cards import FIXTURE
+from pyspark.sql import functions as F
+
 from quillgraph.functions import html
 from quillgraph.functions.vocab import RU
 from quillgraph.plans import answers
-from quillgraph.plans.catalogue import FIXTURE
 from quillgraph.sources import readers, sinks
 
 BODY = "<p>" + "Мэр Иван Петров правил городом Тольятти. " * 20 + "</p>"
@@ -54,6 +56,24 @@ def test_agentic_loop(spark):
     assert len(got) == 1 and got[0]["answer"] == "Ответ: Илья Сухих"
 
 
+def test_excerpts_mark_the_seed_and_the_list(spark):
+    pages = archive(spark)
+    hits = answers.gathered(asked(spark, "Перечисли всех мэров Тольятти"), pages, RU)
+    got = {r["title"]: (r["is_seed"], r["is_list_article"]) for r in answers.document_excerpts(hits, pages, RU).collect()}
+    assert got["Мэры Тольятти"] == (True, True) and set(got) >= {"Тольятти", "Илья Сухих", "Николай Уткин"}
+    assert {got[t] for t in ("Тольятти", "Илья Сухих", "Николай Уткин")} == {(False, False)}
+
+
+def test_office_chain(spark):
+    def generate(prompts, systems, most):
+        return [", ".join(x[2:] for x in p.split("\n") if x.startswith("- ")) for p in prompts]
+
+    pages = spark.createDataFrame([("city", "Тольятти", PAGES[0][2].replace("Абв Г.", "Илья Сухих"), False, None), *PAGES[1:4]], readers.ARTICLES)
+    rows = answers.office_chains(asked(spark, "назови мэров Тольятти по годам"), html.parse_pages(pages, RU), RU, generate)
+    got = rows.select(F.array_join("chain", " > ").alias("chain"), "answer").head()
+    assert tuple(got) == ("Илья Сухих > Николай Уткин > Сергей Жилкин", "Илья Сухих, Николай Уткин, Сергей Жилкин")
+
+
 def test_predecessors_of_cards(spark):
     starts = spark.createDataFrame([(1, "Илья Сухих")], "q_id long, name string")
     got = answers.predecessors(starts, archive(spark), RU).orderBy("step").collect()

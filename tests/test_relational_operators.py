@@ -1,4 +1,5 @@
 import pytest
+from cards import FIXTURE
 from conftest import DATA
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import html
 from quillgraph.functions.vocab import RU, Profile
 from quillgraph.operators import candidates, excerpts, extraction, graph, logs, metrics
-from quillgraph.plans.catalogue import FIXTURE, queries
+from quillgraph.plans.catalogue import queries
 
 HITS = "q_id long, ord int, title string, path string, snippet string, score int, source_tag string"
 QUIET = settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
