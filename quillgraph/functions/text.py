@@ -349,8 +349,7 @@ def encoded_path(path: Column) -> Column:
 # --- Markdown ----------------------------------------------------------------
 
 def markdown_lines(text: Column) -> Column:
-    """TX20: structs (kind, level, num, text, spans) of the text's lines; spans are the
-    line's inline parts, as (style, text): bold between **, code between backquotes."""
+    """TX20: structs (kind, level, num, text) of the text's lines; inline_spans gives a line's parts."""
     def parsed(raw: Column) -> Column:
         x = F.trim(raw)
         num = r"(?s)^(\d{1,3}[.)])\s+(.*)"

@@ -473,9 +473,22 @@ def semantic_rerank(spark, sf):
     return candidates.reranked(hits, asked, known, key="vec_id").select("q_id", "vec_id", "ord")
 
 
+_UNMARKED = "translate(text, '*`' || chr(10) || chr(13), '    ')"
+
+
+@query(f"""
+SELECT conv_id, turn, 'plain:' || replace(replace(t, ' the ', ' |bold:the|plain: '), ', ', ',|code:x,|plain: ') AS spans
+FROM (SELECT conv_id, turn, {_UNMARKED} AS t FROM conversations) WHERE t <> ''""")
+def markdown_spans(spark, sf):
+    """TX20: bold and code put into every conversation's texts, and read off again."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.expr(_UNMARKED).alias("t")).filter("t <> ''")
+    marked = F.replace(F.replace("t", F.lit(" the "), F.lit(" **the** ")), F.lit(", "), F.lit(",`x,` "))
+    return rows.select("conv_id", "turn", F.array_join(F.transform(text.inline_spans(marked), lambda s: F.concat(s["style"], F.lit(":"), s["text"])), "|").alias("spans"))
+
+
 @query("SELECT conv_id * 1000 + turn AS gen_id, text FROM conversations WHERE text <> ''")
 def streamed_transcripts(spark, sf):
-    """SS1, SS2, SS3: each turn's bytes come in pieces of seven, characters cut through, over
+    """SS1, SS2: each turn's bytes come in pieces of seven, characters cut through, over
     two runs of a stream that starts again from its checkpoint; the pieces are put together."""
     at = shared_folder(spark, "transcripts")
     turns = table(spark, sf, "conversations").filter("text <> ''").select((F.col("conv_id") * 1000 + F.col("turn")).alias("gen_id"), F.encode("text", "UTF-8").alias("b"))
