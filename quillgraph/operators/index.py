@@ -15,6 +15,8 @@ K1, B = 1.2, 0.75
 EXACT, SUGGESTED, PREFIXED = 1000, 950, 800
 #: A broadcast side holds this many rows at most; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
+#: Rows of one key that meet as many of the other side in a task, and pairs of a task.
+SLICE, PAIRS = 1_000, 4_000_000
 
 
 def fitted(df: DataFrame, rows: int) -> DataFrame:
@@ -72,21 +74,47 @@ def title_key(title: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(title, PUNCT, " "), r"\s+", " ")))
 
 
+def paired(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """left joined to right by the column on. A key's pairs are as many as its rows multiplied, so
+    the rows of a frequent key are cut into slices of some SLICE by a hash, and each slice of
+    one side meets each of the other in a task of its own. Tasks get some PAIRS pairs each."""
+    spark = left.sparkSession
+    counts = left.groupBy(on).agg(F.count("*").alias("_l")).join(right.groupBy(on).agg(F.count("*").alias("_r")), on)
+    sizes = durable(counts.select(on, F.col("_l"), F.col("_r"), F.ceil(F.col("_l") / SLICE).cast("int").alias("_i"), F.ceil(F.col("_r") / SLICE).cast("int").alias("_j")))
+    pairs = sizes.agg(F.sum(F.col("_l") * F.col("_r"))).head()[0] or 0
+    cuts = sizes.filter("_i > 1 or _j > 1").select(on, "_i", "_j")
+    cuts = fitted(cuts, cuts.count())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs // PAIRS)
+
+    def sliced(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """rows in the slice of own that their hash gives, once for each slice of other."""
+        many = lambda c: F.coalesce(F.col(c), F.lit(1))
+        known = rows.filter(F.col(on).isNotNull()).join(cuts, on, "left").select(*rows.columns, F.pmod(F.xxhash64(*rows.columns), many(own)).cast("int").alias("_own"), F.sequence(F.lit(0), many(other) - 1).alias("_all"))
+        return known.select(*rows.columns, F.col("_own").alias(own), F.explode("_all").alias(other)).repartition(parts, on, "_i", "_j")
+
+    return sliced(left, "_i", "_j").join(sliced(right, "_j", "_i"), [on, "_i", "_j"]).drop("_i", "_j")
+
+
 def follow_redirects(hits: DataFrame, articles: DataFrame, hops: int = 3) -> DataFrame:
-    """hits with path, title and is_redirect of where up to hops redirects lead."""
+    """hits with path, title and is_redirect of where up to hops redirects lead. Rows that lead
+    nowhere are not joined: with no key in common they would all meet in one task."""
+    leads = F.coalesce(F.col("is_redirect") & F.col("redirect_to").isNotNull(), F.lit(False))
+    there, moving = hits.filter(~leads), durable(hits.filter(leads))
     for _ in range(hops):
-        to = only(articles, hits.filter("is_redirect"), "path", "redirect_to").select(F.col("path").alias("_p"), F.col("title").alias("_t"), F.col("is_redirect").alias("_r"), F.col("redirect_to").alias("_to"))
-        step = hits.join(to, F.col("is_redirect") & (F.col("redirect_to") == F.col("_p")), "left")
+        if moving.isEmpty():
+            break
+        to = only(articles, moving, "path", "redirect_to").select(F.col("path").alias("_p"), F.col("title").alias("_t"), F.col("is_redirect").alias("_r"), F.col("redirect_to").alias("_to"))
         moved = F.col("_p").isNotNull()
-        hits = step.select(*[c for c in hits.columns if c not in ("path", "title", "is_redirect", "redirect_to")], F.when(moved, F.col("_p")).otherwise(F.col("path")).alias("path"), F.when(moved, F.col("_t")).otherwise(F.col("title")).alias("title"), F.when(moved, F.col("_r")).otherwise(F.col("is_redirect")).alias("is_redirect"), F.when(moved, F.col("_to")).otherwise(F.col("redirect_to")).alias("redirect_to"))
-    return hits
+        step = durable(moving.join(to, F.col("redirect_to") == F.col("_p"), "left").select(*[c for c in hits.columns if c not in ("path", "title", "is_redirect", "redirect_to")], F.when(moved, F.col("_p")).otherwise(F.col("path")).alias("path"), F.when(moved, F.col("_t")).otherwise(F.col("title")).alias("title"), F.when(moved, F.col("_r")).otherwise(F.col("is_redirect")).alias("is_redirect"), F.when(moved, F.col("_to")).otherwise(F.col("redirect_to")).alias("redirect_to")))
+        there, moving = there.unionByName(step.filter(~leads)), step.filter(leads)
+    return there.unionByName(moving)
 
 
 def exact_titles(probes: DataFrame, articles: DataFrame, title_col: str = "title_asked", hops: int = 3) -> DataFrame:
-    """SC5: probes joined to the article of that title, redirects followed, score 1000."""
+    """SC5: probes joined to the article of that title, redirects followed, score 1000.
+    Redirects are followed from each article once, before its probes are joined."""
     named = only(articles, probes, "title", title_col).select(F.col("title").alias(title_col), "title", "path", "is_redirect", "redirect_to")
-    hit = probes.join(named, title_col)
-    return follow_redirects(hit, articles, hops).drop("redirect_to", "is_redirect").withColumn("score", F.lit(EXACT))
+    return paired(probes, follow_redirects(named, articles, hops).drop("redirect_to", "is_redirect"), title_col).withColumn("score", F.lit(EXACT))
 
 
 def suggested_titles(probes: DataFrame, articles: DataFrame, title_col: str = "title_asked", key_chars: int = 3) -> DataFrame:
@@ -119,14 +147,14 @@ def beginnings(named: DataFrame, least: int, most: int) -> DataFrame:
 def lookup_titles(probes: DataFrame, articles: DataFrame, title_col: str = "title_asked") -> DataFrame:
     """Exact hits, and suggestions for probes without one."""
     exact = exact_titles(probes, articles, title_col)
-    rest = probes.join(exact.select(*probes.columns).distinct(), probes.columns, "left_anti")
+    rest = probes.join(only(articles, probes, "title", title_col).select(F.col("title").alias(title_col)).distinct(), title_col, "left_anti").select(*probes.columns)
     return exact.unionByName(suggested_titles(rest, articles, title_col))
 
 
 def raw_titles(probes: DataFrame, articles: DataFrame, body_col: str = "body", title_col: str = "title_asked") -> DataFrame:
     """SC7: (…, title, path, is_redirect, body_len); a redirect is not followed and has length 0."""
     named = only(articles, probes, "title", title_col).select(F.col("title").alias(title_col), "title", "path", "is_redirect", F.when(F.col("is_redirect"), 0).otherwise(F.length(body_col)).alias("body_len"))
-    return probes.join(named, title_col)
+    return paired(probes, named, title_col)
 
 
 def titles_by_prefix(articles: DataFrame, prefix: str, limit: int, *, title_col: str = "title") -> DataFrame:

@@ -169,7 +169,7 @@ _TITLE = "trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"
 WITH a AS (SELECT url AS path, {_TITLE} AS title FROM pages)
 SELECT x.path AS asked, a.title, a.path, 1000 AS score FROM a JOIN a x ON a.title = x.title""")
 def title_exact_lookup(spark, sf):
-    pages = readers.page_rows(table(spark, sf, "pages"))
+    pages = storage.durable(readers.page_rows(table(spark, sf, "pages")).drop("html"))
     probes = pages.select(F.col("path").alias("asked"), F.col("title").alias("title_asked"))
     return index.exact_titles(probes, pages).select("asked", "title", "path", "score")
 

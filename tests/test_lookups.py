@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import dictionaries, logs, ordered, sorted_titles, storage, typos
+from quillgraph.operators import dictionaries, index, logs, ordered, sorted_titles, storage, typos
 from quillgraph.sources import sinks
 
 
@@ -92,3 +92,25 @@ def test_dumped_log_is_in_order(spark):
     lines = [line for n in names for line in open(n.removeprefix("file://")).read().splitlines()]
     assert [x.rpartition("m")[2] for x in lines] == [str(k) for k in range(300)]
     assert [r["n"] for r in logs.dumped(entries).orderBy("n").collect()] == list(range(1, 301))
+
+
+def test_pairs_of_a_frequent_title_are_spread(spark, monkeypatch):
+    """Each of 300 probes meets each of 300 articles of one title, some by redirects, in no single task."""
+    monkeypatch.setattr(index, "SLICE", 30, raising=False)
+    rows = [(f"p{k}", "same", False, None) for k in range(300)] + [(f"r{k}", f"old{k % 3}", True, f"s{k}") for k in range(9)] + [(f"s{k}", f"mid{k}", k % 2 == 0, f"p{k}" if k % 2 == 0 else None) for k in range(8)] + [("n", None, False, None)]
+    articles = spark.createDataFrame(rows, "path string, title string, is_redirect boolean, redirect_to string")
+    probes = spark.createDataFrame([(k, "same") for k in range(300)] + [(1000 + k, f"old{k}") for k in range(3)] + [(2000, "none"), (2001, None)], "q_id long, title_asked string")
+    got = index.exact_titles(probes, articles)
+    at = {r[0]: r for r in rows}
+
+    def end(r):
+        for _ in range(3):
+            r = at.get(r[3], r) if r[2] else r
+        return r[1], r[0]
+
+    want = sorted((q, *end(r)) for q, t in [tuple(p) for p in probes.collect()] for r in rows if t is not None and r[1] == t)
+    assert sorted((r["q_id"], r["title"], r["path"]) for r in got.collect()) == want and len(want) == 90009
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 0.6 * len(want)
+    raw = index.raw_titles(probes, articles.withColumn("body", F.lit("x")))
+    assert raw.count() == 90009 and max(r["count"] for r in raw.groupBy(F.spark_partition_id()).count().collect()) < 0.6 * 90009
