@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quillgraph.functions.text import visible_answer
 
 EVENTS = "gen_id long, seq int, ts timestamp, bytes binary, done boolean"
+#: Groups that the generations of a token stream are dealt into.
+BUCKETS = 2_048
 
 
 def complete_prefix(data: bytes) -> int:
@@ -27,26 +29,34 @@ def complete_prefix(data: bytes) -> int:
 def reassembled(chunks: DataFrame) -> DataFrame:
     """SS1, SS2: (gen_id, seq, piece) of a stream of EVENTS: each chunk's whole characters,
     bytes of a character that is cut off held back for the next chunk. What is left
-    at the end of a generation (done) is dropped. State: at most 3 bytes and a number
-    for each open generation."""
+    at the end of a generation (done) is dropped. Generations are dealt into BUCKETS by a hash, and a bucket is
+    one group: a call for each generation would cost far more than its chunks do. State: the id and at most
+    3 bytes of each generation that has some held back."""
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = bytes(state.get[0]) if state.exists else b""
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out, over = [], False
-        for r in rows.itertuples():
-            data = held + (bytes(r.bytes) if r.bytes is not None else b"")
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        ids = rows["gen_id"].tolist() if key[0] >= 0 else [None] * len(rows)
+        out, over = [], set()
+        for gen, seq, more, done in zip(ids, rows["seq"].tolist(), rows["bytes"].tolist(), rows["done"].tolist(), strict=True):
+            data = bytes(held.pop(gen, b"")) + (bytes(more) if more is not None else b"")
             cut = complete_prefix(data)
-            held = data[cut:]
+            if cut < len(data):
+                held[gen] = data[cut:]
             if cut:
-                out.append((key[0], r.seq, data[:cut].decode("utf-8", "replace")))
-            over = over or bool(r.done)
-        if over:
+                out.append((gen, seq, data[:cut].decode("utf-8", "replace")))
+            if done:
+                over.add(gen)
+        for gen in over:
+            held.pop(gen, None)
+        if held:
+            state.update((list(held), list(held.values())))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((held,))
         yield pd.DataFrame(out, columns=["gen_id", "seq", "piece"])
 
-    return chunks.groupBy("gen_id").applyInPandasWithState(run, "gen_id long, seq int, piece string", "held binary", "append", GroupStateTimeout.NoTimeout)
+    # ids that are null are apart, since among others they would turn whole numbers into floats
+    bucket = F.when(F.col("gen_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("gen_id"), F.lit(BUCKETS)).cast("int"))
+    return chunks.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(run, "gen_id long, seq int, piece string", "ids array<long>, held array<binary>", "append", GroupStateTimeout.NoTimeout)
 
 
 def transcripts(pieces: DataFrame) -> DataFrame:

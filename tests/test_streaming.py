@@ -42,6 +42,28 @@ def test_tokens_to_transcript(spark, tmp_path):
     assert whole == {1: data.decode(), 2: "a"}
 
 
+def test_generations_share_their_state(spark, tmp_path, monkeypatch):
+    """No group for each generation: 300 of them, each cut within a character, leave 8 rows of state."""
+    monkeypatch.setattr(running, "BUCKETS", 8, raising=False)
+    t = datetime.datetime(2024, 1, 1)
+    big = 2**60
+    data = {big + k: f"Ж{k}ёж".encode() for k in range(300)}
+    parts = [[(g, 0, t, d[:-3], False) for g, d in data.items()] + [(None, 0, t, b"a\xd0", False)], [(g, 1, t, d[-3:], g % 2 == 0) for g, d in data.items()] + [(None, 1, t, b"\x96", True)]]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = []
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, running.EVENTS).write.parquet(f"{src}/b={k}")
+        stream = running.reassembled(spark.readStream.schema(running.EVENTS).parquet(f"{src}/*"))
+        q = stream.writeStream.format("parquet").option("path", out).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+        q.awaitTermination()
+        rows.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    whole = {}
+    for r in sorted(spark.read.parquet(out).collect(), key=lambda r: r["seq"]):
+        whole[r["gen_id"]] = whole.get(r["gen_id"], "") + r["piece"]
+    assert whole == {g: d.decode() for g, d in data.items()} | {None: "aЖ"}
+    assert rows == [9, 0]
+
+
 def test_progress_and_latest_match_batch(spark, tmp_path):
     t = datetime.datetime(2024, 1, 1)
     rows = [(k % 3, t + datetime.timedelta(milliseconds=100 * k), f"v{k}") for k in range(30)]
