@@ -209,3 +209,22 @@ def test_budget_pack_matches_a_plain_version(spark):
         want[q] = (block, titles, len(rows))
     got = {r["q_id"]: (r["block"], r["titles"], r["total"]) for r in queries()["budget_pack"](spark, str(DATA)).collect()}
     assert got == want
+
+
+def test_one_page_tree_stands_at_a_time(spark):
+    """A tree is gone with its page, without the collector, and Arrow batches hold few pages."""
+    import gc
+    import weakref
+
+    gc.disable()
+    try:
+        page = html.Page("<div><p>a<p>b<ul><li>c</ul></div>", RU)
+        root = weakref.ref(page.root)
+        assert page.body() == "a b c"
+        del page
+        assert root() is None
+    finally:
+        gc.enable()
+    rows = spark.range(700).repartition(1).select("id", html.parsed(F.concat(F.lit("<h2>t</h2><p>x"), F.col("id").cast("string")), RU).alias("p"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+    assert {(r["id"], r["body"]) for r in rows.select("id", "p.body").collect()} == {(k, f"t x{k}") for k in range(700)}
