@@ -4,6 +4,8 @@ Questions come as a DataFrame; every lookup answers all of them in one plan."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,15 @@ def only(table: DataFrame, keys: DataFrame, column: str, key: str | None = None)
     return table.join(F.broadcast(wanted), column, "left_semi")
 
 
+#: What separates terms: white space, and the characters of PUNCT.
+SEPARATORS = "\t\n\x0b\f\r" + "".join(c for c in map(chr, range(0x21, 0x2100)) if re.fullmatch(PUNCT, c))
+
+
 def terms(text: Column, least: int = 3) -> Column:
-    """Index terms: lower-case words of least characters or more."""
-    return F.filter(F.split(F.lower(text), rf"(?:\s|{PUNCT})+"), lambda t: F.length(t) >= least)
+    """Index terms: lower-case words of least characters or more. Separators become spaces
+    and the text is cut at these, which takes less time than a pattern."""
+    spaced = F.translate(F.lower(text), SEPARATORS, " " * len(SEPARATORS))
+    return F.filter(F.split(spaced, " "), lambda t: F.length(t) >= least)
 
 
 def bm25_search(docs: DataFrame, questions: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", q_col: str = "q_id", query_col: str = "query", k: int = 20) -> DataFrame:
@@ -53,8 +61,10 @@ def bm25_search(docs: DataFrame, questions: DataFrame, *, id_col: str = "doc_id"
     vocabulary = asked.select("term").distinct()
     few = vocabulary.count()
     wanted = vocabulary.union(docs.sparkSession.range(1).select(F.lit("").alias("term")))
-    listed = docs.select(id_col, terms(F.col(text_col)).alias("t")).filter(F.size("t") > 0)
-    spread = listed.select(id_col, F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(fitted(wanted, few + 1), "term", "left_semi")
+    listed = docs.select(id_col, terms(F.col(text_col)).alias("t"))
+    # explode_outer, and no filter on t: either would be pushed below and cut the text once more
+    every = F.when(F.size("t") > 0, F.concat(F.array(F.lit("")), "t"))
+    spread = listed.select(id_col, F.size("t").alias("dl"), F.explode_outer(every).alias("term")).join(fitted(wanted, few + 1), "term", "left_semi")
     counted = durable(spread.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf")))
     stats = counted.filter("term = ''").agg(F.sum("tf").alias("n"), F.avg("dl").alias("avg")).head()  # two numbers
     found = counted.filter("term <> ''")
@@ -63,7 +73,8 @@ def bm25_search(docs: DataFrame, questions: DataFrame, *, id_col: str = "doc_id"
     weights = asked.join(fitted(df, few), "term").withColumn("idf", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     pairs = weights.count() if few <= BROADCAST_ROWS else BROADCAST_ROWS + 1
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
-    scored = found.join(fitted(weights, pairs), "term").groupBy(q_col, id_col).agg(F.sum(part).alias("score"))
+    # dealt by document, its few rows move once, and not a sum for each question besides
+    scored = found.repartition(id_col).join(fitted(weights, pairs), "term").groupBy(q_col, id_col).agg(F.sum(part).alias("score"))
     best = Window.partitionBy(q_col).orderBy(F.desc(F.round("score", 6)), id_col)
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(q_col, "rank", id_col, F.round("score", 6).alias("score"))
 

@@ -1,9 +1,11 @@
 """The block-max index: the same rows as a full search, fewer blocks and folders read."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from quillgraph.functions.text import PUNCT
 from quillgraph.operators import blockmax, index, storage
 
 
@@ -55,3 +57,22 @@ def test_empty_tables(spark):
     other = storage.shared_folder(spark, "test")
     blockmax.build(docs, other)
     assert blockmax.search(spark, other, questions.limit(0)).count() == 0
+
+
+def test_terms_are_words_between_white_space_and_punctuation(one):
+    text = "".join(f"Wörd{chr(c)}" for c in range(1, 0x2100)) + "…ab — abc\x0bЖЖЖ"
+    by_pattern = F.filter(F.split(F.lower(F.lit(text)), rf"(?:\s|{PUNCT})+"), lambda t: F.length(t) >= 3)
+    got = one(index.terms(F.lit(text)))
+    assert got == one(by_pattern) and got[-2:] == ["abc", "жжж"]
+
+
+def test_texts_are_cut_once(spark, monkeypatch):
+    """Neither lengths nor filters on them have a text cut a second time, and each document's terms move once."""
+    kept = []
+    monkeypatch.setattr(index, "durable", lambda df: kept.append(df) or storage.durable(df))
+    docs, questions = corpus(spark)
+    best = index.bm25_search(docs, questions)
+    plan = kept[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"lower\(text#", plan)) == 1
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(q_id" in plan and not re.search(r"hashpartitioning\(q_id#\d+L?, doc_id", plan)
