@@ -20,24 +20,41 @@ UNKNOWN = "?"
 MAP_TOKENS, ENOUGH = 96, 3
 
 
+def step(column: Column, f: Callable[[Column], Column]) -> Column:
+    """f(column), where column is worked out once however often f names it."""
+    return F.get(F.transform(F.array(column), f), F.lit(0))
+
+
 def item_of(line: Column, profile: Profile) -> Column:
     """TX10: struct(name, years) of an answer line "name — years", else null."""
+    yes = "|".join(dict.fromkeys((profile.yes, "YES", profile.yes.capitalize())))
+    parts = r"^(.+?)\s+[—–-]\s+(.+)$"
     x = F.replace(F.replace(F.trim(line), F.lit("**"), F.lit("")), F.lit("__"), F.lit(""))
     x = F.trim(F.regexp_replace(x, r"^[\-*•\x{2013}\x{2014}\d]+[.)]?\s+", ""))
-    yes = "|".join(dict.fromkeys((profile.yes, "YES", profile.yes.capitalize())))
     x = F.trim(F.regexp_replace(x, rf"^({yes})[\s,:-]+", ""))
-    parts = r"^(.+?)\s+[—–-]\s+(.+)$"
-    name = F.when(x.rlike(parts), F.regexp_extract(x, parts, 1)).otherwise(x)
-    years = F.when(x.rlike(parts), F.trim(F.regexp_extract(x, parts, 2))).otherwise(UNKNOWN)
-    name = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(name), r"\(.*?\)", "")), r'^[*«».,"]+|[*«».,"]+$', ""))
-    span = F.trim(F.regexp_replace(F.regexp_replace(years, r"\s*год[а-я]*", ""), r"\s+", " "))
-    years = F.when(years.rlike(r"\d") & (span != ""), span).otherwise(UNKNOWN)
-    header = x.endswith(":") & ~x.rlike(r"\d")
-    refusal = F.upper(x).isin(*profile.no)
-    return F.when((x != "") & ~refusal & ~header & F.length(name).between(4, 70) & looks_like_name(name), F.struct(name.alias("name"), years.alias("years")))
+
+    def divided(x: Column) -> Column:
+        both = x.rlike(parts)
+        name = F.when(both, F.regexp_extract(x, parts, 1)).otherwise(x)
+        years = F.when(both, F.trim(F.regexp_extract(x, parts, 2))).otherwise(UNKNOWN)
+        name = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(name), r"\(.*?\)", "")), r'^[*«».,"]+|[*«».,"]+$', ""))
+        return F.struct(name.alias("name"), years.alias("years"))
+
+    def dated(years: Column) -> Column:
+        span = F.trim(F.regexp_replace(F.regexp_replace(years, r"\s*год[а-я]*", ""), r"\s+", " "))
+        return F.when(years.rlike(r"\d") & (span != ""), span).otherwise(UNKNOWN)
+
+    def checked(x: Column) -> Column:
+        header = x.endswith(":") & ~x.rlike(r"\d")
+        refusal = F.upper(x).isin(*profile.no)
+        named = step(divided(x), lambda i: F.when(F.length(i["name"]).between(4, 70) & looks_like_name(i["name"]), F.struct(i["name"].alias("name"), dated(i["years"]).alias("years"))))
+        return F.when((x != "") & ~refusal & ~header, named)
+
+    return step(x, checked)
 
 
 def parsed_items(answer: Column, profile: Profile) -> Column:
+    """The items of an answer's lines. Within a lambda nothing that is named twice is worked out only once, so each step has its own."""
     found = F.transform(F.split(answer, r"\r\n|\r|\n"), lambda x: item_of(x, profile))
     return F.filter(found, lambda i: i.isNotNull())
 
@@ -90,9 +107,9 @@ def reduced(answers: DataFrame, profile: Profile) -> DataFrame:
     items = F.when(bare, subject).otherwise(parsed_items(F.col("_raw"), profile))
     words = lambda c, n: F.filter(F.split(normalised_name(c), " "), lambda w: F.length(w) >= n)
     own = words(F.col("title"), 4)
-    kept = F.when(~F.col("is_seed") & (F.size("_items") > 1), F.filter("_items", lambda i: F.arrays_overlap(own, words(i["name"], 1)))).otherwise(F.col("_items"))
-    rows = rows.withColumn("_items", items).withColumn("_items", kept)
-    spread = rows.select("q_id", "question", F.col("ord").alias("_doc"), F.posexplode("_items").alias("_pos", "_i"))
+    kept = step(items, lambda found: F.when(~F.col("is_seed") & (F.size(found) > 1), F.filter(found, lambda i: F.arrays_overlap(own, words(i["name"], 1)))).otherwise(found))
+    # the outer form: explode infers a filter on the items' size, which is pushed below and parses each answer again
+    spread = rows.select("q_id", "question", F.col("ord").alias("_doc"), F.posexplode_outer(kept).alias("_pos", "_i")).filter("_i is not null")
     key = normalised_name(F.col("_i.name"))
     fine = (F.length(key) >= 4) & ~F.array_contains(words(F.col("question"), 4), key)
     numbered = spread.filter(fine).select("q_id", F.struct("_doc", "_pos").alias("ord"), "_i.name", "_i.years")

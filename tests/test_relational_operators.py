@@ -228,3 +228,11 @@ def test_one_page_tree_stands_at_a_time(spark):
     rows = spark.range(700).repartition(1).select("id", html.parsed(F.concat(F.lit("<h2>t</h2><p>x"), F.col("id").cast("string")), RU).alias("p"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
     assert {(r["id"], r["body"]) for r in rows.select("id", "p.body").collect()} == {(k, f"t x{k}") for k in range(700)}
+
+
+def test_answers_are_parsed_once(spark):
+    """No step of the parse stands in the plan twice, and a filter on the items' size does not repeat it."""
+    rows = [(1, 0, "кто мэр", "Иван Петров", False, "Иван Петров — 1990 год\nДругой — 1999"), (1, 1, "кто мэр", "Пётр Сидоров", False, "ДА."), (2, 0, "кто мэр", "Х", True, None)]
+    got = extraction.reduced(spark.createDataFrame(rows, "q_id long, ord int, question string, title string, is_seed boolean, raw string"), RU)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count(r"{2013}\x{2014}") == 1
+    assert {(r["q_id"], r["name"], r["years"]) for r in got.collect()} == {(1, "Иван Петров", "1990"), (1, "Пётр Сидоров", "?")}
