@@ -1,7 +1,8 @@
 """A ready full-text index with block maxima, and a search that skips blocks.
 
-Documents are dealt into blocks of some BLOCK by a hash of their id. The index holds a row for
-each term and block: the documents, the term's weight in each, and the largest weight. Rows
+Documents are dealt into blocks of some BLOCK by a hash of their id; a block's texts meet in one
+task, which counts its terms in Arrow and numpy. The index holds a row for
+each term and block: the documents, what the term's weight in each follows from, and the largest weight. Rows
 lie in folders by a hash of the term, sorted by term. A search reads the headers of its
 terms alone (block, number, largest weight), which bound every block's scores from above.
 Each question's most promising blocks are scored first; a block whose bound does not reach
@@ -10,15 +11,27 @@ the k-th score found there is never read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.operators.index import K1, B, fitted, terms
+from quillgraph.operators.index import K1, SEPARATORS, B, fitted, terms
 from quillgraph.operators.storage import durable
 
-#: Documents of a block on average, folders of the index, and files of a folder at most.
-BLOCK, FOLDERS, SLICES = 128, 64, 8
-ENTRY = "term string, block long, n long, top double, postings array<struct<doc:long,w:double>>, folder int"
+#: Documents of a block on average and bytes of their texts, folders of the index, and files of a folder at most.
+#: A term of few documents has a row for nearly each of them, the more so the smaller the blocks.
+BLOCK, TEXT, FOLDERS, SLICES = 4096, 16 << 20, 64, 8
+#: Counts and lengths take less room than weights, above all in a shuffle.
+POSTINGS = "postings struct<docs:array<long>,tf:array<int>,dl:array<int>>"
+ENTRY = f"term string, block long, n long, top double, {POSTINGS}, folder int"
+#: Blocks of questions or terms are broadcast up to so many rows, of two values each.
+NARROW_ROWS = 500_000
+#: SEPARATORS and the space, for RE2.
+BETWEEN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SEPARATORS + " ") + "]+"
 #: Blocks of a question that are scored first.
 FIRST = 4
 #: Scores are rounded to six places; a bound may lie below by as much.
@@ -46,24 +59,56 @@ def folder_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
 
 
+def weight(tf: Column, dl: Column, avg: float) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avg)))
+
+
+def cut(low: pa.Array, least: int = 3) -> tuple[pa.Array, np.ndarray]:
+    """terms() of lower-cased texts, one after another, and the number of each one's text."""
+    listed = pc.split_pattern_regex(low, BETWEEN)
+    words, at = pc.list_flatten(listed), pc.list_parent_indices(listed)
+    long = pc.greater_equal(pc.utf8_length(words), least)
+    return words.filter(long), at.filter(long).to_numpy()
+
+
+def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(low) to (dl, bytes): length in terms and bytes."""
+    for rows in batches:
+        _, at = cut(rows.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.bincount(at, minlength=rows.num_rows), pa.int64()), pc.binary_length(rows.column(0)).cast(pa.int64())], names=["dl", "bytes"])
+
+
+def inverted(rows: pa.Table) -> pa.Table:
+    """(block, doc, low), the texts of a block, to (term, block, postings)."""
+    rows = rows.sort_by("doc")
+    words, at = cut(rows["low"].combine_chunks())
+    coded = words.dictionary_encode()
+    many = rows.num_rows
+    pair, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * many + at, return_counts=True)
+    code, row = np.divmod(pair, many)
+    starts = pa.array(np.append(0, np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))), pa.int32())
+    values = {"docs": rows["doc"].combine_chunks().take(pa.array(row)), "tf": pa.array(tf, pa.int32()), "dl": pa.array(np.bincount(at, minlength=many)[row], pa.int32())}
+    postings = pa.StructArray.from_arrays([pa.ListArray.from_arrays(starts, v) for v in values.values()], list(values))
+    return pa.table([coded.dictionary, pa.repeat(rows["block"][0], len(postings)), postings], ["term", "block", "postings"])
+
+
 def build(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> None:
     """Write the index of docs to path, an unused folder that all executors see.
 
-    Each row is a document of its own; rows with a null id or without terms are left out. Texts are shuffled once, by block; a
-    term's postings within a block follow in the same task, so a term that all documents hold is spread over all blocks."""
+    Each row is a document of its own; rows with a null id or without terms are left out. Texts are read once for their number
+    and mean length, which weights need, then shuffled once, by block, and counted there, so that the rows of the index alone
+    are shuffled besides. A term that all documents hold is spread over all blocks."""
     spark = docs.sparkSession
     known = docs.filter(F.col(id_col).isNotNull())
-    blocks = max(1, known.count() // block)
-    dealt = known.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
-    counted = durable(counted_terms(dealt.withColumn("doc", F.struct("block", "doc")), "doc", "text")).filter("dl > 0")
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).head()  # two numbers
+    stats = known.select(F.lower(text_col).alias("low")).mapInArrow(lengths, "dl long, bytes long").filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), F.sum("bytes").alias("bytes")).head()  # three numbers
     n, avg = int(stats["n"]), float(stats["avg"] or 1.0)
-    spark.createDataFrame([(n, avg)], "n long, avg double").write.parquet(f"{path}/stats")
-    rows = exploded(counted.select("doc.block", "doc.doc", "dl", "found").repartition("block"), "block", "doc", "dl")
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avg)))
-    held = rows.select("term", "block", F.struct("doc", weight.alias("w")).alias("p")).groupBy("term", "block").agg(F.sort_array(F.collect_list("p")).alias("postings"))
-    out = held.select(folder_of(F.col("term")).alias("folder"), "term", "block", F.size("postings").cast("long").alias("n"), F.array_max("postings.w").alias("top"), "postings")
-    out.repartition("folder", F.pmod("block", F.lit(SLICES))).sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{path}/postings")
+    spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(avg).alias("avg")).write.parquet(f"{path}/stats")
+    blocks = max(1, n // block, int(stats["bytes"] or 0) // TEXT)
+    dealt = known.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"), F.col(id_col).cast("long").alias("doc"), F.lower(text_col).alias("low"))
+    held = dealt.groupBy("block").applyInArrow(inverted, f"term string, block long, {POSTINGS}").repartition(folder_of(F.col("term")), F.pmod("block", F.lit(SLICES)))
+    top = F.array_max(F.zip_with("postings.tf", "postings.dl", lambda tf, dl: weight(tf, dl, avg)))
+    out = held.select(folder_of(F.col("term")).alias("folder"), "term", "block", F.size("postings.docs").cast("long").alias("n"), top.alias("top"), "postings")
+    out.sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{path}/postings")
 
 
 def entries(spark: SparkSession, path: str, vocabulary: DataFrame, few: int) -> DataFrame:
@@ -87,20 +132,35 @@ def weighed(spark: SparkSession, path: str, questions: DataFrame, q_col: str, qu
 
 
 def scored(spark: SparkSession, path: str, weights: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(q, doc, score) of all documents of the chosen (q, block)."""
-    wanted = weights.join(chosen.select("q", "block"), "q").select("term", "block", "q", "idf")
-    vocabulary = wanted.select("term").distinct()
-    few = vocabulary.count()
-    held = entries(spark, path, vocabulary, few).select("term", "block", "postings").join(wanted, ["term", "block"])
-    each = held.select("q", "idf", F.explode("postings").alias("p"))
-    return each.groupBy("q", F.col("p.doc").alias("doc")).agg(F.sum(F.col("idf") * F.col("p.w")).alias("score"))
+    """(q, doc, score) of all documents of the chosen (q, block).
+
+    Postings are shuffled once, by block; each question's share of them and its sums follow in the same task. Of few blocks,
+    those of the terms asked for there are shuffled alone."""
+    vocabulary = weights.select("term").distinct()
+    held = entries(spark, path, vocabulary, vocabulary.count()).select("term", "block", "postings")
+    pairs = chosen.select("q", "block")
+    pairs = F.broadcast(pairs) if pairs.limit(NARROW_ROWS + 1).count() <= NARROW_ROWS else pairs
+    wanted, blocks = weights.join(pairs, "q").select("term", "block"), chosen.select("block").distinct()
+    if wanted.limit(NARROW_ROWS + 1).count() <= NARROW_ROWS:
+        held = held.join(F.broadcast(wanted.distinct()), ["term", "block"], "left_semi")
+    else:
+        held = held.join(fitted(blocks, blocks.count()), "block", "left_semi")
+    dealt = held.repartition("block")
+    avg = (spark.read.parquet(f"{path}/stats").head() or {"avg": 1.0})["avg"]
+    asked = dealt.join(fitted(weights, weights.count()), "term").join(pairs, ["q", "block"])
+    each = asked.select("block", "q", "idf", "postings.tf", "postings.dl", F.posexplode("postings.docs").alias("at", "doc"))
+    return each.groupBy("block", "q", "doc").agg(F.sum(F.col("idf") * weight(F.get("tf", "at"), F.get("dl", "at"), avg)).alias("score")).select("q", "doc", "score")
+
+
+def least_scores(found: DataFrame, k: int) -> DataFrame:
+    """(q, least): the k-th score found, of questions with as many."""
+    best = Window.partitionBy("q").orderBy(F.desc("score"))
+    return found.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("q", F.col("score").alias("least"))
 
 
 def taken_blocks(bounds: DataFrame, first: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """(q, block, bound) of bounds, but for those scored first, whose bound reaches the k-th score found so far."""
-    best = Window.partitionBy("q").orderBy(F.desc("score"))
-    least = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("q", F.col("score").alias("least"))
-    rest = bounds.join(first.select("q", "block"), ["q", "block"], "left_anti").join(least, "q", "left")
+    rest = bounds.join(first.select("q", "block"), ["q", "block"], "left_anti").join(least_scores(found, k), "q", "left")
     return rest.filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - ROUNDED)).select("q", "block", "bound")
 
 
@@ -113,7 +173,12 @@ def search(spark: SparkSession, path: str, questions: DataFrame, *, id_col: str
     first = durable(bounds.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= FIRST).drop("r"))
     found = durable(scored(spark, path, weights, first))
     taken = durable(taken_blocks(bounds, first, found, k))
-    every = found.unionByName(scored(spark, path, weights, taken)) if taken.limit(1).count() else found
+    every = found
+    if taken.limit(1).count():
+        least = durable(least_scores(found, k))
+        rest = scored(spark, path, weights, taken).join(fitted(least, least.count()), "q", "left")
+        # what does not reach the k-th score found is left out before the rest is ranked
+        every = found.unionByName(rest.filter(F.col("least").isNull() | (F.col("score") >= F.col("least") - ROUNDED)).drop("least"))
     best = Window.partitionBy("q").orderBy(F.desc(F.round("score", 6)), "doc")
     ranked = every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(q_col), "rank", F.col("doc").alias(id_col), F.round("score", 6).alias("score"))

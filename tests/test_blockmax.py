@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import PUNCT
@@ -76,3 +77,48 @@ def test_texts_are_cut_once(spark, monkeypatch):
     assert len(re.findall(r"lower\(text#", plan)) == 1
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(q_id" in plan and not re.search(r"hashpartitioning\(q_id#\d+L?, doc_id", plan)
+
+
+def test_terms_cut_in_arrow_are_index_terms(spark):
+    text = "".join(f"Wörd{chr(c)}" for c in range(1, 0x2100)) + "…ab — abc\x0bЖЖЖ \x85𝒜𝒜𝒜"
+    texts = spark.createDataFrame([(0, text), (1, None), (2, ""), (3, " a, bb"), (4, "Cat")], "k int, text string").coalesce(1)
+    rows = texts.select("k", F.lower("text").alias("low"), index.terms(F.col("text")).alias("t")).collect()
+    words, at = blockmax.cut(pa.array([r["low"] for r in rows], pa.string()))
+    assert list(zip(at.tolist(), words.to_pylist())) == [(r["k"], t) for r in rows for t in r["t"] or []]
+
+
+def test_a_term_has_a_row_for_each_of_a_few_blocks(spark):
+    docs = spark.range(4096).select(F.col("id").alias("doc_id"), F.format_string("common word%d", F.col("id") % 7).alias("text"))
+    path = storage.shared_folder(spark, "test")
+    blockmax.build(docs, path)
+    rows = blockmax.entries(spark, path, spark.createDataFrame([("common",)], "term string"), 1)
+    assert rows.count() <= 4 and rows.agg(F.sum("n")).head()[0] == 4096
+
+
+def test_long_texts_make_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blockmax, "TEXT", 1000)
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("common "), 30).alias("text"))
+    path = storage.shared_folder(spark, "test")
+    blockmax.build(docs, path)
+    rows = blockmax.entries(spark, path, spark.createDataFrame([("common",)], "term string"), 1)
+    assert rows.count() > 4 and rows.agg(F.sum("n")).head()[0] == 60
+
+
+def test_scores_are_summed_where_a_block_is(spark):
+    """Postings move once, by block; no sum of a question and document is shuffled."""
+    docs, questions = corpus(spark)
+    path = storage.shared_folder(spark, "test")
+    blockmax.build(docs, path, block=64)
+    _, weights, bounds = blockmax.weighed(spark, path, questions, "q_id", "query")
+    plan = blockmax.scored(spark, path, weights, bounds)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(block.*REPARTITION_BY_COL", plan)) == 1 and not re.search(r"hashpartitioning\(q#", plan)
+
+
+def test_only_what_reaches_the_kth_score_is_ranked(spark, monkeypatch):
+    docs, questions = corpus(spark)
+    path = storage.shared_folder(spark, "test")
+    blockmax.build(docs, path, block=16)
+    monkeypatch.setattr(blockmax, "FIRST", 1)
+    for k in (1, 3):
+        want = {tuple(r) for r in index.bm25_search(docs.filter("doc_id is not null"), questions, k=k).collect()}
+        assert {tuple(r) for r in blockmax.search(spark, path, questions, k=k).collect()} == want
